@@ -6,12 +6,15 @@ children, the left one in a tie. The root thus names the leftmost pair of lowest
 kills the right position and changes the pairs of two live neighbours: three point updates of
 logarithmic cost, so a pre-token of n bytes takes O(n log n) whatever its length.
 
-Pre-tokens repeat, so each worker keeps the ids of those it has seen in a bounded cache.
+Pre-tokens repeat, and so do the chunks that a text's plain single spaces divide it into; a
+pattern whose matches begin with at most one space and otherwise hold either only white space or
+none never reaches across such a space. Each worker keeps the ids of both in bounded caches.
 """
 
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import TEXT_BATCH_ROWS, prepare
 
 NONE = 1 << 60
-CACHE_ENTRIES = 300_000
-CACHED_BYTES = 64
+CACHE_ENTRIES = 400_000
+CACHED_CHARS = 48
 
 _CODERS: dict[tuple[str, str], ByteBpe] = {}
 
@@ -52,31 +55,33 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         tree[i] = a if a <= b else b
     end = list(range(1, n + 1))  # a live position's token is piece[i:end[i]]
     before = list(range(-1, n))  # the live position to the left; n stands for the end
-    while tree[1] < NONE:
-        low, i = tree[1], 1
+    low = tree[1]
+    while low < NONE:
+        i = 1
         while i < size:
-            i *= 2
+            i += i
             if tree[i] != low:
                 i += 1
         i -= size
         gone = end[i]
         stop = end[i] = end[gone]
         before[stop] = i
-        changed = [(gone, NONE), (i, get(piece[i : end[stop]], NONE) if stop < n else NONE)]
         left = before[i]
+        changed = [(gone, NONE), (i, get(piece[i : end[stop]], NONE) if stop < n else NONE)]
         if left >= 0:
             changed.append((left, get(piece[left:stop], NONE)))
         for at, value in changed:
             at += size
             tree[at] = value
-            at //= 2
-            while at:
-                a, b = tree[2 * at], tree[2 * at + 1]
-                value = a if a <= b else b
+            while at > 1:
+                other = tree[at ^ 1]
+                if other < value:
+                    value = other
+                at >>= 1
                 if tree[at] == value:
                     break
                 tree[at] = value
-                at //= 2
+        low = tree[1]
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -84,6 +89,30 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Glued(Exception):
+    """A space that is not known to stand alone."""
+
+
+class Recent(dict):
+    """A cache of two generations: what a generation of entries doesn't use is forgotten."""
+
+    def __init__(self, make, entries: int):
+        super().__init__()
+        self.make, self.entries, self.old = make, entries, {}
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.old.get(key)
+        if made is None:
+            made = self.make(key)
+            if len(key) > CACHED_CHARS:
+                return made
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[key] = made
+        return made
+
+
 class ByteBpe:
     """Encoder and decoder of one rank file and pattern."""
 
@@ -96,21 +125,35 @@ class ByteBpe:
         self.tokens = [b""] * top
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.cache: dict[str, bytes] = {}
+        self.divide = regex.compile(r"(?<=\S) (?=\S)").split
+        self.pieces = Recent(self._piece, CACHE_ENTRIES // 2)
+        self.chunks = Recent(self._chunk, CACHE_ENTRIES)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = merge(piece.encode(), self.ranks)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _matches(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
-    def _ids(self, piece: str) -> bytes:
-        raw = piece.encode()
-        ids = np.array(merge(raw, self.ranks), "<u4").tobytes()
-        if len(raw) <= CACHED_BYTES:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache[piece] = ids
-        return ids
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of the chunk after its space; raises if the space may be part of a longer run."""
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise Glued
+        return self._matches(" " + chunk)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        get, ids = self.cache.get, self._ids
-        return b"".join([get(piece) or ids(piece) for piece in self.find(text)])
+        first, *rest = text.split(" ")
+        try:
+            if not rest:
+                return self._matches(first)
+            if not first or first[-1].isspace():
+                raise Glued
+            return self._matches(first) + b"".join(map(self.chunks.__getitem__, rest))
+        except Glued:
+            first, *rest = self.divide(text)
+            return b"".join([self._matches(first), *(self._matches(" " + x) for x in rest)])
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that ids stand for; an id that is not in the vocabulary raises IndexError."""
