@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, packing
+from paperloom.llm import bpe, langid, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 2048)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicts every document's language, learning from two of three folds."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", langid.fold(F.col("doc_id"), 3) == 1)
+    labelled = langid.sample(docs.where(~F.col("held_out")))
+    return langid.identify(docs.drop("lang"), labelled).drop("text")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document with the multilingual byte-level vocabulary."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -34,7 +42,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_packing, op5_language_id, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,7 +25,7 @@ from paperloom.llm.common import TEXT_BATCH_ROWS, materialise, prepare
 from paperloom.llm.tokens import tokenizer
 
 CAPACITY = 2048
-GRID = 4
+GRID = 8
 GAP = 2e-4
 MAX_COLUMNS = 6000
 RANK_GROUP_ROWS = 2000
