@@ -22,11 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import TEXT_BATCH_ROWS, prepare
+from paperloom.llm.common import TEXT_BATCH_ROWS, Recent, prepare
 
 NONE = 1 << 60
 CACHE_ENTRIES = 400_000
-CACHED_CHARS = 48
 
 _CODERS: dict[tuple[str, str], ByteBpe] = {}
 
@@ -93,26 +92,6 @@ class Glued(Exception):
     """A space that is not known to stand alone."""
 
 
-class Recent(dict):
-    """A cache of two generations: what a generation of entries doesn't use is forgotten."""
-
-    def __init__(self, make, entries: int):
-        super().__init__()
-        self.make, self.entries, self.old = make, entries, {}
-
-    def __missing__(self, key: str) -> bytes:
-        made = self.old.get(key)
-        if made is None:
-            made = self.make(key)
-            if len(key) > CACHED_CHARS:
-                return made
-        if len(self) >= self.entries:
-            self.old = dict(self)
-            self.clear()
-        self[key] = made
-        return made
-
-
 class ByteBpe:
     """Encoder and decoder of one rank file and pattern."""
 

@@ -16,6 +16,9 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 #: Rows of an Arrow batch where rows hold whole texts.
 TEXT_BATCH_ROWS = 500
 
+#: Longer keys aren't kept by Recent.
+CACHED_LENGTH = 48
+
 
 def prepare(spark: SparkSession) -> None:
     """Workers can import this package, and Arrow batches of whole texts stay small."""
@@ -63,6 +66,26 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Recent(dict):
+    """A cache of two generations: what a generation of entries doesn't use is forgotten."""
+
+    def __init__(self, make, entries: int):
+        super().__init__()
+        self.make, self.entries, self.old = make, entries, {}
+
+    def __missing__(self, key) -> bytes:
+        made = self.old.get(key)
+        if made is None:
+            made = self.make(key)
+            if len(key) > CACHED_LENGTH:
+                return made
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[key] = made
+        return made
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
