@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, fingerprint, langid, packing
+from paperloom.llm import bpe, fingerprint, langid, minhash, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 2048)
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose two-word shingle sets have a Jaccard similarity of 0.8."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), 2, 80)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     made = fingerprint.compare_edits(_table(spark, sf_dir, "documents"))
@@ -48,7 +53,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_fingerprints, op5_language_id, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_minhash, op3_fingerprints, op5_language_id, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
