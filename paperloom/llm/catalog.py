@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, fingerprint, langid, linededup, minhash, packing
+from paperloom.llm import ann, bpe, fingerprint, langid, linededup, minhash, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.similar_lines(_table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth vector."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document with the multilingual byte-level vocabulary."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -71,6 +77,7 @@ OPERATORS = (
     op3_fingerprints,
     op5_language_id,
     op7_line_dedup,
+    op8_nearest,
     op9_byte_bpe,
 )
 
