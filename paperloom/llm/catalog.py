@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, bpe, fingerprint, langid, linededup, minhash, packing
+from paperloom.llm import ann, bpe, chat, fingerprint, langid, linededup, minhash, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations in the order of their replies, without quotes."""
+    return chat.conversations(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over documents."""
     import corpus_pipeline
@@ -79,6 +84,7 @@ OPERATORS = (
     op7_line_dedup,
     op8_nearest,
     op9_byte_bpe,
+    op10_chat_format,
 )
 
 
@@ -87,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat_format": chat.ORACLE_SQL}
