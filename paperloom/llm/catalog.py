@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, bpe, chat, fingerprint, langid, linededup, minhash, packing
+from paperloom.llm import ann, bpe, chat, fingerprint, langid, linededup, minhash, packing, tokenscan
+from paperloom.llm.common import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("edited_sha256", F.sha2(F.encode("edited_text", "UTF-8"), 256)).drop("edited_text")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents as flat token files and counts the tokens of each document in them."""
+    flat = scratch_path(spark, "flat")
+    docs = _table(spark, sf_dir, "documents")
+    tokenscan.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), 49407, flat)
+    return tokenscan.scan(spark, flat, 49407)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicts every document's language, learning from two of three folds."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -80,6 +89,7 @@ OPERATORS = (
     op1_packing,
     op2_minhash,
     op3_fingerprints,
+    op4_token_counts,
     op5_language_id,
     op7_line_dedup,
     op8_nearest,
