@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, bpe, chat, fingerprint, langid, linededup, minhash, packing, tokenscan
+from paperloom.llm import ann, bpe, chat, fingerprint, langid, linededup, minhash, packing, suffixtree, tokenscan
 from paperloom.llm.common import scratch_path
 
 
@@ -49,6 +49,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.drop("lang"), labelled).drop("text")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document by suffix tree and by unigrams, learnt from nine of ten folds."""
+    return suffixtree.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of documents that repeat an earlier line, with that line."""
     return linededup.similar_lines(_table(spark, sf_dir, "documents"))
@@ -91,6 +96,7 @@ OPERATORS = (
     op3_fingerprints,
     op4_token_counts,
     op5_language_id,
+    op6_lm_score,
     op7_line_dedup,
     op8_nearest,
     op9_byte_bpe,
