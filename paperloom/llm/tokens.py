@@ -1,7 +1,7 @@
 """Token ids of whole texts by a file of the tokenizers library, with a cache of chunks.
 
 A chunk is a run without ASCII white space, cut again before a comma or full stop that follows
-an ASCII letter or digit. It holds for tokenizers that lower-case, and whose result on a text is
+an ASCII letter or digit, or an accented one of Latin-1. It holds for tokenizers that lower-case, and whose result on a text is
 the concatenation of their results on its chunks, as with files that drop white space, never
 join letters or digits with punctuation, and whose normaliser doesn't reach across these borders.
 Special tokens' strings in a text are ordinary text.
@@ -18,7 +18,7 @@ import numpy as np
 CACHE_ENTRIES = 500_000
 
 _CODERS: dict[tuple[str, str], ChunkTokenizer] = {}
-_MARK = re.compile(rb"(?<=[a-z0-9])[.,]")
+_MARK = re.compile(rb"(?<=[a-z0-9])[.,]|(?<=\xc3[\xa0-\xb6\xb8-\xbf])[.,]")  # after a to z, 0 to 9, \u00e0 to \u00ff
 
 
 class ChunkTokenizer:
@@ -32,6 +32,10 @@ class ChunkTokenizer:
         self.library.encode_special_tokens = True
         self.kind = kind
         self.dtype = np.dtype({'I': '<u4', 'H': '<u2'}[kind])
+        suffix = self.library.model.end_of_word_suffix or "\0"  # without one, chunks are encoded one by one
+        vocabulary = self.library.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.chunks: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -47,16 +51,16 @@ class ChunkTokenizer:
         self.chunks.update((w, self.old[w]) for w in known)
         new = [(w, w.decode()) for w in unseen - known]
         made = {w: self._pack(self.library.encode(x, add_special_tokens=False).ids) for w, x in new if not x.isalpha()}
-        # a chunk of letters is one pre-token: all of them at once, told apart by pre-token
+        # a chunk of letters is one pre-token: all of them at once, told apart by the ids that end one
         plain = [(w, x) for w, x in new if x.isalpha()]
         if plain:
-            found = self.library.encode(" ".join([x for _, x in plain]), add_special_tokens=False)
-            ids, at = found.ids, np.array(found.word_ids)
-            ends = np.flatnonzero(np.diff(at, append=at[-1] + 1)) + 1
+            found = self.library.encode_batch_fast([" ".join([x for _, x in plain])], add_special_tokens=False)[0]
+            ids = np.array(found.ids, self.dtype)
+            ends = np.flatnonzero(self.final[ids]) + 1
             if len(ends) != len(plain):  # it divides some of them
                 made.update((w, self._pack(self.library.encode(x, add_special_tokens=False).ids)) for w, x in plain)
                 plain = []
-            packed = np.array(ids, self.dtype).tobytes()
+            packed = ids.tobytes()
             ends = (ends * self.dtype.itemsize).tolist()
             made.update((w, packed[i:j]) for (w, _), i, j in zip(plain, [0, *ends], ends))
         self.chunks.update(made)
