@@ -15,10 +15,28 @@ import struct
 
 import numpy as np
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 
 _CODERS: dict[tuple[str, str], ChunkTokenizer] = {}
 _MARK = re.compile(rb"(?<=[a-z0-9])[.,]|(?<=\xc3[\xa0-\xb6\xb8-\xbf])[.,]")  # after a to z, 0 to 9, \u00e0 to \u00ff
+#: Kinds of bytes: q, a comma or full stop; p, other ASCII marks; m, the start of a letter beyond Latin-1.
+_KINDS = bytes(
+    ord("q") if chr(b) in ".,"
+    else ord("m") if b in (0xC2, *range(0xC4, 0x100))
+    else ord("p") if b < 0x80 and not chr(b).isalnum() and b not in b" \t\n\r\x0b\x0c"
+    else ord("x")
+    for b in range(256)
+)
+
+
+def chunks(text: bytes) -> list[bytes]:
+    """The chunks of a text in UTF-8, A to Z lower-cased."""
+    low = text.lower()
+    kinds = low.translate(_KINDS)
+    odd = b"m" in kinds or b"pq" in kinds or b"qq" in kinds or b"\xc3\x97" in low or b"\xc3\xb7" in low
+    if odd:
+        return _MARK.sub(rb" \g<0>", low).split()
+    return low.replace(b",", b" ,").replace(b".", b" .").split()
 
 
 class ChunkTokenizer:
@@ -68,7 +86,7 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Packed ids of texts in UTF-8; none for a null or empty one."""
-        split = [_MARK.sub(rb" \g<0>", x.lower()).split() if x else [] for x in texts]
+        split = [chunks(x) if x else [] for x in texts]
         distinct = set().union(*split)
         unseen = distinct.difference(self.chunks)
         if unseen and not self._learn(unseen) and not unseen <= self.chunks.keys():
