@@ -169,3 +169,13 @@ def test_plans_have_no_python(spark):
     plan = process(frame(spark, PAGES), "2026-12-31")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
     assert fields.LABELS and lineitems.HEADERS
+
+
+def test_ocr_without_engines(spark, monkeypatch):
+    from paperloom.sources import ocr
+
+    files = spark.createDataFrame([("a", "a.png", "png", bytearray(b"x")), ("b", "b.pdf", "pdf", bytearray())], "doc_id string, filename string, suffix string, content binary")
+    got = {r.doc_id: r.ocr for r in ocr.recognise(files).collect()}
+    assert got == {"a": [], "b": []}
+    corners = ocr.order_points([[9, 8], [0, 0], [10, 1], [1, 9]])
+    assert corners.tolist() == [[0, 0], [10, 1], [9, 8], [1, 9]]
