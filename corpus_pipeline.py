@@ -1,7 +1,7 @@
 """The corpus pipeline: documents to packed sequences, in four stages.
 
-1. language: documents whose language isn't recognised (no letter, or no language clearly the
-   best) go.
+1. language: documents without a language (no letter in the text) go. Short and noisy ones stay: a
+   close decision between languages says nothing against a document.
 2. lines: lines that repeat an earlier line go; documents left without any line go.
 3. near_duplicates: of each group of near-duplicate documents (five-word shingles, 0.8) the one
    with the smallest doc_id stays.
@@ -22,8 +22,7 @@ from paperloom.llm.common import materialise
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identify(docs, langid.sample(docs))
-    kept = (F.col("lang_pred") != langid.UNDEFINED) & (F.col("score") >= langid.MIN_SCORE)
-    return found.where(kept).select(*docs.columns)
+    return found.where(F.col("lang_pred") != langid.UNDEFINED).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

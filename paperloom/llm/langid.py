@@ -28,7 +28,6 @@ ROW_CHARS = 400
 LANE = 256
 STEP_CHARS = 1_000_000
 UNDEFINED = "und"
-MIN_SCORE = 0.02
 
 _MODELS: dict[int, Parser] = {}
 _CLASSES: list[np.ndarray] = []
