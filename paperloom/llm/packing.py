@@ -28,7 +28,7 @@ CAPACITY = 2048
 GRID = 8
 GAP = 2e-4
 MAX_COLUMNS = 6000
-RANK_GROUP_ROWS = 2000
+RANK_GROUP_ROWS = 250
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
