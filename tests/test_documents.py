@@ -179,3 +179,18 @@ def test_ocr_without_engines(spark, monkeypatch):
     assert got == {"a": [], "b": []}
     corners = ocr.order_points([[9, 8], [0, 0], [10, 1], [1, 9]])
     assert corners.tolist() == [[0, 0], [10, 1], [9, 8], [1, 9]]
+
+
+def test_evaluation_command_and_file_fetch(spark, tmp_path):
+    from paperloom.plans.evaluate import main
+
+    labels = documents.benchmark(spark, 1, 1, 0, 0)
+    (tmp_path / "l").mkdir()
+    for r in labels.select("doc_id", documents.pretty_json(labels).alias("j")).collect():
+        (tmp_path / f"l/{r.doc_id}.json").write_text(r.j)
+    text = main(["--labels-dir", str(tmp_path / "l"), "--as-of", "2027-01-01", "--report", str(tmp_path / "r.md")])
+    assert "stp_rate_pct" in text and text in (tmp_path / "r.md").read_text()
+    (tmp_path / "a.png").write_bytes(b"x")
+    index = spark.createDataFrame([("a", f"{tmp_path}/a.png"), ("b", f"{tmp_path}/none.png"), ("c", None)], "doc_id string, file_path string")
+    assert [bytes(r.content) for r in documents.fetch_file(spark, index, "a").collect()] == [b"x"]
+    assert all(documents.fetch_file(spark, index, d).count() == 0 for d in ("b", "c", "d"))
