@@ -24,15 +24,17 @@ def index_rows(results: DataFrame) -> DataFrame:
 
 
 def field_rows(results: DataFrame) -> DataFrame:
-    return results.select("doc_id", F.explode("fields").alias("name", "f")).select(
+    """(doc_id, name, value, confidence). Outer generators, here and below: the others repeat their input's expressions in filters."""
+    return results.select("doc_id", F.explode_outer("fields").alias("name", "f")).where("name is not null").select(
         "doc_id", "name", F.col("f.value").alias("value"), F.col("f.conf").alias("confidence")
     )
 
 
 def line_item_rows(results: DataFrame) -> DataFrame:
     """(doc_id, table_index, row_index, data): cells by header, the last of equal headers; the shorter side decides."""
-    tables = results.select("doc_id", F.posexplode("tables").alias("table_index", "t"))
-    rows = tables.select("doc_id", "table_index", F.col("t.headers").alias("h"), F.posexplode("t.rows").alias("row_index", "r"))
+    tables = results.select("doc_id", F.posexplode_outer("tables").alias("table_index", "t")).where("table_index is not null")
+    rows = tables.select("doc_id", "table_index", F.col("t.headers").alias("h"), F.posexplode_outer("t.rows").alias("row_index", "r"))
+    rows = rows.where("row_index is not null")
     n = F.least(F.size("h"), F.size("r"))
     rows = rows.withColumns({"h": F.slice("h", 1, n), "r": F.slice("r", 1, n)})
     last = F.filter(

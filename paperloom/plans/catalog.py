@@ -211,13 +211,13 @@ LINE_SQL = over_text("SELECT doc_id, CAST(i AS BIGINT) AS line, l AS t FROM (SEL
 
 @query(LINE_SQL)
 def lines_mean(spark, d):
-    rows = L.with_lines(invoice_tokens(spark, d)).select("doc_id", F.posexplode("lines").alias("line", "l"))
+    rows = L.with_lines(invoice_tokens(spark, d)).select("doc_id", F.posexplode_outer("lines").alias("line", "l")).where("line is not null")
     return rows.select("doc_id", F.col("line").cast("long").alias("line"), L.line_text(F.col("l")).alias("t"))
 
 
 @query(LINE_SQL)
 def lines_anchor(spark, d):
-    rows = L.with_lines(invoice_tokens(spark, d), L.ANCHOR_TOLERANCE, by_mean=False).select("doc_id", F.posexplode("lines").alias("line", "l"))
+    rows = L.with_lines(invoice_tokens(spark, d), L.ANCHOR_TOLERANCE, by_mean=False).select("doc_id", F.posexplode_outer("lines").alias("line", "l")).where("line is not null")
     return rows.select("doc_id", F.col("line").cast("long").alias("line"), L.line_text(F.col("l")).alias("t"))
 
 
@@ -238,7 +238,7 @@ def regions(spark, d):
   FROM word JOIN f USING (doc_id, i) GROUP BY doc_id, i""")
 def key_value_pairs(spark, d):
     rows = L.with_lines(invoice_tokens(spark, d), L.ANCHOR_TOLERANCE, by_mean=False)
-    return rows.select("doc_id", F.explode(L.key_values(F.col("lines"))).alias("key", "val"))
+    return rows.select("doc_id", F.explode_outer(L.key_values(F.col("lines"))).alias("key", "val")).where("key is not null")
 
 
 @query(f"""WITH {WORD_SQL} SELECT doc_id, count(*) AS n FROM (SELECT doc_id, i FROM word GROUP BY ALL HAVING count(*) >= 3 AND count(*) FILTER (w LIKE '%:') = 0) GROUP BY doc_id""")
