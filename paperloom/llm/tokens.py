@@ -88,6 +88,16 @@ class ChunkTokenizer:
         """Packed ids of texts in UTF-8; none for a null or empty one."""
         split = [chunks(x) if x else [] for x in texts]
         distinct = set().union(*split)
+        if len(distinct) <= CACHE_ENTRIES:
+            return self._encode(split, distinct)
+        step = CACHE_ENTRIES  # more than the cache holds: piece by piece, each of which fits
+        return [
+            b"".join(self._encode([piece], set(piece))[0] for piece in (words[i : i + step] for i in range(0, len(words), step)))
+            for words in split
+        ]
+
+    def _encode(self, split: list[list[bytes]], distinct: set[bytes]) -> list[bytes]:
+        """Packed ids of lists of chunks, of which at most CACHE_ENTRIES are distinct."""
         unseen = distinct.difference(self.chunks)
         if unseen and not self._learn(unseen) and not unseen <= self.chunks.keys():
             self._learn(distinct)  # the generation has just changed

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from paperloom.llm import packing
+from paperloom.llm import packing, tokens
 from paperloom.llm.tokens import ChunkTokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -97,3 +97,15 @@ def test_empty_table_and_copies(spark):
     docs = spark.createDataFrame([(7, "same text")] * 50, "doc_id long, text string")
     rows = packing.piece_digests(docs, PATH, 1).collect()
     assert len({(r.sequence_id, r.offset) for r in rows}) == 50
+
+
+def test_more_distinct_chunks_than_the_cache_holds(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 5)
+    coder = ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"), "I")
+    rng = random.Random(3)
+    words = [f"id{i:05x}" for i in range(40)] + ["the", "of", "café", "end."]
+    texts = [" ".join(rng.choices(words, k=k)) for k in (60, 1, 3, 25, 4)] + [None, "", "the of"]
+    for part in (texts, texts[:1], texts[1:3], texts[::-1], ["the of", "of the end."]):
+        got = coder.encode([None if t is None else t.encode() for t in part])
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [coder.library.encode(t or "", add_special_tokens=False).ids for t in part]
+        assert len(coder.chunks) <= 5
