@@ -21,7 +21,10 @@ from paperloom.llm.common import materialise
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs, langid.sample(docs))
+    labelled = langid.sample(docs)
+    if not labelled:  # nothing to learn a language from says nothing against a document
+        return langid.with_letters(docs)
+    found = langid.identify(docs, labelled)
     return found.where(F.col("lang_pred") != langid.UNDEFINED).select(*docs.columns)
 
 

@@ -222,5 +222,18 @@ def identify(docs: DataFrame, labelled: dict[str, str], text: str = "text") -> D
     return docs.mapInArrow(run, schema)
 
 
+def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter, by the classes that identify() uses."""
+    prepare(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [bool((letters(t) != 32).any()) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(some, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds

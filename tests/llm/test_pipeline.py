@@ -49,3 +49,13 @@ def test_stages_against_brute_force(spark, tmp_path):
         lengths[r.doc_id] += r.length
     assert lengths == {d: len(TOKENIZER.encode(left[d], add_special_tokens=False).ids) + 1 for d in final}
     assert len(final) < len(left) < len(rows) and final
+
+
+def test_no_document_has_a_label(spark, tmp_path):
+    rows = [(d, t, None, f"src{d % 3}", len(t or "")) for d, t, _ in documents()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {r[0]: r[1] for r in rows if any(c.isalpha() for c in r[1] or "")}
+    kept = corpus_pipeline.language(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r.doc_id: r.text for r in kept.collect()} == texts
+    assert 0 < corpus_pipeline.run(spark, str(tmp_path)).count()
