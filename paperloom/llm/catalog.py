@@ -56,7 +56,7 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of documents that repeat an earlier line, with that line."""
-    return linededup.similar_lines(_table(spark, sf_dir, "documents"))
+    return linededup.similar_lines(_table(spark, sf_dir, "documents"), min_tokens=1)
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import cut_lines, doc_bytes, materialise, mix64, prepare, shuffle_parts
 
 PERCENT = 80
-#: Lines of fewer distinct tokens are left alone.
+#: Lines of fewer distinct tokens are left alone, unless the caller says otherwise: op7 and the pipeline take all.
 MIN_TOKENS = 5
 #: Counters of the rarity sketch: 4 MB on a worker, whatever the input.
 SKETCH = 1 << 22
@@ -154,7 +154,7 @@ def _postings(lines: DataFrame, rarity, percent: int, min_tokens: int, parts: in
                     high[short] = 0
                 doc = np.repeat(docs[begin:end], per)
                 number = np.arange(total) - np.repeat(first, per)
-                used = np.flatnonzero(n >= min_tokens)
+                used = np.flatnonzero(n >= max(1, min_tokens))
                 chosen = np.zeros(total, bool)  # of equal lines here the first posts
                 order = np.lexsort((number[used], doc[used], klass[used]))
                 fresh = np.ones(len(order), bool)
@@ -162,6 +162,7 @@ def _postings(lines: DataFrame, rarity, percent: int, min_tokens: int, parts: in
                 chosen[used[order[fresh]]] = True
                 prefix = n - (-(-percent * n // 100)) + 1
                 at = np.arange(len(token)) - start[line]
+                chosen &= 100 * n >= percent * (n + 1)  # smaller sets are similar to equal ones only
                 take = np.flatnonzero(chosen[line] & (at < prefix[line]))
                 made = np.empty(len(take), POSTING)
                 rows = line[take]

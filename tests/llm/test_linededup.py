@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from paperloom.llm import linededup
+import corpus_pipeline
+from paperloom.llm import catalog, linededup
 
 
 def corpus(seed, n):
@@ -70,3 +71,24 @@ def test_texts_without_their_lines(spark):
 def test_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")] * 2 + [(None, "a b c d e f"), (2, "f e d c b a")], "doc_id long, text string")
     assert [(r.doc_id, r.line, r.first_doc_id) for r in linededup.similar_lines(docs).collect()] == [(2, 0, 1)]
+
+
+def short_lines(seed, n):
+    rng = random.Random(seed)
+    return {i: "\n".join(" ".join(rng.choices("abcdefg", k=rng.randint(0, 7))) for _ in range(rng.randint(1, 3))) for i in range(n)}
+
+
+def test_short_lines_against_brute_force(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(linededup, "HOT", 30)
+    docs = corpus(3, 60) | {1000 + i: t for i, t in short_lines(4, 40).items()}
+    docs |= {2000: "All rights reserved.", 2001: "no  RIGHTS\nall rights RESERVED.", 2002: "日本語の文\n \n", 2003: "日本語の文", 2004: "v w x y", 2005: "z y x w v", 2006: "v v v", 2007: "v"}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    gone, _ = brute(docs, least=1)
+    assert {(2001, 1), (2003, 0), (2005, 0), (2007, 0)} <= gone
+    rows = linededup.similar_lines(frame, min_tokens=1).collect()
+    assert sorted((r.doc_id, r.line) for r in rows) == sorted(gone)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    made = catalog.op7_line_dedup(spark, str(tmp_path)).where("first_doc_id is not null").collect()
+    assert sorted((r.doc_id, r.line) for r in made) == sorted(gone)
+    left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, frame, "").collect()}
+    assert 2003 not in left and 2007 not in left and left[2001] == "no  RIGHTS"
