@@ -55,8 +55,8 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines of documents that repeat an earlier line, with that line."""
-    return linededup.similar_lines(_table(spark, sf_dir, "documents"), min_tokens=1)
+    """All lines of documents: the earlier line that each repeats, its class and its number of similar classes."""
+    return linededup.line_links(_table(spark, sf_dir, "documents"))
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

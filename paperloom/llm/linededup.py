@@ -13,6 +13,10 @@ A class is removed if one with an earlier first line is similar, whether or not
 itself: one witness is enough. So a posting keeps the NEAR last ones before it that pass; a class
 that has more, and isn't removed by the first, is then compared with all that pass. Tokens beyond
 HOT are dealt in groups by class, whose postings meet by a join.
+
+line_links() has no such shortcut: all similar pairs of classes are found and counted. There, a token
+beyond COMMON is posted with each later token of a prefix longer by one instead: two similar sets
+that share at least two tokens share two in those prefixes, and the rarest that they share is the first of them.
 """
 
 from __future__ import annotations
@@ -36,6 +40,10 @@ NEAR = 1
 BATCH_BYTES = 4_000_000
 #: A token's postings go to several tasks, by class, beyond so many tokens on its counter.
 HOT = 20_000
+#: Where all pairs are wanted, tokens with more on their counter are posted with a second token.
+COMMON = 2_000
+#: Pairs that a task holds before it hands them on.
+PAIRS = 1_000_000
 POSTING = np.dtype([("token", "<u8"), ("class", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("at", "<i4"), ("bits", "<u8"), ("more", "<u8")])
 #: Lines of fewer tokens have folded bitmaps.
 LONG = 72
@@ -118,14 +126,21 @@ def classes(token: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mix64(np.add.reduceat(keyed, start) + mix64(np.bitwise_xor.reduceat(keyed, start))).view(np.int64)
 
 
+def _counts(token: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """About how many tokens are on a token's counter."""
+    return 2.0 ** (rank[(token % np.uint64(SKETCH)).astype(np.int64)] / 8.0)
+
+
 def _salts(token: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Over how many groups a token's postings are dealt."""
-    count = 2.0 ** (rank[(token % np.uint64(SKETCH)).astype(np.int64)] / 8.0)
-    return np.maximum(1, np.ceil(count / HOT)).astype(np.uint64)
+    return np.maximum(1, np.ceil(_counts(token, rank) / HOT)).astype(np.uint64)
 
 
-def _postings(lines: DataFrame, rarity, percent: int, min_tokens: int, parts: int) -> DataFrame:
-    """Rows of two kinds: lines (doc, lines blob) and packed postings (part, blob) of each task's classes."""
+def _postings(lines: DataFrame, rarity, percent: int, min_tokens: int, parts: int, every: bool = False) -> DataFrame:
+    """Rows of two kinds: lines (doc, lines blob) and packed postings (part, blob) of each task's classes.
+
+    every: common tokens are posted with a second one, and none is dealt in groups.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = rarity.value
@@ -163,12 +178,26 @@ def _postings(lines: DataFrame, rarity, percent: int, min_tokens: int, parts: in
                 prefix = n - (-(-percent * n // 100)) + 1
                 at = np.arange(len(token)) - start[line]
                 chosen &= 100 * n >= percent * (n + 1)  # smaller sets are similar to equal ones only
-                take = np.flatnonzero(chosen[line] & (at < prefix[line]))
+                posts = chosen[line] & (at < prefix[line])
+                if every:
+                    common = posts & (_counts(token, rank) > COMMON)
+                    alpha = -(-percent * n // 100)
+                    longer = n - np.maximum(alpha, 2) + 2
+                    single = np.flatnonzero(posts & (~common | (alpha[line] < 2)))
+                    two = np.flatnonzero(common)
+                    times = np.maximum(0, longer[line[two]] - 1 - at[two])
+                    ahead = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + 1
+                    two = np.repeat(two, times)
+                    take = np.concatenate([single, two])
+                    keys = np.concatenate([token[single], mix64(token[two] + mix64(token[two + ahead]))])
+                else:
+                    take = np.flatnonzero(posts)
+                    keys = token[take]
                 made = np.empty(len(take), POSTING)
                 rows = line[take]
-                for name, value in (("token", token[take] & _TOKEN), ("class", klass[rows]), ("doc", doc[rows]), ("line", number[rows]), ("n", n[rows]), ("at", at[take]), ("bits", bits[rows] if len(rows) else 0), ("more", high[rows] if len(rows) else 0)):
+                for name, value in (("token", keys & _TOKEN), ("class", klass[rows]), ("doc", doc[rows]), ("line", number[rows]), ("n", n[rows]), ("at", at[take]), ("bits", bits[rows] if len(rows) else 0), ("more", high[rows] if len(rows) else 0)):
                     made[name] = value
-                salt = mix64(np.ascontiguousarray(made["class"]).view(np.uint64)) % _salts(made["token"], rank)
+                salt = np.uint64(0) if every else mix64(np.ascontiguousarray(made["class"]).view(np.uint64)) % _salts(made["token"], rank)
                 part = (mix64(made["token"] + salt) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 made, part = made[order], part[order]
@@ -262,6 +291,45 @@ def _meet(packed: DataFrame, rarity, percent: int, parts: int, again: bool = Fal
     return packed.select("part", "blob", "class").repartition(parts, "part").mapInArrow(run, ", ".join(f"{x} long" for x in NAMES))
 
 
+def _meet_all(packed: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(class, other): all pairs of classes that pass the filters at a common key; class < other. Pairs may repeat."""
+
+    def of_part(blobs: list[bytes]) -> Iterator[np.ndarray]:
+        rows = np.concatenate([np.zeros(0, POSTING), *map(_unpack, blobs)])
+        rows = rows[np.lexsort((rows["class"], rows["n"], rows["token"]))]
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["class"][1:] != rows["class"][:-1])
+        rows = rows[fresh]
+        token, klass, n = (np.ascontiguousarray(rows[c]) for c in ("token", "class", "n"))
+        begin = np.flatnonzero(np.concatenate((token[:1] == token[:1], token[1:] != token[:-1])))
+        place = np.arange(len(rows)) - np.repeat(begin, np.diff(np.append(begin, len(rows))))
+        rows = rows[["n", "at", "bits", "more"]].astype([("n", "<i4"), ("at", "<i4"), ("bits", "<u8"), ("more", "<u8")])
+        pairs, held, d = [np.zeros((0, 2), np.int64)], 0, 1
+        alive = np.flatnonzero(place > 0)
+        while len(alive):
+            alive = alive[100 * n[alive - d] >= percent * n[alive]]  # sizes ascend within a key
+            ok = alive[_can_reach(rows[alive], rows[alive - d], percent)]
+            pairs.append(np.sort(np.stack([klass[ok], klass[ok - d]], axis=1), axis=1))
+            held += len(ok)
+            if held > PAIRS:
+                yield np.unique(np.concatenate(pairs), axis=0)
+                pairs, held = [np.zeros((0, 2), np.int64)], 0
+            d += 1
+            alive = alive[place[alive] >= d]
+        yield np.unique(np.concatenate(pairs), axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                by.setdefault(part, []).append(blob)
+        for part in list(by):
+            for both in of_part(by.pop(part)):
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["class", "other"])
+
+    return packed.select("part", "blob").repartition(parts, "part").mapInArrow(run, "class long, other long")
+
+
 NAMES = ["kind", "part", "token", "class", "doc", "line", "n", "at", "bits", "other"]
 
 
@@ -380,6 +448,42 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN
     )
 
 
+def line_links(docs: DataFrame, percent: int = PERCENT, min_tokens: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, line, first_doc_id, first_line, class_doc_id, class_line, links): every line that takes part.
+
+    class_doc_id and class_line name the line's class by its first line; links is the number of other
+    classes that are similar to it, earlier or later. first_doc_id and first_line are the class's
+    first line where that is another, or else the earliest line of a similar class if it is earlier,
+    or else null: the lines where they aren't are those of similar_lines().
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    docs = docs.where("doc_id is not null and text is not null")
+    parts = shuffle_parts(spark)
+    rarity = spark.sparkContext.broadcast(sketch_counts(docs))
+    both = materialise(_postings(docs, rarity, percent, min_tokens, parts, every=True), "postings")
+    lines = both.where("part is null").select("doc_id", "line", "class")
+    first = materialise(lines.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("f")), "first")
+    pairs = materialise(_meet_all(both.where("part is not null"), percent, parts).distinct(), "pairs")
+    used = pairs.select("class").unionByName(pairs.select(F.col("other").alias("class"))).distinct()
+    sets = materialise(_sets(docs, materialise(used, "used")).join(first, "class"), "sets")
+    a = sets.select("class", F.col("items").alias("x"), "f")
+    b = sets.select(F.col("class").alias("other"), F.col("items").alias("y"), F.col("f").alias("g"))
+    shared = F.size(F.array_intersect("x", "y"))
+    hit = pairs.join(a, "class").join(b, "other").where(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
+    hit = materialise(hit.select("class", "other", "f", "g"), "links")
+    ends = hit.select("class", F.col("g").alias("w")).unionByName(hit.select(F.col("other").alias("class"), F.col("f").alias("w")))
+    linked = ends.groupBy("class").agg(F.count("*").alias("links"), F.min("w").alias("w"))
+    rows = lines.distinct().join(first, "class").join(linked, "class", "left")
+    witness = F.when(F.struct("doc_id", "line") > F.col("f"), F.col("f")).when(F.col("w") < F.col("f"), F.col("w"))
+    return rows.select(
+        "doc_id", "line", witness["doc_id"].alias("first_doc_id"), witness["line"].alias("first_line"),
+        F.col("f.doc_id").alias("class_doc_id"), F.col("f.line").alias("class_line"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+    )
+
+
 def drop_similar_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """The rows of docs without their removed lines, n_chars (where there is one) counted anew.
 

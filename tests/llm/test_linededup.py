@@ -92,3 +92,25 @@ def test_short_lines_against_brute_force(spark, monkeypatch, tmp_path):
     assert sorted((r.doc_id, r.line) for r in made) == sorted(gone)
     left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, frame, "").collect()}
     assert 2003 not in left and 2007 not in left and left[2001] == "no  RIGHTS"
+
+
+@pytest.mark.parametrize(("percent", "common"), [(80, 5), (80, 2000), (40, 5)])
+def test_all_links_against_brute_force(spark, monkeypatch, tmp_path, percent, common):
+    monkeypatch.setattr(linededup, "COMMON", common)
+    monkeypatch.setattr(linededup, "PAIRS", 20)
+    docs = corpus(5, 60) | {1000 + i: t for i, t in short_lines(6, 40).items()}
+    sets = {at: frozenset(t) for at, t in brute(docs, least=1)[1].items()}
+    first = {}
+    for at in sorted(sets):
+        first.setdefault(sets[at], at)
+    want = []
+    for at, mine in sets.items():
+        others = [first[s] for s in first if s != mine and 100 * len(s & mine) >= percent * len(s | mine)]
+        witness = first[mine] if first[mine] < at else min((w for w in others if w < at), default=(None, None))
+        want.append((*at, *witness, *first[mine], len(others)))
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    assert max(w[-1] for w in want) > 3
+    assert sorted(map(tuple, linededup.line_links(frame, percent).collect()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+    if percent == linededup.PERCENT:
+        frame.write.parquet(f"{tmp_path}/documents.parquet")
+        assert sorted(map(tuple, catalog.op7_line_dedup(spark, str(tmp_path)).collect()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
