@@ -56,7 +56,7 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of documents: the earlier line that each repeats, its class and its number of similar classes."""
-    return linededup.line_links(_table(spark, sf_dir, "documents"))
+    return linededup.line_links(_table(spark, sf_dir, "documents")).drop("digest")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

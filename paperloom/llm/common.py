@@ -16,6 +16,9 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 #: Rows of an Arrow batch where rows hold whole texts.
 TEXT_BATCH_ROWS = 500
 
+#: Spark's setting to delete an action's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Longer keys aren't kept by Recent.
 CACHED_LENGTH = 48
 
@@ -52,11 +55,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and written as Parquet to the shared folder: cuts its lineage.
 
-    Any executor can reread it, so a lost executor costs a reread, not a recomputation.
+    Any executor can reread it, so a lost executor costs a reread, not a recomputation. The
+    exchanges behind it are deleted as soon as it is written.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    held = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if held is None else spark.conf.set(CLEANUP, held)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that materialise() has written and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:
@@ -102,12 +121,65 @@ def doc_bytes(raw: bytes | None) -> bytes:
     return b"" if raw is None else raw
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes, A-Z lower-cased."""
+#: Words are hashed in blocks of so many bytes; longer ones than LONG_WORD one by one.
+WORD_BLOCK = 1 << 16
+LONG_WORD = 64
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate(([np.uint64(1)], np.full(WORD_BLOCK - 1, base, np.uint64))), dtype=np.uint64)
+
+
+_POWERS, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+_SPACES = np.zeros(256, bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+_VALUES = mix64(np.arange(256, dtype=np.uint64))
+
+
+def words_of(low: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of bytes, and where they begin.
+
+    Sums of value * base^place over a block's bytes give all words' polynomials at once; what
+    stands before a word is divided out. A word's hash doesn't depend on its place.
+    """
     import xxhash
 
-    words = raw.lower().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    data = np.frombuffer(low, np.uint8)
+    space = _SPACES[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(data) and not space[0]:
+        edge = np.concatenate(([0], edge))
+    if len(edge) % 2:
+        edge = np.concatenate((edge, [len(data)]))
+    start, stop = edge[::2], edge[1::2]
+    out = np.zeros(len(start), np.uint64)
+    size = stop - start
+    at = 0
+    while at < len(start):
+        begin = start[at]
+        to = max(at + 1, int(np.searchsorted(stop, begin + WORD_BLOCK, side="right")))
+        if stop[to - 1] - begin <= WORD_BLOCK:
+            sums = np.zeros(stop[to - 1] - begin + 1, np.uint64)
+            np.cumsum(_VALUES[data[begin : stop[to - 1]]] * _POWERS[: len(sums) - 1], out=sums[1:])
+            a = start[at:to] - begin
+            out[at:to] = (sums[stop[at:to] - begin] - sums[a]) * _INVERSE[a]
+        at = to
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(low[start[i] : stop[i]])
+    return mix64(out + size.astype(np.uint64)), start
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of UTF-8 bytes, A-Z lower-cased."""
+    return words_of(raw.lower())[0]
+
+
+def batch_words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() of many texts, one after another, and how many each text has."""
+    hashes, start = words_of(b"\n".join(raws).lower())
+    ends = np.cumsum([len(x) + 1 for x in raws]) if raws else np.zeros(0, np.int64)
+    return hashes, np.diff(np.searchsorted(start, ends, side="left"), prepend=0)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -1,22 +1,20 @@
 """Line deduplication by an exact set-similarity join.
 
-Lines are sets of tokens (words, A-Z lower-cased); equal sets form a class, whose first line is the
-earliest in order of (doc_id, line number). For a Jaccard similarity of PERCENT, two sets of sizes
-a >= b share a token among the first a - ceil(p a) + 1 tokens of each in any common order, so each
-class posts its prefix in order of rarity. Rarity is read off a sketch of token counts of fixed
-size: it decides the cost, never the result, as any common order is exact. Postings meet by token;
-length, positional and bitmap filters bound the overlap that two sets can still reach (a bitmap is the
-parity of the tokens' 7-bit hashes: two differ in no more bits than the sets in tokens; short lines
-fold theirs to 64 bits), and survivors are verified on full sets.
-
-A class is removed if one with an earlier first line is similar, whether or not that one is removed
-itself: one witness is enough. So a posting keeps the NEAR last ones before it that pass; a class
-that has more, and isn't removed by the first, is then compared with all that pass. Tokens beyond
-HOT are dealt in groups by class, whose postings meet by a join.
-
-line_links() has no such shortcut: all similar pairs of classes are found and counted. There, a token
-beyond COMMON is posted with each later token of a prefix longer by one instead: two similar sets
-that share at least two tokens share two in those prefixes, and the rarest that they share is the first of them.
+Lines are sets of tokens (words, A-Z lower-cased, by 52-bit hashes); equal sets form a class, named
+by 128 bits, whose first line is the earliest in order of (doc_id, line number). For a Jaccard
+similarity of PERCENT, two sets of sizes a >= b share a token among the first a - ceil(p a) + 1
+tokens of each in any common order, so each class posts its prefix in order of rarity. Rarity is
+read off a sketch of token counts of fixed size: it decides the cost, never the result, as any
+common order is exact. A token whose counter is 1 is in one class only and isn't posted. A token
+beyond COMMON is posted with each later token of a prefix longer by one: two similar sets that share
+at least two tokens share two in those prefixes, and the rarest that they share is the first of them.
+
+Postings meet by key, in order of their sizes. Length, positional and bitmap filters bound the
+overlap that two sets can still reach (a bitmap is the parity of the tokens' 7-bit hashes: two differ
+in no more bits than the sets in tokens; short lines fold theirs to 64 bits), and pairs that pass
+are verified on full sets. Keys of more than BLOCK classes are cut into blocks by size, and pairs of
+blocks whose sizes fit are dealt anew, so that no task compares a large key by itself. All similar
+pairs of classes are found; a line goes if its class has an earlier line, or a similar class has one.
 """
 
 from __future__ import annotations
@@ -28,309 +26,346 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import cut_lines, doc_bytes, materialise, mix64, prepare, shuffle_parts
+from paperloom.llm.common import cut_lines, doc_bytes, drop, materialise, mix64, prepare, shuffle_parts, words_of
 
 PERCENT = 80
-#: Lines of fewer distinct tokens are left alone, unless the caller says otherwise: op7 and the pipeline take all.
-MIN_TOKENS = 5
-#: Counters of the rarity sketch: 4 MB on a worker, whatever the input.
-SKETCH = 1 << 22
+#: Counters of the rarity sketch: 8 MB on a worker, whatever the input.
+SKETCH = 1 << 23
 SKETCH_BLOCK = 1 << 14
-NEAR = 1
-BATCH_BYTES = 4_000_000
-#: A token's postings go to several tasks, by class, beyond so many tokens on its counter.
-HOT = 20_000
-#: Where all pairs are wanted, tokens with more on their counter are posted with a second token.
+BATCH_BYTES = 1_000_000
+#: Tokens with more on their counter are posted with a second token.
 COMMON = 2_000
+#: Classes of a key that one task compares.
+BLOCK = 2048
 #: Pairs that a task holds before it hands them on.
 PAIRS = 1_000_000
-POSTING = np.dtype([("token", "<u8"), ("class", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("at", "<i4"), ("bits", "<u8"), ("more", "<u8")])
+#: Classes that a task remembers as counted and posted.
+REMEMBERED = 1 << 18
+POSTING = (("key", "<u8"), ("class", "<i8"), ("n", "<i4"), ("at", "<i4"), ("low", "<u8"), ("high", "<u8"))
 #: Lines of fewer tokens have folded bitmaps.
 LONG = 72
 #: Bits of the filter of candidate classes, 16 MB; it spares texts the second exchange, and false hits are harmless.
 FILTER = 1 << 27
-_TOKEN = np.uint64((1 << 40) - 1)
+#: Lines that are sorted together, and the bits that leaves to a token.
+SORTED = 1 << 12
+_BITS = 52
+_TOKEN = np.uint64((1 << _BITS) - 1)
+_KEY = np.uint64((1 << 44) - 1)
 
+Postings = dict[str, np.ndarray]
 
-def lines_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes, the line (counted over all texts) of each, and how many lines each text has."""
-    import xxhash
 
-    rows = [line.split() for raw in raws for line in raw.lower().split(b"\n")]
-    flat = [w for row in rows for w in row]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
-    sizes = np.array([len(row) for row in rows], np.int64)
-    return hashes, np.repeat(np.arange(len(rows)), sizes), np.array([raw.count(b"\n") + 1 for raw in raws])
+def sets_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens of each line in order, the line (counted over all texts) of each, and how many lines each text has."""
+    low = b"\n".join(raws).lower()
+    hashes, start = words_of(low)
+    hashes >>= np.uint64(64 - _BITS)
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(low, np.uint8) == 10), start)
+    per = np.array([raw.count(b"\n") + 1 for raw in raws], np.int64)
+    made = _sorted(line, hashes, int(per.sum()))
+    fresh = np.ones(len(line), bool)
+    fresh[1:] = (made[1:] != made[:-1]) | (line[1:] != line[:-1])
+    return made[fresh] & _TOKEN, line[fresh], per
 
 
-def ordered(hashes: np.ndarray, line: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens of each line, rarest first: (token, line)."""
-    rank = rarity[(hashes % np.uint64(SKETCH)).astype(np.int64)]
-    order = np.lexsort((hashes, rank, line))
-    hashes, line = hashes[order], line[order]
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
-    return hashes[fresh], line[fresh]
+def _sorted(line: np.ndarray, value: np.ndarray, total: int) -> np.ndarray:
+    """52-bit values in ascending order within each line, below the line's place among SORTED ones."""
+    out = np.empty(len(line), np.uint64)
+    for base in range(0, total, SORTED):
+        a, b = np.searchsorted(line, (base, base + SORTED))
+        out[a:b] = np.sort((line[a:b] - base).astype(np.uint64) << np.uint64(_BITS) | value[a:b])
+    return out
 
 
-def sketch_counts(docs: DataFrame) -> np.ndarray:
-    """The rarity sketch, as one byte a counter: eight times the binary logarithm of its count."""
+def names(token: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit names, in two halves, of sets of ``n`` distinct tokens that begin at ``start``; none is empty."""
+    if not len(start):
+        return np.zeros((2, 0), np.int64)
+    size = n.astype(np.uint64)
+    sums = (np.add.reduceat(mix64(token ^ np.uint64(salt)), start) for salt in (1 << 60, 1 << 61))
+    return tuple(mix64(x + size).view(np.int64) for x in sums)
+
+
+class Recent:
+    """Which classes a task has met lately; it may forget one, and that one comes again."""
+
+    def __init__(self):
+        self.table = np.zeros(REMEMBERED, np.int64)
+
+    def fresh(self, names: np.ndarray) -> np.ndarray:
+        """Indices of the names that are new, one for each."""
+        distinct, first = np.unique(names, return_index=True)
+        slot = distinct & (REMEMBERED - 1)
+        new = self.table[slot] != distinct
+        self.table[slot] = distinct
+        return first[new]
+
+
+def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Lines (doc_id, digest, line, class, more), and the rarity sketch: a byte a counter, 8 log2(1 + count).
+
+    docs: (doc_id, digest, text). A task counts a class's tokens once, unless it has forgotten it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        import xxhash
-
-        seen = np.zeros(SKETCH, np.uint32)
+        counts, recent = np.zeros(SKETCH, np.uint32), Recent()
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                words = doc_bytes(raw).lower().split()
-                at = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(SKETCH)
-                np.add.at(seen, at.astype(np.int64), 1)
-        blocks = seen.reshape(-1, SKETCH_BLOCK)
-        for b in np.flatnonzero(blocks.any(axis=1)).tolist():
-            made = zlib.compress(blocks[b].tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([made], pa.binary())], ["b", "n"])
+            raws = [doc_bytes(x) for x in batch.column(2).to_pylist()]
+            docs, digests = (batch.column(c).to_numpy() for c in range(2))
+            for a, b in cut_lines(map(len, raws), BATCH_BYTES):
+                token, line, per = sets_of(raws[a:b])
+                n = np.bincount(line, minlength=int(per.sum()))
+                used = np.flatnonzero(n)
+                name, more = names(token, (np.cumsum(n) - n)[used], n[used])
+                new = np.zeros(len(n), bool)
+                new[used[recent.fresh(name)]] = True
+                np.add.at(counts, (token[new[line]] & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                number = np.arange(len(n)) - np.repeat(np.cumsum(per) - per, per)
+                columns = (np.repeat(docs[a:b], per)[used], np.repeat(digests[a:b], per)[used], number[used], name, more)
+                blank = [pa.nulls(len(used), pa.int32()), pa.nulls(len(used), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), *blank], SURVEY)
+        blocks = counts.reshape(-1, SKETCH_BLOCK)
+        for at in np.flatnonzero(blocks.any(axis=1)).tolist():
+            made = zlib.compress(np.ascontiguousarray(blocks[at].view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(5)), pa.array([at], pa.int32()), pa.array([made])], SURVEY)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[b] = sums.get(b, 0) + np.frombuffer(zlib.decompress(n), np.uint32).astype(np.int64)
+            for at, made in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = np.ascontiguousarray(np.frombuffer(zlib.decompress(made), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+                sums[at] = sums.get(at, 0) + counts.astype(np.int64)
         logs = [np.minimum(255, 8 * np.log2(1 + s)).astype(np.uint8).tobytes() for s in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(logs, pa.binary())], ["b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(logs, pa.binary())], ["block", "counts"])
 
-    parts = docs.select(F.col("text")).mapInArrow(run, "b int, n binary")
-    parts = parts.repartition(min(SKETCH // SKETCH_BLOCK, shuffle_parts(docs.sparkSession)), "b")
+    made = materialise(docs.mapInArrow(run, "doc_id long, digest long, line long, class long, more long, block int, counts binary"), "lines")
+    parts = made.where("block is not null").select("block", "counts")
+    parts = parts.repartition(min(SKETCH // SKETCH_BLOCK, shuffle_parts(docs.sparkSession)), "block")
     out = np.zeros((SKETCH // SKETCH_BLOCK, SKETCH_BLOCK), np.uint8)
-    for row in parts.mapInArrow(add, "b int, n binary").collect():
-        out[row.b] = np.frombuffer(row.n, np.uint8)
-    return out.ravel()
-
-
-def _pack(rows: np.ndarray) -> bytes:
-    """Postings in order of their tokens, as byte planes: most planes are all zero."""
-    rows = rows[np.argsort(rows["token"], kind="stable")]
-    return np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), POSTING.itemsize).T).tobytes()
-
+    for row in parts.mapInArrow(add, "block int, counts binary").collect():
+        out[row.block] = np.frombuffer(row.counts, np.uint8)
+    return made, out.ravel()
+
+
+SURVEY = ["doc_id", "digest", "line", "class", "more", "block", "counts"]
+
+
+def _pack(rows: Postings) -> bytes:
+    """Postings in order of their keys, as byte planes: most planes are all zero."""
+    rows = rows | {"key": np.diff(rows["key"], prepend=np.uint64(0))}
+    flat = (np.ascontiguousarray(rows[name], kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T for name, kind in POSTING)
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in flat)
+
+
+def _unpack(blobs: list[bytes]) -> Postings:
+    parts: dict[str, list[np.ndarray]] = {name: [np.zeros(0, kind)] for name, kind in POSTING}
+    width = sum(np.dtype(kind).itemsize for _, kind in POSTING)
+    for blob in blobs:
+        m, at = len(blob) // width, 0
+        for name, kind in POSTING:
+            size = np.dtype(kind).itemsize
+            plane = np.frombuffer(blob, np.uint8, m * size, at).reshape(size, m)
+            value = np.ascontiguousarray(plane.T).view(kind).ravel()
+            parts[name].append(np.cumsum(value, dtype=np.uint64) if name == "key" else value)
+            at += m * size
+    return {name: np.concatenate(x) for name, x in parts.items()}
+
+
+def _take(rows: Postings, at) -> Postings:
+    return {name: x[at] for name, x in rows.items()}
+
+
+def postings(token: np.ndarray, line: np.ndarray, n: np.ndarray, name: np.ndarray, chosen: np.ndarray, rank: np.ndarray, percent: int) -> Postings:
+    """Postings of the chosen lines; name: by line."""
+    keep = chosen[line]
+    token, line = token[keep], line[keep]
+    n_ = np.where(chosen, n, 0)
+    start = np.cumsum(n_) - n_
+    used = np.flatnonzero(chosen)
+    low, high = np.zeros((2, len(n)), np.uint64)
+    if len(used):
+        keyed = mix64(token)
+        one = np.uint64(1) << (keyed >> np.uint64(57) & np.uint64(63))
+        upper = keyed >> np.uint64(63) == 1
+        low[used] = np.bitwise_xor.reduceat(np.where(upper, 0, one).astype(np.uint64), start[used])
+        high[used] = np.bitwise_xor.reduceat(np.where(upper, one, 0).astype(np.uint64), start[used])
+        short = n < LONG
+        low[short] ^= high[short]
+        high[short] = 0
+    rarity = rank[(token & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64)
+    made = _sorted(line, rarity << np.uint64(44) | token >> np.uint64(8), len(n))
+    key, rarity = made & _KEY, made >> np.uint64(44) & np.uint64(255)
+    alpha = -(-percent * n // 100)
+    at = np.arange(len(key)) - start[line]
+    shared = rarity > 8  # by two classes, perhaps
+    posts = (at < (n - alpha + 1)[line]) & shared
+    common = posts & (rarity > 8 * np.log2(1 + COMMON)) & (percent > 50)
+    single, two = np.flatnonzero(posts & ~common), np.flatnonzero(common)
+    times = np.maximum(0, (n - np.maximum(alpha, 2) + 2)[line[two]] - 1 - at[two])
+    ahead = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + 1
+    two = np.repeat(two, times)
+    some = shared[two + ahead]
+    two, ahead = two[some], ahead[some]
+    take = np.concatenate([single, two])
+    keys = np.concatenate([key[single], mix64(key[two] + mix64(key[two + ahead])) & _KEY])
+    rows = line[take]
+    return {"key": keys, "class": name[rows], "n": n[rows].astype(np.int32), "at": at[take].astype(np.int32), "low": low[rows], "high": high[rows]}
+
+
+def _posted(docs: DataFrame, rarity, percent: int, min_tokens: int, parts: int) -> DataFrame:
+    """(part, blob): packed postings of each task's classes, dealt by key."""
 
-def _unpack(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(POSTING.itemsize, -1).T).view(POSTING).ravel()
-
-
-def classes(token: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """64-bit names of sets of distinct tokens that begin at ``start``; none of them empty."""
-    keyed = mix64(token)
-    return mix64(np.add.reduceat(keyed, start) + mix64(np.bitwise_xor.reduceat(keyed, start))).view(np.int64)
-
-
-def _counts(token: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """About how many tokens are on a token's counter."""
-    return 2.0 ** (rank[(token % np.uint64(SKETCH)).astype(np.int64)] / 8.0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent, held = Recent(), []
+
+        def flush() -> pa.RecordBatch:
+            rows = {name: np.concatenate([x[name] for x in held]) for name, _ in POSTING}
+            held.clear()
+            part = (mix64(rows["key"]) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((rows["key"], part))
+            rows, part = _take(rows, order), part[order]
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            blobs = [_pack(_take(rows, slice(i, j))) for i, j in zip(cuts, [*cuts[1:], len(part)])]
+            return pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
+        for batch in batches:
+            raws = [doc_bytes(x) for x in batch.column(0).to_pylist()]
+            for a, b in cut_lines(map(len, raws), BATCH_BYTES):
+                token, line, per = sets_of(raws[a:b])
+                n = np.bincount(line, minlength=int(per.sum()))
+                # smaller sets are similar to equal ones only
+                used = np.flatnonzero((n >= max(1, min_tokens)) & (100 * n >= percent * (n + 1)))
+                name, chosen = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+                if len(used):
+                    full = np.flatnonzero(n)
+                    name[full] = names(token, (np.cumsum(n) - n)[full], n[full])[0]
+                    chosen[used[recent.fresh(name[used])]] = True
+                held.append(postings(token, line, n, name, chosen, rarity.value, percent))
+                if sum(len(x["n"]) for x in held) > HELD:
+                    yield flush()
+        if held:
+            yield flush()
 
-def _salts(token: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Over how many groups a token's postings are dealt."""
-    return np.maximum(1, np.ceil(_counts(token, rank) / HOT)).astype(np.uint64)
+    return docs.select("text").mapInArrow(run, "part int, blob binary").repartitionById(parts, "part")
 
 
-def _postings(lines: DataFrame, rarity, percent: int, min_tokens: int, parts: int, every: bool = False) -> DataFrame:
-    """Rows of two kinds: lines (doc, lines blob) and packed postings (part, blob) of each task's classes.
+#: Postings that a task holds before it packs them.
+HELD = 300_000
 
-    every: common tokens are posted with a second one, and none is dealt in groups.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = rarity.value
-        for batch in batches:
-            raws = [doc_bytes(x) for x in batch.column(1).to_pylist()]
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            for begin, end in cut_lines(map(len, raws), BATCH_BYTES):
-                hashes, line, per = lines_of(raws[begin:end])
-                first = np.cumsum(per) - per
-                token, line = ordered(hashes, line, rank)
-                total = int(per.sum())
-                n = np.bincount(line, minlength=total)
-                start = np.cumsum(n) - n
-                keyed = mix64(token)
-                klass = np.zeros(total, np.int64)
-                if len(token):
-                    used = np.flatnonzero(n)
-                    klass[used] = classes(token, start[used])
-                    bits, high = np.zeros((2, total), np.uint64)
-                    one = np.uint64(1) << (keyed >> np.uint64(57) & np.uint64(63))
-                    upper = keyed >> np.uint64(63) == 1
-                    bits[used] = np.bitwise_xor.reduceat(np.where(upper, 0, one).astype(np.uint64), start[used])
-                    high[used] = np.bitwise_xor.reduceat(np.where(upper, one, 0).astype(np.uint64), start[used])
-                    short = n < LONG
-                    bits[short] ^= high[short]
-                    high[short] = 0
-                doc = np.repeat(docs[begin:end], per)
-                number = np.arange(total) - np.repeat(first, per)
-                used = np.flatnonzero(n >= max(1, min_tokens))
-                chosen = np.zeros(total, bool)  # of equal lines here the first posts
-                order = np.lexsort((number[used], doc[used], klass[used]))
-                fresh = np.ones(len(order), bool)
-                fresh[1:] = klass[used][order][1:] != klass[used][order][:-1]
-                chosen[used[order[fresh]]] = True
-                prefix = n - (-(-percent * n // 100)) + 1
-                at = np.arange(len(token)) - start[line]
-                chosen &= 100 * n >= percent * (n + 1)  # smaller sets are similar to equal ones only
-                posts = chosen[line] & (at < prefix[line])
-                if every:
-                    common = posts & (_counts(token, rank) > COMMON)
-                    alpha = -(-percent * n // 100)
-                    longer = n - np.maximum(alpha, 2) + 2
-                    single = np.flatnonzero(posts & (~common | (alpha[line] < 2)))
-                    two = np.flatnonzero(common)
-                    times = np.maximum(0, longer[line[two]] - 1 - at[two])
-                    ahead = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + 1
-                    two = np.repeat(two, times)
-                    take = np.concatenate([single, two])
-                    keys = np.concatenate([token[single], mix64(token[two] + mix64(token[two + ahead]))])
-                else:
-                    take = np.flatnonzero(posts)
-                    keys = token[take]
-                made = np.empty(len(take), POSTING)
-                rows = line[take]
-                for name, value in (("token", keys & _TOKEN), ("class", klass[rows]), ("doc", doc[rows]), ("line", number[rows]), ("n", n[rows]), ("at", at[take]), ("bits", bits[rows] if len(rows) else 0), ("more", high[rows] if len(rows) else 0)):
-                    made[name] = value
-                salt = np.uint64(0) if every else mix64(np.ascontiguousarray(made["class"]).view(np.uint64)) % _salts(made["token"], rank)
-                part = (mix64(made["token"] + salt) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                made, part = made[order], part[order]
-                cuts = np.flatnonzero(np.diff(part, prepend=-1))
-                blobs = [_pack(made[i:j]) for i, j in zip(cuts, [*cuts[1:], len(made)])]
-                plain = len(used)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([None] * plain + part[cuts].tolist(), pa.int32()),
-                        pa.array([None] * plain + blobs, pa.binary()),
-                        *(pa.array(np.concatenate([v[used], np.zeros(len(blobs), v.dtype)]), k) for v, k in ((doc.astype(np.int64), pa.int64()), (number, pa.int64()), (klass, pa.int64()), (n, pa.int64()))),
-                    ],
-                    ["part", "blob", "doc_id", "line", "class", "n"],
-                )
-
-    return lines.mapInArrow(run, "part int, blob binary, doc_id long, line long, class long, n long")
-
-
-def _can_reach(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Length, positional and bitmap filters of two postings of one token."""
+def _can_reach(a: Postings, b: Postings, percent: int) -> np.ndarray:
+    """Length, positional and bitmap filters of postings of one key."""
     both = a["n"] + b["n"]
     need = -(-percent * both // (100 + percent))
     reach = np.minimum(a["n"] - a["at"], b["n"] - b["at"]) + np.minimum(a["at"], b["at"])
-    low, high = a["bits"] ^ b["bits"], a["more"] ^ b["more"]
+    low, high = a["low"] ^ b["low"], a["high"] ^ b["high"]
     folded = np.minimum(a["n"], b["n"]) < LONG
     apart = np.bitwise_count(np.where(folded, low ^ high, low)).astype(np.int32)
     apart += np.where(folded, 0, np.bitwise_count(high)).astype(np.int32)
-    return (100 * np.minimum(a["n"], b["n"]) >= percent * np.maximum(a["n"], b["n"])) & (reach >= need) & (apart <= both - 2 * need)
-
-
-def _meet(packed: DataFrame, rarity, percent: int, parts: int, again: bool = False) -> DataFrame:
-    """Rows of NAMES: kind 0, pairs (class, other) to verify, other earlier; kind 1, classes of the
-    part that have more than NEAR; kind 2, postings of tokens that are dealt in groups.
-
-    again: only classes that stand in rows without a blob are compared, with all earlier ones.
-    """
-
-    def merged(blobs: list[bytes]) -> np.ndarray:
-        rows = np.concatenate([np.zeros(0, POSTING), *map(_unpack, blobs)])
-        rows = rows[np.lexsort((rows["line"], rows["doc"], rows["class"], rows["token"]))]
-        fresh = np.ones(len(rows), bool)
-        fresh[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["class"][1:] != rows["class"][:-1])
-        rows = rows[fresh]
-        return rows[np.lexsort((rows["class"], rows["line"], rows["doc"], rows["token"]))]
-
-    def of_part(part: int, blobs: list[bytes], asked: list[int]) -> list[np.ndarray]:
-        rows = merged(blobs)
-        token = rows["token"]
-        begin = np.flatnonzero(np.concatenate((token[:1] == token[:1], token[1:] != token[:-1])))
-        size = np.diff(np.append(begin, len(rows)))
-        place = np.arange(len(rows)) - np.repeat(begin, size)
-        alive = np.flatnonzero(place > 0)
-        if again:
-            alive = alive[np.isin(rows["class"][alive], np.array(asked, np.int64))]
-        found = np.zeros(len(rows), np.int32)
-        pairs, more = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
-        d = 1
-        while len(alive):
-            ok = alive[_can_reach(rows[alive], rows[alive - d], percent)]
-            pairs.append(np.stack([rows["class"][ok], rows["class"][ok - d]], axis=1))
-            found[ok] += 1
-            d += 1
-            alive = alive[place[alive] >= d]
-            if not again:
-                full = found[alive] >= NEAR
-                more.append(rows["class"][alive[full]])
-                alive = alive[~full]
-        both = np.unique(np.concatenate(pairs), axis=0)
-        rest = np.unique(np.concatenate(more))
-        hot = rows[_salts(token, rarity.value) > 1][: 0 if again else None]
-        k, m, h = len(both), len(rest), len(hot)
-        columns = [np.repeat(np.arange(3), (k, m, h)), np.full(k + m + h, part)]
-        columns.append(np.concatenate([np.zeros(k + m, np.int64), hot["token"].view(np.int64)]))
-        columns.append(np.concatenate([both[:, 0], rest, hot["class"]]))
-        columns += [np.concatenate([np.zeros(k + m, np.int64), hot[c].astype(np.int64)]) for c in ("doc", "line", "n", "at")]
-        columns.append(np.concatenate([np.zeros(k + m, np.int64), (hot["bits"] ^ hot["more"]).view(np.int64)]))
-        return [*columns, np.concatenate([both[:, 1], np.zeros(m + h, np.int64)])]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, tuple[list[bytes], list[int]]] = {}
-        for batch in batches:
-            for part, blob, klass in zip(*(c.to_pylist() for c in batch.columns)):
-                blobs, asked = by.setdefault(part, ([], []))
-                blobs.append(blob) if blob is not None else asked.append(klass)
-        for part in list(by):
-            blobs, asked = by.pop(part)
-            if not again or asked:
-                made = of_part(part, blobs, asked)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], NAMES)
-
-    return packed.select("part", "blob", "class").repartition(parts, "part").mapInArrow(run, ", ".join(f"{x} long" for x in NAMES))
-
-
-def _meet_all(packed: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(class, other): all pairs of classes that pass the filters at a common key; class < other. Pairs may repeat."""
-
-    def of_part(blobs: list[bytes]) -> Iterator[np.ndarray]:
-        rows = np.concatenate([np.zeros(0, POSTING), *map(_unpack, blobs)])
-        rows = rows[np.lexsort((rows["class"], rows["n"], rows["token"]))]
-        fresh = np.ones(len(rows), bool)
-        fresh[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["class"][1:] != rows["class"][:-1])
-        rows = rows[fresh]
-        token, klass, n = (np.ascontiguousarray(rows[c]) for c in ("token", "class", "n"))
-        begin = np.flatnonzero(np.concatenate((token[:1] == token[:1], token[1:] != token[:-1])))
-        place = np.arange(len(rows)) - np.repeat(begin, np.diff(np.append(begin, len(rows))))
-        rows = rows[["n", "at", "bits", "more"]].astype([("n", "<i4"), ("at", "<i4"), ("bits", "<u8"), ("more", "<u8")])
-        pairs, held, d = [np.zeros((0, 2), np.int64)], 0, 1
-        alive = np.flatnonzero(place > 0)
-        while len(alive):
-            alive = alive[100 * n[alive - d] >= percent * n[alive]]  # sizes ascend within a key
-            ok = alive[_can_reach(rows[alive], rows[alive - d], percent)]
-            pairs.append(np.sort(np.stack([klass[ok], klass[ok - d]], axis=1), axis=1))
-            held += len(ok)
-            if held > PAIRS:
-                yield np.unique(np.concatenate(pairs), axis=0)
-                pairs, held = [np.zeros((0, 2), np.int64)], 0
-            d += 1
-            alive = alive[place[alive] >= d]
-        yield np.unique(np.concatenate(pairs), axis=0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[bytes]] = {}
+    fits = 100 * np.minimum(a["n"], b["n"]) >= percent * np.maximum(a["n"], b["n"])
+    return fits & (reach >= need) & (apart <= both - 2 * need) & (a["class"] != b["class"])
+
+
+def _pairs(rows: Postings, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    ok = _can_reach(_take(rows, i), _take(rows, j), percent)
+    a, b = rows["class"][i[ok]], rows["class"][j[ok]]
+    return np.stack([np.minimum(a, b), np.maximum(a, b)])
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    both = np.concatenate([np.zeros((2, 0), np.int64), *parts], axis=1)
+    both = both[:, np.lexsort((both[1], both[0]))]
+    fresh = np.ones(both.shape[1], bool)
+    fresh[1:] = (both[:, 1:] != both[:, :-1]).any(axis=0)
+    return both[:, fresh]
+
+
+def compare(rows: Postings, place: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """Pairs of rows of one key, whose sizes ascend; place: of a row among its key's."""
+    n, folded = rows["n"], rows["low"] ^ rows["high"]
+    share = n * ((100 - percent) / (100 + percent)) + 1e-6
+    parts, held, d = [], 0, 1
+    alive = np.flatnonzero(place > 0)
+    while len(alive):
+        other = alive - d
+        fits = 100 * n[other] >= percent * n[alive]
+        alive, other = alive[fits], other[fits]
+        near = np.bitwise_count(folded[alive] ^ folded[other]) <= share[alive] + share[other]
+        parts.append(_pairs(rows, alive[near], other[near], percent))
+        held += parts[-1].shape[1]
+        if held > PAIRS:
+            yield _distinct(parts)
+            parts, held = [], 0
+        d += 1
+        alive = alive[place[alive] >= d]
+    yield _distinct(parts)
+
+
+def cross(rows: Postings, m: int, percent: int) -> Iterator[np.ndarray]:
+    """Pairs of the first ``m`` rows with the others."""
+    folded = rows["low"] ^ rows["high"]
+    share = rows["n"] * ((100 - percent) / (100 + percent)) + 1e-6
+    for begin in range(0, m, 256):
+        end = min(m, begin + 256)
+        apart = np.bitwise_count(folded[begin:end, None] ^ folded[None, m:])
+        i, j = np.nonzero(apart <= share[begin:end, None] + share[None, m:])
+        yield _distinct([_pairs(rows, i + begin, j + m, percent)])
+
+
+def _meet(posted: DataFrame, percent: int) -> DataFrame:
+    """(class, other, left, right): pairs that pass the filters, class < other; or blocks of a large key that are to meet."""
+    schema = "class long, other long, left binary, right binary"
+
+    def made(both: np.ndarray) -> pa.RecordBatch:
+        blank = [pa.nulls(both.shape[1], pa.binary())] * 2
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), *blank], ["class", "other", "left", "right"])
+
+    def of_part(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = _unpack(blobs)
+        rows = _take(rows, np.lexsort((rows["class"], rows["n"], rows["key"])))
+        fresh = np.ones(len(rows["n"]), bool)
+        fresh[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["class"][1:] != rows["class"][:-1])
+        rows = _take(rows, fresh)
+        begin = np.flatnonzero(np.diff(rows["key"], prepend=rows["key"][:1] + np.uint64(1)))
+        size = np.diff(np.append(begin, len(rows["n"])))
+        for a, m in zip(begin[size > BLOCK].tolist(), size[size > BLOCK].tolist()):
+            cuts = [slice(x, min(x + BLOCK, a + m)) for x in range(a, a + m, BLOCK)]
+            packed = [_pack(_take(rows, c)) for c in cuts]
+            for i, left in enumerate(cuts):
+                for j in range(i, len(cuts)):
+                    if 100 * int(rows["n"][left.stop - 1]) < percent * int(rows["n"][cuts[j].start]):
+                        break
+                    columns = ([None], [None], [packed[i]], [packed[j] if j > i else None])
+                    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["class", "other", "left", "right"])
+        small = np.repeat((size > 1) & (size <= BLOCK), size)
+        place = (np.arange(len(small)) - np.repeat(begin, size))[small]
+        for both in compare(_take(rows, small), place, percent):
+            yield made(both)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [x for batch in batches for x in batch.column(0).to_pylist()]
+        yield from of_part(blobs)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                by.setdefault(part, []).append(blob)
-        for part in list(by):
-            for both in of_part(by.pop(part)):
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["class", "other"])
+            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = _unpack([left] if right is None else [left, right])
+                whole = np.arange(len(rows["n"]))
+                found = compare(rows, whole, percent) if right is None else cross(rows, len(_unpack([left])["n"]), percent)
+                for both in found:
+                    yield made(both)
 
-    return packed.select("part", "blob").repartition(parts, "part").mapInArrow(run, "class long, other long")
-
-
-NAMES = ["kind", "part", "token", "class", "doc", "line", "n", "at", "bits", "other"]
+    met = materialise(posted.select("blob").mapInArrow(meet, schema), "met")
+    cells = met.where("left is not null").select("left", "right").repartition(shuffle_parts(met.sparkSession), F.xxhash64("left", "right"))
+    pairs = met.where("left is null").unionByName(cells.mapInArrow(again, schema)).select("class", "other").distinct()
+    pairs = materialise(pairs, "pairs")
+    drop(met)
+    return pairs
 
 
 def _class_filter(used: DataFrame) -> np.ndarray:
@@ -355,148 +390,106 @@ def _class_filter(used: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, used: DataFrame) -> DataFrame:
-    """(class, items): the full sets of the wanted classes, from one more pass over the texts."""
-    spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(_class_filter(used))
+    """(class, more, items): the full sets of the wanted classes, from one more pass over the texts."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_class_filter(used))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent = Recent()
         for batch in batches:
             raws = [doc_bytes(x) for x in batch.column(0).to_pylist()]
-            for begin, end in cut_lines(map(len, raws), BATCH_BYTES):
-                hashes, line, per = lines_of(raws[begin:end])
-                order = np.lexsort((hashes, line))
-                hashes, line = hashes[order], line[order]
-                fresh = np.ones(len(hashes), bool)
-                fresh[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
-                token, line = hashes[fresh], line[fresh]
+            for a, b in cut_lines(map(len, raws), BATCH_BYTES):
+                token, line, per = sets_of(raws[a:b])
                 n = np.bincount(line, minlength=int(per.sum()))
                 full = np.flatnonzero(n)
                 start = (np.cumsum(n) - n)[full]
-                names = classes(token, start) if len(full) else np.zeros(0, np.int64)
-                names, first = np.unique(names, return_index=True)
-                at = names % FILTER
-                keep = np.flatnonzero(wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) if len(at) else np.zeros(0, int)
-                rows = [token[start[i] : start[i] + n[full[i]]].view(np.int64) for i in first[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(names[keep], pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["class", "items"])
-
-    made = docs.select("text").mapInArrow(run, "class long, items array<long>").join(used, "class", "left_semi")
-    return made.groupBy("class").agg(F.first("items").alias("items"))
-
-
-def similar_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line, first_doc_id, first_line): the removed lines, numbered from 0, and a witness.
-
-    The witness is the first line of the same class, or else the earliest similar one found. Rows
-    with NULL doc_id or text, and lines of fewer than ``min_tokens`` distinct tokens, take no part.
-    Where rows share a doc_id, equal line numbers with equal token sets count as one line.
-    """
+                name, more = names(token, start, n[full])
+                at = name % FILTER
+                some = np.flatnonzero(wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                some = some[recent.fresh(name[some])]
+                size = n[full][some]
+                which = np.repeat(start[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
+                items = pa.ListArray.from_arrays(offsets, pa.array(token[which].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(more[some]), items], ["class", "more", "items"])
+
+    made = docs.select("text").mapInArrow(run, "class long, more long, items array<long>").join(used, "class", "left_semi")
+    return made.groupBy("class", "more").agg(F.first("items").alias("items"))
+
+
+def _linked(docs: DataFrame, percent: int, min_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """lines (doc_id, digest, line, class, more); first (class, more, f); linked (class, more, links, w)."""
     spark = docs.sparkSession
-    prepare(spark)
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    docs = docs.where("doc_id is not null and text is not null")
     parts = shuffle_parts(spark)
-    rarity = spark.sparkContext.broadcast(sketch_counts(docs))
-    both = materialise(_postings(docs, rarity, percent, min_tokens, parts), "postings")
-    lines = both.where("part is null").select("doc_id", "line", "class", "n")
-    first = lines.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("f"))
-    first = materialise(first, "first")  # it is read for every set of pairs
-    met = materialise(_meet(both.where("part is not null"), rarity, percent, parts), "met")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(class, w): classes that have a similar earlier class, with the earliest found."""
-        used = pairs.select("class").unionByName(pairs.select(F.col("other").alias("class"))).distinct()
-        used = materialise(used, "used")
-        known = materialise(first.join(used, "class").select("class", "f.doc_id", "f.line"), "classes")
-        sets = materialise(_sets(docs, used), "sets")
-        a = sets.select("class", F.col("items").alias("x"))
-        b = sets.select(F.col("class").alias("other"), F.col("items").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        hit = pairs.join(a, "class").join(b, "other").where(100 * both >= percent * (F.size("x") + F.size("y") - both))
-        at = known.select(F.col("class").alias("other"), F.struct("doc_id", "line", F.col("class").alias("c")).alias("w"))
-        return hit.select("class", "other").join(at, "other").groupBy("class").agg(F.min("w").alias("w"))
-
-    seen = materialise(verified(met.where("kind = 0").select("class", "other").distinct()), "links")
-    late = met.where("kind = 1").select("part", "class").join(seen, "class", "left_anti")
-    hot = met.where("kind = 2")
-    unsure = materialise(late.distinct(), "late")
-    more = []
-    if not unsure.isEmpty():
-        asked = unsure.select(F.col("part").cast("int").alias("part"), F.lit(None).cast("binary").alias("blob"), "class")
-        packed = both.where("part is not null").join(asked.select("part").distinct(), "part", "left_semi")
-        full = _meet(packed.select("part", "blob", "class").unionByName(asked), rarity, percent, parts, again=True)
-        more.append(full.select("class", "other"))
-    if not hot.isEmpty():
-        a = hot.join(seen, "class", "left_anti").select("token", "class", "doc", "line", "n", "at", "bits")
-        b = hot.select("token", *(F.col(c).alias(f"{c}_b") for c in ("class", "doc", "line", "n", "at", "bits")))
-        need = F.ceil(percent * (F.col("n") + F.col("n_b")) / (100 + percent))
-        reach = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) + F.least("at", "at_b")
-        apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_b")))
-        earlier = F.struct("doc_b", "line_b", "class_b") < F.struct("doc", "line", "class")
-        fits = (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & (reach >= need)
-        fits = fits & (apart <= F.col("n") + F.col("n_b") - 2 * need)
-        more.append(a.join(b, "token").where(earlier & fits).select("class", F.col("class_b").alias("other")))
-    for pairs in more:
-        seen = seen.unionByName(verified(pairs.distinct()))
-    seen = seen.groupBy("class").agg(F.min("w").alias("w"))
-
-    rows = lines.select("doc_id", "line", "class").distinct().join(first.select("class", "f"), "class").join(seen, "class", "left")
-    again = F.struct("doc_id", "line") > F.col("f")
-    rows = rows.where(again | F.col("w").isNotNull())
-    return rows.select(
-        "doc_id", "line", F.when(again, F.col("f.doc_id")).otherwise(F.col("w.doc_id")).alias("first_doc_id"),
-        F.when(again, F.col("f.line")).otherwise(F.col("w.line")).alias("first_line"),
+    made, sketch = survey(docs)
+    rarity = spark.sparkContext.broadcast(sketch)
+    pairs = _meet(_posted(docs, rarity, percent, min_tokens, parts), percent)
+    lines = made.where("block is null").select("doc_id", "digest", "line", "class", "more")
+    first = materialise(lines.groupBy("class", "more").agg(F.min(F.struct("doc_id", "line", "digest")).alias("f")), "first")
+    used = pairs.select("class").unionByName(pairs.select(F.col("other").alias("class"))).distinct()
+    used = materialise(used, "used")
+    sets = materialise(_sets(docs, used).join(first, ["class", "more"]), "sets")
+    drop(used)
+    a = sets.select("class", "more", F.col("items").alias("x"), "f")
+    b = sets.select(F.col("class").alias("other"), F.col("more").alias("rest"), F.col("items").alias("y"), F.col("f").alias("g"))
+    shared = F.size(F.array_intersect("x", "y"))
+    hit = pairs.join(a, "class").join(b, "other").where(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
+    hit = materialise(hit.select("class", "more", "f", "other", "rest", "g"), "links")
+    drop(pairs, sets)
+    ends = hit.select("class", "more", F.col("g").alias("w")).unionByName(
+        hit.select(F.col("other").alias("class"), F.col("rest").alias("more"), F.col("f").alias("w"))
     )
+    linked = materialise(ends.groupBy("class", "more").agg(F.count("*").alias("links"), F.min("w").alias("w")), "linked")
+    drop(hit)
+    return lines, first, linked
 
 
-def line_links(docs: DataFrame, percent: int = PERCENT, min_tokens: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line, first_doc_id, first_line, class_doc_id, class_line, links): every line that takes part.
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, digest, text), without rows that take no part."""
+    prepare(docs.sparkSession)
+    body = F.col(text).cast("binary")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("digest"), body.alias("text"))
+    return rows.where("doc_id is not null and text is not null")
+
 
-    class_doc_id and class_line name the line's class by its first line; links is the number of other
-    classes that are similar to it, earlier or later. first_doc_id and first_line are the class's
-    first line where that is another, or else the earliest line of a similar class if it is earlier,
-    or else null: the lines where they aren't are those of similar_lines().
+def line_links(docs: DataFrame, percent: int = PERCENT, min_tokens: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, digest, line, first_doc_id, first_line, class_doc_id, class_line, links): every line with a token.
+
+    Lines are numbered from 0; digest is that of the whole text, which tells rows with one doc_id
+    apart. class_doc_id and class_line name the line's class by its first line; links is the number
+    of other classes that are similar to it, earlier or later. first_doc_id and first_line are the
+    class's first line where that is another, or else the earliest line of a similar class if it is
+    earlier, or else null. Lines of fewer than ``min_tokens`` distinct tokens are similar to equal
+    ones only. Rows with NULL doc_id or text take no part; repeated rows count as one document and
+    keep their rows.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    docs = docs.where("doc_id is not null and text is not null")
-    parts = shuffle_parts(spark)
-    rarity = spark.sparkContext.broadcast(sketch_counts(docs))
-    both = materialise(_postings(docs, rarity, percent, min_tokens, parts, every=True), "postings")
-    lines = both.where("part is null").select("doc_id", "line", "class")
-    first = materialise(lines.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("f")), "first")
-    pairs = materialise(_meet_all(both.where("part is not null"), percent, parts).distinct(), "pairs")
-    used = pairs.select("class").unionByName(pairs.select(F.col("other").alias("class"))).distinct()
-    sets = materialise(_sets(docs, materialise(used, "used")).join(first, "class"), "sets")
-    a = sets.select("class", F.col("items").alias("x"), "f")
-    b = sets.select(F.col("class").alias("other"), F.col("items").alias("y"), F.col("f").alias("g"))
-    shared = F.size(F.array_intersect("x", "y"))
-    hit = pairs.join(a, "class").join(b, "other").where(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
-    hit = materialise(hit.select("class", "other", "f", "g"), "links")
-    ends = hit.select("class", F.col("g").alias("w")).unionByName(hit.select(F.col("other").alias("class"), F.col("f").alias("w")))
-    linked = ends.groupBy("class").agg(F.count("*").alias("links"), F.min("w").alias("w"))
-    rows = lines.distinct().join(first, "class").join(linked, "class", "left")
-    witness = F.when(F.struct("doc_id", "line") > F.col("f"), F.col("f")).when(F.col("w") < F.col("f"), F.col("w"))
+    lines, first, linked = _linked(_rows(docs, key, text), percent, min_tokens)
+    rows = lines.join(first, ["class", "more"]).join(linked, ["class", "more"], "left")
+    witness = F.when(F.struct("doc_id", "line", "digest") > F.col("f"), F.col("f")).when(F.col("w") < F.col("f"), F.col("w"))
     return rows.select(
-        "doc_id", "line", witness["doc_id"].alias("first_doc_id"), witness["line"].alias("first_line"),
+        "doc_id", "digest", "line", witness["doc_id"].alias("first_doc_id"), witness["line"].alias("first_line"),
         F.col("f.doc_id").alias("class_doc_id"), F.col("f.line").alias("class_line"),
         F.coalesce("links", F.lit(0)).cast("long").alias("links"),
     )
 
 
-def drop_similar_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """The rows of docs without their removed lines, n_chars (where there is one) counted anew.
+def drop_similar_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without the lines that have an earlier line (see ``line_links``), n_chars counted anew.
 
     A document that loses every line goes; one that never had any, or a null text, stays as it is.
     """
-    gone = similar_lines(docs, percent, min_tokens).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    left = docs.join(gone.withColumnRenamed("doc_id", "_id"), docs["doc_id"].cast("long") == F.col("_id"), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i.cast("long")))
+    lines, first, linked = _linked(_rows(docs, key, text), percent, min_tokens)
+    rows = lines.join(first, ["class", "more"]).join(linked, ["class", "more"], "left")
+    late = (F.struct("doc_id", "line", "digest") > F.col("f")) | (F.col("w") < F.col("f"))
+    gone = rows.where(late).groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.collect_set("line").alias("_gone"))
+    gone = materialise(gone, "gone")
+    drop(lines, first, linked)
+    same = (docs[key].cast("long") == F.col("_id")) & (F.xxhash64(docs[text].cast("binary")) == F.col("_digest"))
+    left = docs.join(gone, same, "left")
+    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_gone", i.cast("long")))
     left = left.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    left = left.where(F.col("_gone").isNull() | ~F.forall("_kept", lambda x: F.trim(x) == ""))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    out = left.withColumn("text", text)
+    left = left.where(F.col("_gone").isNull() | F.exists("_kept", lambda x: F.trim(x) != ""))
+    out = left.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(kind)))
     return out.select(*docs.columns)

@@ -24,7 +24,7 @@ def corpus(seed, n):
     return docs
 
 
-def brute(docs, percent=80, least=5):
+def brute(docs, percent=80, least=1):
     rows = []
     for d in sorted(docs):
         for i, line in enumerate((docs[d] or "").split("\n")):
@@ -38,13 +38,13 @@ def brute(docs, percent=80, least=5):
     return gone, {at: t for at, t in rows}
 
 
-@pytest.mark.parametrize(("seed", "near"), [(1, 1), (2, 3)])
-def test_removed_lines_against_brute_force(spark, monkeypatch, seed, near):
-    monkeypatch.setattr(linededup, "NEAR", near)
-    monkeypatch.setattr(linededup, "HOT", 30)
+@pytest.mark.parametrize(("seed", "block", "common"), [(1, 2048, 2000), (2, 4, 3)])
+def test_removed_lines_against_brute_force(spark, monkeypatch, seed, block, common):
+    monkeypatch.setattr(linededup, "BLOCK", block)
+    monkeypatch.setattr(linededup, "COMMON", common)
     docs = corpus(seed, 120)
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
-    rows = linededup.similar_lines(frame).collect()
+    rows = linededup.line_links(frame).where("first_doc_id is not null").collect()
     gone, sets = brute(docs)
     assert sorted((r.doc_id, r.line) for r in rows) == sorted(gone)
     for r in rows:
@@ -64,13 +64,27 @@ def test_texts_without_their_lines(spark):
     out = linededup.drop_similar_lines(docs)
     assert out.columns == docs.columns
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
-    assert got == {1: (rows[0][1], 1), 2: ("yes\nlast", 8), 4: (None, None), 5: ("", 0)}
-    assert linededup.similar_lines(docs.limit(0)).count() == 0
+    assert got == {1: (rows[0][1], 1), 2: ("last", 4), 4: (None, None), 5: ("", 0)}
+    assert linededup.line_links(docs.limit(0)).count() == 0 and linededup.drop_similar_lines(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_shared_ids(spark):
+    rows = [(1, "a b c d e f")] * 2 + [(None, "a b c d e f"), (2, "f e d c b a"), (3, "x\ny z"), (3, "x\nother")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = linededup.line_links(docs).where("first_doc_id is not null").collect()
+    assert sorted((r.doc_id, r.line, r.first_doc_id) for r in found) == [(2, 0, 1), (3, 0, 3)]
+    left = sorted((r.doc_id, r.text) for r in linededup.drop_similar_lines(docs).where("doc_id is not null").collect())
+    assert left[:2] == rows[:2] and [x.split("\n")[-1] for _, x in left[2:]] == ["other", "y z"] and min(len(x) for _, x in left[2:]) < 6
 
 
-def test_repeated_rows(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f")] * 2 + [(None, "a b c d e f"), (2, "f e d c b a")], "doc_id long, text string")
-    assert [(r.doc_id, r.line, r.first_doc_id) for r in linededup.similar_lines(docs).collect()] == [(2, 0, 1)]
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    long_line = " ".join(f"t{rng.randrange(10**6)}" for _ in range(60_000))
+    many = "\n".join(f"line {i} of {i * i} and {i + 7}" for i in range(9000))
+    word = "z" * 300_000
+    docs = spark.createDataFrame([(1, long_line), (2, many), (3, word + "\nline 8999 of 80982001 and 9006"), (4, long_line.replace("t7", "u7")), (5, word)], "doc_id long, text string")
+    rows = linededup.line_links(docs).where("first_doc_id is not null").collect()
+    assert {(r.doc_id, r.line): (r.first_doc_id, r.first_line) for r in rows} == {(3, 1): (2, 8999), (4, 0): (1, 0), (5, 0): (3, 0)}
 
 
 def short_lines(seed, n):
@@ -79,13 +93,13 @@ def short_lines(seed, n):
 
 
 def test_short_lines_against_brute_force(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(linededup, "HOT", 30)
+    monkeypatch.setattr(linededup, "REMEMBERED", 4)
     docs = corpus(3, 60) | {1000 + i: t for i, t in short_lines(4, 40).items()}
     docs |= {2000: "All rights reserved.", 2001: "no  RIGHTS\nall rights RESERVED.", 2002: "日本語の文\n \n", 2003: "日本語の文", 2004: "v w x y", 2005: "z y x w v", 2006: "v v v", 2007: "v"}
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
-    gone, _ = brute(docs, least=1)
+    gone, _ = brute(docs)
     assert {(2001, 1), (2003, 0), (2005, 0), (2007, 0)} <= gone
-    rows = linededup.similar_lines(frame, min_tokens=1).collect()
+    rows = linededup.line_links(frame).where('first_doc_id is not null').collect()
     assert sorted((r.doc_id, r.line) for r in rows) == sorted(gone)
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     made = catalog.op7_line_dedup(spark, str(tmp_path)).where("first_doc_id is not null").collect()
@@ -99,7 +113,7 @@ def test_all_links_against_brute_force(spark, monkeypatch, tmp_path, percent, co
     monkeypatch.setattr(linededup, "COMMON", common)
     monkeypatch.setattr(linededup, "PAIRS", 20)
     docs = corpus(5, 60) | {1000 + i: t for i, t in short_lines(6, 40).items()}
-    sets = {at: frozenset(t) for at, t in brute(docs, least=1)[1].items()}
+    sets = {at: frozenset(t) for at, t in brute(docs)[1].items()}
     first = {}
     for at in sorted(sets):
         first.setdefault(sets[at], at)
@@ -110,7 +124,7 @@ def test_all_links_against_brute_force(spark, monkeypatch, tmp_path, percent, co
         want.append((*at, *witness, *first[mine], len(others)))
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
     assert max(w[-1] for w in want) > 3
-    assert sorted(map(tuple, linededup.line_links(frame, percent).collect()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+    assert sorted(map(tuple, linededup.line_links(frame, percent).drop("digest").collect()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
     if percent == linededup.PERCENT:
         frame.write.parquet(f"{tmp_path}/documents.parquet")
         assert sorted(map(tuple, catalog.op7_line_dedup(spark, str(tmp_path)).collect()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
