@@ -37,6 +37,8 @@ BATCH_BYTES = 1_000_000
 COMMON = 2_000
 #: Classes of a key that one task compares.
 BLOCK = 2048
+#: Postings that a task holds before it packs them.
+HELD = 300_000
 #: Pairs that a task holds before it hands them on.
 PAIRS = 1_000_000
 #: Classes that a task remembers as counted and posted.
@@ -121,7 +123,7 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 name, more = names(token, (np.cumsum(n) - n)[used], n[used])
                 new = np.zeros(len(n), bool)
                 new[used[recent.fresh(name)]] = True
-                np.add.at(counts, (token[new[line]] & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                np.add.at(counts, (token[new[line]] & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
                 number = np.arange(len(n)) - np.repeat(np.cumsum(per) - per, per)
                 columns = (np.repeat(docs[a:b], per)[used], np.repeat(digests[a:b], per)[used], number[used], name, more)
                 blank = [pa.nulls(len(used), pa.int32()), pa.nulls(len(used), pa.binary())]
@@ -131,7 +133,7 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             made = zlib.compress(np.ascontiguousarray(blocks[at].view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(5)), pa.array([at], pa.int32()), pa.array([made])], SURVEY)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
         sums: dict[int, np.ndarray] = {}
@@ -146,7 +148,7 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     parts = made.where("block is not null").select("block", "counts")
     parts = parts.repartition(min(SKETCH // SKETCH_BLOCK, shuffle_parts(docs.sparkSession)), "block")
     out = np.zeros((SKETCH // SKETCH_BLOCK, SKETCH_BLOCK), np.uint8)
-    for row in parts.mapInArrow(add, "block int, counts binary").collect():
+    for row in parts.mapInArrow(total, "block int, counts binary").collect():
         out[row.block] = np.frombuffer(row.counts, np.uint8)
     return made, out.ravel()
 
@@ -253,10 +255,6 @@ def _posted(docs: DataFrame, rarity, percent: int, min_tokens: int, parts: int)
     return docs.select("text").mapInArrow(run, "part int, blob binary").repartitionById(parts, "part")
 
 
-#: Postings that a task holds before it packs them.
-HELD = 300_000
-
-
 def _can_reach(a: Postings, b: Postings, percent: int) -> np.ndarray:
     """Length, positional and bitmap filters of postings of one key."""
     both = a["n"] + b["n"]
