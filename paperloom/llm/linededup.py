@@ -11,10 +11,12 @@ at least two tokens share two in those prefixes, and the rarest that they share
 
 Postings meet by key, in order of their sizes. Length, positional and bitmap filters bound the
 overlap that two sets can still reach (a bitmap is the parity of the tokens' 7-bit hashes: two differ
-in no more bits than the sets in tokens; short lines fold theirs to 64 bits), and pairs that pass
-are verified on full sets. Keys of more than BLOCK classes are cut into blocks by size, and pairs of
-blocks whose sizes fit are dealt anew, so that no task compares a large key by itself. All similar
-pairs of classes are found; a line goes if its class has an earlier line, or a similar class has one.
+in no more bits than the sets in tokens; short lines fold theirs to 64 bits). Pairs that pass are never
+emitted: tasks join them by union-find and return one edge a class, and the edges' components are groups
+outside of which nothing is similar. Within its group every set meets every other once, on full sets;
+what is returned is each class's number of similar classes and the earliest line among theirs. Keys
+and groups of more than BLOCK classes are cut into blocks, and pairs of blocks are dealt as cells, so that
+no task has a large one to itself. A line goes if its class has an earlier line, or a similar class has one.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import cut_lines, doc_bytes, drop, materialise, mix64, prepare, shuffle_parts, words_of
+from paperloom.llm.common import components, cut_lines, doc_bytes, drop, materialise, mix64, prepare, shuffle_parts, words_of
 
 PERCENT = 80
 #: Counters of the rarity sketch: 8 MB on a worker, whatever the input.
@@ -35,12 +37,17 @@ SKETCH_BLOCK = 1 << 14
 BATCH_BYTES = 1_000_000
 #: Tokens with more on their counter are posted with a second token.
 COMMON = 2_000
-#: Classes of a key that one task compares.
+#: Classes of a key or group that meet in one task.
 BLOCK = 2048
 #: Postings that a task holds before it packs them.
 HELD = 300_000
 #: Pairs that a task holds before it hands them on.
 PAIRS = 1_000_000
+#: Larger groups of sets are compared by products of matrices, so many rows at once.
+FEW = 48
+STRIPE = 512
+#: Sets, and tokens, that a task compares together, unless one cell has more.
+TOGETHER = 20_000
 #: Classes that a task remembers as counted and posted.
 REMEMBERED = 1 << 18
 POSTING = (("key", "<u8"), ("class", "<i8"), ("n", "<i4"), ("at", "<i4"), ("low", "<u8"), ("high", "<u8"))
@@ -55,6 +62,7 @@ _TOKEN = np.uint64((1 << _BITS) - 1)
 _KEY = np.uint64((1 << 44) - 1)
 
 Postings = dict[str, np.ndarray]
+LINKED = "class long, more long, links long, w struct<doc_id:long,line:long,digest:long>"
 
 
 def sets_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,6 +96,18 @@ def names(token: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     return tuple(mix64(x + size).view(np.int64) for x in sums)
 
 
+def bitmaps(token: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of the tokens' hashes, 128 bits a set in two halves; short sets have theirs folded into the first."""
+    if not len(start):
+        return np.zeros((2, 0), np.uint64)
+    keyed = mix64(token)
+    one = np.uint64(1) << (keyed >> np.uint64(57) & np.uint64(63))
+    upper = keyed >> np.uint64(63) == 1
+    low, high = (np.bitwise_xor.reduceat(np.where(upper == x, one, 0).astype(np.uint64), start) for x in (False, True))
+    low ^= np.where(n < LONG, high, 0).astype(np.uint64)
+    return low, np.where(n < LONG, 0, high).astype(np.uint64)
+
+
 class Recent:
     """Which classes a task has met lately; it may forget one, and that one comes again."""
 
@@ -189,15 +209,7 @@ def postings(token: np.ndarray, line: np.ndarray, n: np.ndarray, name: np.ndarra
     start = np.cumsum(n_) - n_
     used = np.flatnonzero(chosen)
     low, high = np.zeros((2, len(n)), np.uint64)
-    if len(used):
-        keyed = mix64(token)
-        one = np.uint64(1) << (keyed >> np.uint64(57) & np.uint64(63))
-        upper = keyed >> np.uint64(63) == 1
-        low[used] = np.bitwise_xor.reduceat(np.where(upper, 0, one).astype(np.uint64), start[used])
-        high[used] = np.bitwise_xor.reduceat(np.where(upper, one, 0).astype(np.uint64), start[used])
-        short = n < LONG
-        low[short] ^= high[short]
-        high[short] = 0
+    low[used], high[used] = bitmaps(token, start[used], n[used])
     rarity = rank[(token & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64)
     made = _sorted(line, rarity << np.uint64(44) | token >> np.uint64(8), len(n))
     key, rarity = made & _KEY, made >> np.uint64(44) & np.uint64(255)
@@ -256,34 +268,56 @@ def _posted(docs: DataFrame, rarity, percent: int, min_tokens: int, parts: int)
 
 
 def _can_reach(a: Postings, b: Postings, percent: int) -> np.ndarray:
-    """Length, positional and bitmap filters of postings of one key."""
+    """Length, bitmap and (of postings of one key) positional filters."""
     both = a["n"] + b["n"]
     need = -(-percent * both // (100 + percent))
-    reach = np.minimum(a["n"] - a["at"], b["n"] - b["at"]) + np.minimum(a["at"], b["at"])
     low, high = a["low"] ^ b["low"], a["high"] ^ b["high"]
     folded = np.minimum(a["n"], b["n"]) < LONG
     apart = np.bitwise_count(np.where(folded, low ^ high, low)).astype(np.int32)
     apart += np.where(folded, 0, np.bitwise_count(high)).astype(np.int32)
     fits = 100 * np.minimum(a["n"], b["n"]) >= percent * np.maximum(a["n"], b["n"])
-    return fits & (reach >= need) & (apart <= both - 2 * need) & (a["class"] != b["class"])
-
-
-def _pairs(rows: Postings, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    ok = _can_reach(_take(rows, i), _take(rows, j), percent)
-    a, b = rows["class"][i[ok]], rows["class"][j[ok]]
-    return np.stack([np.minimum(a, b), np.maximum(a, b)])
-
-
-def _distinct(parts: list[np.ndarray]) -> np.ndarray:
-    both = np.concatenate([np.zeros((2, 0), np.int64), *parts], axis=1)
-    both = both[:, np.lexsort((both[1], both[0]))]
-    fresh = np.ones(both.shape[1], bool)
-    fresh[1:] = (both[:, 1:] != both[:, :-1]).any(axis=0)
-    return both[:, fresh]
-
-
-def compare(rows: Postings, place: np.ndarray, percent: int) -> Iterator[np.ndarray]:
-    """Pairs of rows of one key, whose sizes ascend; place: of a row among its key's."""
+    fits &= apart <= both - 2 * need
+    if "at" in a:
+        fits &= np.minimum(a["n"] - a["at"], b["n"] - b["at"]) + np.minimum(a["at"], b["at"]) >= need
+    return fits
+
+
+class Groups:
+    """Union-find over the classes of some rows."""
+
+    def __init__(self, names: np.ndarray):
+        self.names, self.of = np.unique(names, return_inverse=True)
+        self.label = np.arange(len(self.names))
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.label[self.of[i]] != self.label[self.of[j]]
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        a, b = self.of[i], self.of[j]
+        while True:
+            x, y = self.label[a], self.label[b]
+            open_ = x != y
+            if not open_.any():
+                return
+            a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+            np.minimum.at(self.label, np.maximum(x, y), np.minimum(x, y))
+            while True:
+                up = self.label[self.label]
+                if (up == self.label).all():
+                    break
+                self.label = up
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """(class, its group's first class), where they differ."""
+        some = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return self.names[some], self.names[self.label[some]]
+
+
+def near(rows: Postings, place: np.ndarray, percent: int, groups: Groups | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one key that pass the filters; sizes ascend within a key, place: a row's among its key's.
+
+    With groups, pairs that are in one group already are left out.
+    """
     n, folded = rows["n"], rows["low"] ^ rows["high"]
     share = n * ((100 - percent) / (100 + percent)) + 1e-6
     parts, held, d = [], 0, 1
@@ -292,38 +326,51 @@ def compare(rows: Postings, place: np.ndarray, percent: int) -> Iterator[np.ndar
         other = alive - d
         fits = 100 * n[other] >= percent * n[alive]
         alive, other = alive[fits], other[fits]
-        near = np.bitwise_count(folded[alive] ^ folded[other]) <= share[alive] + share[other]
-        parts.append(_pairs(rows, alive[near], other[near], percent))
+        ok = np.bitwise_count(folded[alive] ^ folded[other]) <= share[alive] + share[other]
+        parts.append(_fitting(rows, alive[ok], other[ok], percent, groups))
         held += parts[-1].shape[1]
         if held > PAIRS:
-            yield _distinct(parts)
+            yield tuple(np.concatenate(parts, axis=1))
             parts, held = [], 0
         d += 1
         alive = alive[place[alive] >= d]
-    yield _distinct(parts)
+    if parts:
+        yield tuple(np.concatenate(parts, axis=1))
 
 
-def cross(rows: Postings, m: int, percent: int) -> Iterator[np.ndarray]:
-    """Pairs of the first ``m`` rows with the others."""
+def across(rows: Postings, m: int, percent: int, groups: Groups | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one of the first ``m`` rows and one of the others that pass the filters."""
     folded = rows["low"] ^ rows["high"]
     share = rows["n"] * ((100 - percent) / (100 + percent)) + 1e-6
     for begin in range(0, m, 256):
         end = min(m, begin + 256)
         apart = np.bitwise_count(folded[begin:end, None] ^ folded[None, m:])
         i, j = np.nonzero(apart <= share[begin:end, None] + share[None, m:])
-        yield _distinct([_pairs(rows, i + begin, j + m, percent)])
+        yield tuple(_fitting(rows, i + begin, j + m, percent, groups))
+
+
+def _fitting(rows: Postings, i: np.ndarray, j: np.ndarray, percent: int, groups: Groups | None) -> np.ndarray:
+    if groups is not None:
+        open_ = groups.apart(i, j)
+        i, j = i[open_], j[open_]
+    ok = _can_reach(_take(rows, i), _take(rows, j), percent)
+    return np.stack([i[ok], j[ok]])
 
 
 def _meet(posted: DataFrame, percent: int) -> DataFrame:
-    """(class, other, left, right): pairs that pass the filters, class < other; or blocks of a large key that are to meet."""
-    schema = "class long, other long, left binary, right binary"
+    """(a, b): edges between classes, such that any two that can be similar are connected.
+
+    Each task finds all pairs that pass the filters, and returns the groups that they form: one
+    edge a class, whatever the number of pairs.
+    """
+    schema = "a long, b long, left binary, right binary"
 
-    def made(both: np.ndarray) -> pa.RecordBatch:
-        blank = [pa.nulls(both.shape[1], pa.binary())] * 2
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), *blank], ["class", "other", "left", "right"])
+    def edges(groups: Groups) -> pa.RecordBatch:
+        a, b = groups.edges()
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.binary())] * 2], ["a", "b", "left", "right"])
 
-    def of_part(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        rows = _unpack(blobs)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _unpack([x for batch in batches for x in batch.column(0).to_pylist()])
         rows = _take(rows, np.lexsort((rows["class"], rows["n"], rows["key"])))
         fresh = np.ones(len(rows["n"]), bool)
         fresh[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["class"][1:] != rows["class"][:-1])
@@ -339,31 +386,29 @@ def _meet(posted: DataFrame, percent: int) -> DataFrame:
                         break
                     columns = ([None], [None], [packed[i]], [packed[j] if j > i else None])
                     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["class", "other", "left", "right"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "b", "left", "right"])
         small = np.repeat((size > 1) & (size <= BLOCK), size)
         place = (np.arange(len(small)) - np.repeat(begin, size))[small]
-        for both in compare(_take(rows, small), place, percent):
-            yield made(both)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x for batch in batches for x in batch.column(0).to_pylist()]
-        yield from of_part(blobs)
+        rows = _take(rows, small)
+        groups = Groups(rows["class"])
+        for i, j in near(rows, place, percent, groups):
+            groups.join(i, j)
+        yield edges(groups)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = _unpack([left] if right is None else [left, right])
+                groups = Groups(rows["class"])
                 whole = np.arange(len(rows["n"]))
-                found = compare(rows, whole, percent) if right is None else cross(rows, len(_unpack([left])["n"]), percent)
-                for both in found:
-                    yield made(both)
+                found = near(rows, whole, percent, groups) if right is None else across(rows, len(_unpack([left])["n"]), percent, groups)
+                for i, j in found:
+                    groups.join(i, j)
+                yield edges(groups)
 
     met = materialise(posted.select("blob").mapInArrow(meet, schema), "met")
     cells = met.where("left is not null").select("left", "right").repartition(shuffle_parts(met.sparkSession), F.xxhash64("left", "right"))
-    pairs = met.where("left is null").unionByName(cells.mapInArrow(again, schema)).select("class", "other").distinct()
-    pairs = materialise(pairs, "pairs")
-    drop(met)
-    return pairs
+    return met.where("left is null").unionByName(cells.mapInArrow(again, schema)).select("a", "b")
 
 
 def _class_filter(used: DataFrame) -> np.ndarray:
@@ -414,30 +459,155 @@ def _sets(docs: DataFrame, used: DataFrame) -> DataFrame:
     return made.groupBy("class", "more").agg(F.first("items").alias("items"))
 
 
+class Sets:
+    """Sets of tokens, told apart and compared: tokens one set after another, in order within each."""
+
+    def __init__(self, token: np.ndarray, n: np.ndarray):
+        self.n, self.start = n, np.cumsum(n) - n
+        row = np.repeat(np.arange(len(n)), n)
+        low, high = bitmaps(token, self.start, n)
+        self.rows: Postings = {"n": n.astype(np.int32), "low": low, "high": high}
+        self.distinct, self.id = np.unique(token, return_inverse=True)
+        self.place = row * len(self.distinct) + self.id
+
+    def similar(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the pairs are similar, by their full sets."""
+        out = np.zeros(len(i), bool)
+        for a, b in cut_lines(self.n[i].tolist(), 4_000_000):
+            size = self.n[i[a:b]]
+            pair = np.repeat(np.arange(b - a), size)
+            which = np.repeat(self.start[i[a:b]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            sought = j[a:b][pair] * len(self.distinct) + self.id[which]
+            at = np.minimum(np.searchsorted(self.place, sought), len(self.place) - 1)
+            shared = np.bincount(pair, self.place[at] == sought, b - a)
+            out[a:b] = 100 * shared >= percent * (size + self.n[j[a:b]] - shared)
+        return out
+
+    def all_similar(self, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+        """[left, right]: which are similar, from products of incidence matrices."""
+        shared = np.zeros((len(left), len(right)), np.float32)
+        both = np.concatenate([left, right])
+        size = self.n[both]
+        which = np.repeat(self.start[both] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        used, id_ = np.unique(self.id[which], return_inverse=True)
+        row = np.repeat(np.arange(len(both)), size)
+        for base in range(0, len(used), 2048):
+            some = (id_ >= base) & (id_ < base + 2048)
+            table = np.zeros((len(both), min(2048, len(used) - base)), np.float32)
+            table[row[some], id_[some] - base] = 1
+            shared += table[: len(left)] @ table[len(left) :].T
+        return 100 * shared >= percent * (self.n[left][:, None] + self.n[right][None, :] - shared)
+
+
+def count_links(sets: Sets, cell: np.ndarray, half: np.ndarray, order: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per set its number of similar sets in its cell, and the least ``order`` among them (or the largest integer).
+
+    Rows lie cell by cell. Sets of a cell with one half all meet; in one with two, those of different halves.
+    """
+    links, best = np.zeros(len(cell), np.int64), np.full(len(cell), np.iinfo(np.int64).max)
+
+    def found(i: np.ndarray, j: np.ndarray) -> None:
+        for a, b in ((i, j), (j, i)):
+            np.add.at(links, a, 1)
+            np.minimum.at(best, a, order[b])
+
+    begin = np.flatnonzero(np.diff(cell, prepend=-1))
+    size = np.diff(np.append(begin, len(cell)))
+    two = np.maximum.reduceat(half, begin) > np.minimum.reduceat(half, begin)
+    few = ~two & (size <= FEW)
+    small = np.flatnonzero(np.repeat(few, size))
+    small = small[np.lexsort((sets.n[small], cell[small]))]
+    place = np.arange(len(small)) - np.repeat(np.cumsum(size[few]) - size[few], size[few])
+    for i, j in near(_take(sets.rows, small), place, percent):
+        i, j = small[i], small[j]
+        ok = sets.similar(i, j, percent)
+        found(i[ok], j[ok])
+    for a, m, cut in zip(begin[~few].tolist(), size[~few].tolist(), two[~few].tolist()):
+        rows = np.arange(a, a + m)
+        left, right = (rows[half[rows] == 0], rows[half[rows] == 1]) if cut else (rows, rows)
+        for x in range(0, len(left), STRIPE):
+            part = left[x : x + STRIPE]
+            hit = sets.all_similar(part, right, percent)
+            if not cut:
+                hit[np.arange(len(part)), np.arange(x, x + len(part))] = False
+            links[part] += hit.sum(axis=1)
+            best[part] = np.minimum(best[part], np.where(hit, order[right][None, :], np.iinfo(np.int64).max).min(axis=1))
+            if cut:
+                links[right] += hit.sum(axis=0)
+                best[right] = np.minimum(best[right], np.where(hit, order[part][:, None], np.iinfo(np.int64).max).min(axis=0))
+    return links, best
+
+
+def _count(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(class, more, links, w): the similar sets of each, by number and with the least first line.
+
+    sets (class, more, items, f). Sets meet in their group; one of more than BLOCK sets is cut into
+    blocks, each two of which are a cell.
+    """
+    spark = sets.sparkSession
+    size = groups.groupBy("component").agg(F.count("*").alias("m"))
+    rows = sets.join(groups.select(F.col("id").alias("class"), "component"), "class").join(size, "component")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("class", "more"), blocks).cast("int")
+    rows = rows.select("component", mine.alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"), "class", "more", "f", "items")
+    rows = rows.select("component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("half"), "class", "more", "f.doc_id", "f.line", "f.digest", "items")
+    dealt = rows.repartition(shuffle_parts(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+    def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        component, i, j, half, name, more, doc, line, digest = (batch.column(c).to_numpy() for c in range(9))
+        items = batch.column(9)
+        token = items.flatten().to_numpy().view(np.uint64)
+        n = np.diff(items.offsets.to_numpy()).astype(np.int64)
+        change = np.zeros(len(n), bool)
+        for x in (component, i, j):
+            change[1:] |= x[1:] != x[:-1]
+        by = np.lexsort((digest, line, doc))
+        order = np.empty(len(n), np.int64)
+        order[by] = np.arange(len(n))
+        links, best = count_links(Sets(token, n), np.cumsum(change), half, order, percent)
+        some = np.flatnonzero(links)
+        w = by[best[some]]
+        first = pa.StructArray.from_arrays([pa.array(x[w]) for x in (doc, line, digest)], ["doc_id", "line", "digest"])
+        return pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(more[some]), pa.array(links[some]), first], ["class", "more", "links", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if sum(x.num_rows for x in held) > TOGETHER:  # all but the last cell are complete
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                keys = np.stack([whole.column(c).to_numpy() for c in range(3)])
+                last = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
+                cut = int(last[-1]) + 1 if len(last) else 0
+                if cut:
+                    yield settle(_compact(whole.slice(0, cut)))
+                held = [_compact(whole.slice(cut))]
+            held.append(batch)
+        if held:
+            yield settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    made = dealt.mapInArrow(run, LINKED)
+    return made.groupBy("class", "more").agg(F.sum("links").alias("links"), F.min("w").alias("w"))
+
+
+def _compact(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A slice with buffers of its own."""
+    return pa.Table.from_batches([batch]).take(pa.array(np.arange(batch.num_rows))).combine_chunks().to_batches()[0] if batch.num_rows else batch
+
+
 def _linked(docs: DataFrame, percent: int, min_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """lines (doc_id, digest, line, class, more); first (class, more, f); linked (class, more, links, w)."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     made, sketch = survey(docs)
     rarity = spark.sparkContext.broadcast(sketch)
-    pairs = _meet(_posted(docs, rarity, percent, min_tokens, parts), percent)
+    groups = materialise(components(_meet(_posted(docs, rarity, percent, min_tokens, parts), percent)), "groups")
     lines = made.where("block is null").select("doc_id", "digest", "line", "class", "more")
     first = materialise(lines.groupBy("class", "more").agg(F.min(F.struct("doc_id", "line", "digest")).alias("f")), "first")
-    used = pairs.select("class").unionByName(pairs.select(F.col("other").alias("class"))).distinct()
-    used = materialise(used, "used")
-    sets = materialise(_sets(docs, used).join(first, ["class", "more"]), "sets")
-    drop(used)
-    a = sets.select("class", "more", F.col("items").alias("x"), "f")
-    b = sets.select(F.col("class").alias("other"), F.col("more").alias("rest"), F.col("items").alias("y"), F.col("f").alias("g"))
-    shared = F.size(F.array_intersect("x", "y"))
-    hit = pairs.join(a, "class").join(b, "other").where(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
-    hit = materialise(hit.select("class", "more", "f", "other", "rest", "g"), "links")
-    drop(pairs, sets)
-    ends = hit.select("class", "more", F.col("g").alias("w")).unionByName(
-        hit.select(F.col("other").alias("class"), F.col("rest").alias("more"), F.col("f").alias("w"))
-    )
-    linked = materialise(ends.groupBy("class", "more").agg(F.count("*").alias("links"), F.min("w").alias("w")), "linked")
-    drop(hit)
+    sets = _sets(docs, groups.select(F.col("id").alias("class"))).join(first, ["class", "more"])
+    linked = materialise(_count(sets, groups, percent), "linked")
+    drop(groups)
     return lines, first, linked
 
 

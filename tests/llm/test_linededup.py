@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -112,6 +113,11 @@ def test_short_lines_against_brute_force(spark, monkeypatch, tmp_path):
 def test_all_links_against_brute_force(spark, monkeypatch, tmp_path, percent, common):
     monkeypatch.setattr(linededup, "COMMON", common)
     monkeypatch.setattr(linededup, "PAIRS", 20)
+    monkeypatch.setattr(linededup, "TOGETHER", 30)
+    if common == 5:
+        monkeypatch.setattr(linededup, "FEW", 3)
+        monkeypatch.setattr(linededup, "STRIPE", 2)
+        monkeypatch.setattr(linededup, "BLOCK", 4)
     docs = corpus(5, 60) | {1000 + i: t for i, t in short_lines(6, 40).items()}
     sets = {at: frozenset(t) for at, t in brute(docs)[1].items()}
     first = {}
@@ -128,3 +134,25 @@ def test_all_links_against_brute_force(spark, monkeypatch, tmp_path, percent, co
     if percent == linededup.PERCENT:
         frame.write.parquet(f"{tmp_path}/documents.parquet")
         assert sorted(map(tuple, catalog.op7_line_dedup(spark, str(tmp_path)).collect()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+
+
+@pytest.mark.parametrize(("few", "stripe", "pairs"), [(48, 512, 10**6), (2, 3, 5), (0, 1, 1)])
+def test_counted_links_of_cells(monkeypatch, few, stripe, pairs):
+    for name, value in (("FEW", few), ("STRIPE", stripe), ("PAIRS", pairs)):
+        monkeypatch.setattr(linededup, name, value)
+    rng = np.random.default_rng(3)
+    cells = [(int(c), int(h)) for c, size in enumerate((1, 7, 60, 2, 30)) for h in (rng.integers(0, 2, size) if c in (2, 4) else [0] * size)]
+    base = rng.integers(0, 2**52, 30, np.uint64)
+    sets = [np.unique(np.concatenate([base[: rng.integers(8, 30)], rng.integers(0, 2**52, rng.integers(0, 4), np.uint64)])) for _ in cells]
+    cell, half = (np.array(x) for x in zip(*cells))
+    order = rng.permutation(len(cells))
+    made = linededup.Sets(np.concatenate(sets), np.array([len(s) for s in sets]))
+    links, best = linededup.count_links(made, cell, half, order, 80)
+    for i, mine in enumerate(sets):
+        other = [
+            j for j, s in enumerate(sets)
+            if j != i and cell[j] == cell[i] and (cell[i] not in (2, 4) or half[j] != half[i])
+            and 100 * len(np.intersect1d(s, mine)) >= 80 * len(np.union1d(s, mine))
+        ]
+        assert links[i] == len(other) and best[i] == min((order[j] for j in other), default=np.iinfo(np.int64).max)
+    assert links.max() > 3
