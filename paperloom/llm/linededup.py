@@ -43,10 +43,14 @@ BLOCK = 2048
 HELD = 300_000
 #: Pairs that a task holds before it hands them on.
 PAIRS = 1_000_000
-#: Larger groups of sets are compared by products of matrices, so many rows at once.
+#: Larger groups of sets are compared so many rows at once: by pairs that pass the bitmaps or, where these
+#: are many, by products of matrices.
 FEW = 48
 STRIPE = 512
-#: Sets, and tokens, that a task compares together, unless one cell has more.
+#: Columns of a matrix at once, and what a token of a pair costs beside a multiplication.
+COLUMNS = 2048
+PAIR_COST = 800
+#: Sets that a task compares together, unless one cell has more.
 TOGETHER = 20_000
 #: Classes that a task remembers as counted and posted.
 REMEMBERED = 1 << 18
@@ -476,27 +480,48 @@ class Sets:
         for a, b in cut_lines(self.n[i].tolist(), 4_000_000):
             size = self.n[i[a:b]]
             pair = np.repeat(np.arange(b - a), size)
-            which = np.repeat(self.start[i[a:b]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            sought = j[a:b][pair] * len(self.distinct) + self.id[which]
+            sought = j[a:b][pair] * len(self.distinct) + self.id[_flat(self, i[a:b])]
             at = np.minimum(np.searchsorted(self.place, sought), len(self.place) - 1)
             shared = np.bincount(pair, self.place[at] == sought, b - a)
             out[a:b] = 100 * shared >= percent * (size + self.n[j[a:b]] - shared)
         return out
 
-    def all_similar(self, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-        """[left, right]: which are similar, from products of incidence matrices."""
-        shared = np.zeros((len(left), len(right)), np.float32)
-        both = np.concatenate([left, right])
-        size = self.n[both]
-        which = np.repeat(self.start[both] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        used, id_ = np.unique(self.id[which], return_inverse=True)
-        row = np.repeat(np.arange(len(both)), size)
-        for base in range(0, len(used), 2048):
-            some = (id_ >= base) & (id_ < base + 2048)
-            table = np.zeros((len(both), min(2048, len(used) - base)), np.float32)
-            table[row[some], id_[some] - base] = 1
-            shared += table[: len(left)] @ table[len(left) :].T
-        return 100 * shared >= percent * (self.n[left][:, None] + self.n[right][None, :] - shared)
+
+class Incidence:
+    """Which of the rows ``left`` and ``right`` of some sets hold which of the tokens that occur in several."""
+
+    def __init__(self, sets: Sets, left: np.ndarray, right: np.ndarray):
+        self.sizes = sets.n[left][:, None], sets.n[right][None, :]
+        self.left, self.right = ((sets, rows) for rows in (left, right))
+        both = np.unique(np.concatenate([left, right]))
+        ids, times = np.unique(sets.id[_flat(sets, both)], return_counts=True)
+        self.used = ids[times > 1]
+
+    def cost(self, rows: int) -> float:
+        return rows * self.sizes[1].shape[1] * len(self.used)
+
+    def _table(self, sets: Sets, rows: np.ndarray, base: int) -> np.ndarray:
+        used = self.used[base : base + COLUMNS]
+        out = np.zeros((len(rows), len(used) + 1), np.float32)
+        ids = sets.id[_flat(sets, rows)]
+        at = np.searchsorted(used, ids)
+        at[(at < len(used)) & (used[np.minimum(at, len(used) - 1)] != ids)] = len(used)
+        out[np.repeat(np.arange(len(rows)), sets.n[rows]), at] = 1
+        return out[:, : len(used)]
+
+    def similar(self, a: int, b: int, percent: int) -> np.ndarray:
+        """[left row from a to b, right row]: by full sets, from products of matrices."""
+        sizes = self.sizes[0][a:b], self.sizes[1]
+        shared = np.zeros((b - a, sizes[1].shape[1]), np.float32)
+        for base in range(0, len(self.used), COLUMNS):
+            shared += self._table(self.left[0], self.left[1][a:b], base) @ self._table(*self.right, base).T
+        return 100 * shared >= percent * (sizes[0] + sizes[1] - shared)
+
+
+def _flat(sets: Sets, rows: np.ndarray) -> np.ndarray:
+    """Places of the tokens of some rows, one row after another."""
+    size = sets.n[rows]
+    return np.repeat(sets.start[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 def count_links(sets: Sets, cell: np.ndarray, half: np.ndarray, order: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -506,10 +531,16 @@ def count_links(sets: Sets, cell: np.ndarray, half: np.ndarray, order: np.ndarra
     """
     links, best = np.zeros(len(cell), np.int64), np.full(len(cell), np.iinfo(np.int64).max)
 
+    folded = sets.rows["low"] ^ sets.rows["high"]
+    share = sets.n * ((100 - percent) / (100 + percent)) + 1e-6
+
+    def found_left(i: np.ndarray, j: np.ndarray) -> None:
+        np.add.at(links, i, np.int64(1))
+        np.minimum.at(best, i, order[j])
+
     def found(i: np.ndarray, j: np.ndarray) -> None:
-        for a, b in ((i, j), (j, i)):
-            np.add.at(links, a, 1)
-            np.minimum.at(best, a, order[b])
+        found_left(i, j)
+        found_left(j, i)
 
     begin = np.flatnonzero(np.diff(cell, prepend=-1))
     size = np.diff(np.append(begin, len(cell)))
@@ -525,16 +556,21 @@ def count_links(sets: Sets, cell: np.ndarray, half: np.ndarray, order: np.ndarra
     for a, m, cut in zip(begin[~few].tolist(), size[~few].tolist(), two[~few].tolist()):
         rows = np.arange(a, a + m)
         left, right = (rows[half[rows] == 0], rows[half[rows] == 1]) if cut else (rows, rows)
+        table = Incidence(sets, left, right)
         for x in range(0, len(left), STRIPE):
             part = left[x : x + STRIPE]
-            hit = sets.all_similar(part, right, percent)
-            if not cut:
-                hit[np.arange(len(part)), np.arange(x, x + len(part))] = False
-            links[part] += hit.sum(axis=1)
-            best[part] = np.minimum(best[part], np.where(hit, order[right][None, :], np.iinfo(np.int64).max).min(axis=1))
-            if cut:
-                links[right] += hit.sum(axis=0)
-                best[right] = np.minimum(best[right], np.where(hit, order[part][:, None], np.iinfo(np.int64).max).min(axis=0))
+            i, j = np.nonzero(np.bitwise_count(folded[part][:, None] ^ folded[right]) <= share[part][:, None] + share[right])
+            i, j = part[i], right[j]
+            apart = i != j
+            i, j = i[apart], j[apart]
+            if table.cost(len(part)) < PAIR_COST * len(i) * sets.n[rows].mean():
+                hit = table.similar(x, x + len(part), percent) & (part[:, None] != right)
+                i, j = np.nonzero(hit)
+                i, j = part[i], right[j]
+            else:
+                ok = sets.similar(i, j, percent)
+                i, j = i[ok], j[ok]
+            found(i, j) if cut else found_left(i, j)
     return links, best
 
 

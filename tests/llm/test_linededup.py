@@ -136,9 +136,9 @@ def test_all_links_against_brute_force(spark, monkeypatch, tmp_path, percent, co
         assert sorted(map(tuple, catalog.op7_line_dedup(spark, str(tmp_path)).collect()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
 
 
-@pytest.mark.parametrize(("few", "stripe", "pairs"), [(48, 512, 10**6), (2, 3, 5), (0, 1, 1)])
-def test_counted_links_of_cells(monkeypatch, few, stripe, pairs):
-    for name, value in (("FEW", few), ("STRIPE", stripe), ("PAIRS", pairs)):
+@pytest.mark.parametrize(("few", "stripe", "pairs", "cost"), [(48, 512, 10**6, 800), (2, 3, 5, 0), (0, 1, 1, 10**9), (0, 7, 9, 1)])
+def test_counted_links_of_cells(monkeypatch, few, stripe, pairs, cost):
+    for name, value in (("FEW", few), ("STRIPE", stripe), ("PAIRS", pairs), ("PAIR_COST", cost), ("COLUMNS", 17)):
         monkeypatch.setattr(linededup, name, value)
     rng = np.random.default_rng(3)
     cells = [(int(c), int(h)) for c, size in enumerate((1, 7, 60, 2, 30)) for h in (rng.integers(0, 2, size) if c in (2, 4) else [0] * size)]
