@@ -561,8 +561,7 @@ def count_links(sets: Sets, cell: np.ndarray, half: np.ndarray, order: np.ndarra
             part = left[x : x + STRIPE]
             i, j = np.nonzero(np.bitwise_count(folded[part][:, None] ^ folded[right]) <= share[part][:, None] + share[right])
             i, j = part[i], right[j]
-            apart = i != j
-            i, j = i[apart], j[apart]
+            i, j = _fitting(sets.rows, i[i != j], j[i != j], percent, None)
             if table.cost(len(part)) < PAIR_COST * len(i) * sets.n[rows].mean():
                 hit = table.similar(x, x + len(part), percent) & (part[:, None] != right)
                 i, j = np.nonzero(hit)
