@@ -1,8 +1,9 @@
 import math
 
 import numpy as np
+import pytest
 
-from paperloom.llm import ann
+from paperloom.llm import ann, catalog
 
 
 def brute(rows, queries, k):
@@ -40,12 +41,12 @@ def test_every_code_within_the_radius_is_retrieved(monkeypatch):
     rng = np.random.default_rng(5)
     rows = rng.normal(size=(700, 64))
     codes = ann.Codes(rows)
-    block = ann.Block(np.arange(700), rows, codes.code(rows))
+    block = ann.Block(np.arange(700), rows, codes.code(rows), 0.125)
     for i in range(20):
         ids, _ = block.search(-1, rows[i], codes.code(rows[i : i + 1])[0], 700)
         apart = ann._COUNT[block.codes ^ block.codes[i]].sum(axis=1)
         radius = apart[ids].max()
-        assert set(ids) == set(np.flatnonzero(apart <= radius)) and len(ids) >= 700 * ann.WANTED
+        assert set(ids) == set(np.flatnonzero(apart <= radius)) and len(ids) >= 700 * 0.125
 
 
 def test_ties_odd_vectors_and_few_rows(spark):
@@ -56,3 +57,28 @@ def test_ties_odd_vectors_and_few_rows(spark):
     assert got == [(0, 1, 3, 0.0), (0, 2, 7, 0.0), (0, 3, 100, 0.0), (0, 4, 5, 1.0), (100, 1, 0, 0.0), (100, 2, 3, 0.0), (100, 3, 7, 0.0), (100, 4, 5, 1.0)]
     assert ann.search(frame.limit(0), frame.limit(0)).count() == 0
     assert ann.search(frame, frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_the_query(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    found = {}
+    for r in catalog.op8_nearest(spark, folder).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    true = brute(rows, [r for r in rows if r[0] % 100 == 0], 10)
+    assert set(found) == set(true) and all(len(x) == 10 for x in found.values())
+    assert np.mean([len(found[q] & {x for x, _ in true[q]}) / 10 for q in true]) >= 0.9
+
+
+def test_exact_search_and_other_dimensions(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=64 if i % 10 else 5).tolist()) for i in range(600)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(frame, frame.where("vec_id % 15 = 0"), recall=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for size in (64, 5):
+        mine = [r for r in rows if len(r[1]) == size]
+        for q, true in brute(mine, [r for r in mine if r[0] % 15 == 0], 10).items():
+            assert got[q] == [i for i, _ in true]
