@@ -7,8 +7,8 @@
    shows the plan to be within ``gap`` of the optimum.
 4. Pattern counts are rounded down; what that leaves over, fewer sequences than the program has
    columns, is placed by best fit, decreasing.
-5. Remainders are ranked within their length on the executors; rank r of a length fills slot r of
-   that length in the plan. Only histogram and plan, whose size the grid bounds, are on the driver.
+5. Pieces are ranked within their length on the executors, in groups of about RANK_GROUP_ROWS by
+   hash whose sizes a distributed prefix scan adds up; rank r of a length fills slot r of that length in the plan. Only histogram and plan, whose size the grid bounds, are on the driver.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import TEXT_BATCH_ROWS, materialise, prepare
+from paperloom.llm.common import TEXT_BATCH_ROWS, materialise, prefix_scan, prepare
 from paperloom.llm.tokens import tokenizer
 
 CAPACITY = 2048
@@ -192,12 +192,14 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, grid: int = GRID, gap: float
     full = histogram.pop(room + 1, 0)
     plan = Plan([({room + 1: 1}, full)] * bool(full) + solve(histogram, room, gap), 0)
 
-    groups = max(1, -(-max([full, *histogram.values()]) // RANK_GROUP_ROWS))
-    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("int")
+    sizes = [full if u == room + 1 else histogram.get(u, 0) for u in range(room + 2)]
+    groups = F.array(*(F.lit(max(1, -(-n // RANK_GROUP_ROWS))) for n in sizes))
+    salt = F.pmod(F.xxhash64("doc_id", "start"), F.get(groups, F.col("_units"))).cast("int")
     salted = sized.withColumn("_salt", salt)
     counts = salted.groupBy("_units", "_salt").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy("_units").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_units", "_salt", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    counts = prefix_scan(counts, ["_units", "_salt"], {"_upto": ("sum", F.col("_n"))}, "ranks")
+    smaller = F.array(*(F.lit(int(x)) for x in np.cumsum([0, *sizes[:-1]])))
+    counts = counts.select("_units", "_salt", (F.col("_upto") - F.get(smaller, F.col("_units"))).alias("_before"))
     within = Window.partitionBy("_units", "_salt").orderBy("doc_id", "start")
     ranked = salted.join(counts, ["_units", "_salt"]).withColumn(
         "_rank", F.col("_before") + F.row_number().over(within) - 1

@@ -4,7 +4,8 @@ A chunk is a run without ASCII white space, cut again before a comma or full sto
 an ASCII letter or digit, or an accented one of Latin-1. It holds for tokenizers that lower-case, and whose result on a text is
 the concatenation of their results on its chunks, as with files that drop white space, never
 join letters or digits with punctuation, and whose normaliser doesn't reach across these borders.
-Special tokens' strings in a text are ordinary text.
+Special tokens' strings in a text are the special tokens, as by the library's default, or else
+(``special`` is false) ordinary text.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 
 CACHE_ENTRIES = 400_000
 
-_CODERS: dict[tuple[str, str], ChunkTokenizer] = {}
+_CODERS: dict[tuple[str, str, bool], ChunkTokenizer] = {}
 _MARK = re.compile(rb"(?<=[a-z0-9])[.,]|(?<=\xc3[\xa0-\xb6\xb8-\xbf])[.,]")  # after a to z, 0 to 9, \u00e0 to \u00ff
 #: Kinds of bytes: q, a comma or full stop; p, other ASCII marks; m, the start of a letter beyond Latin-1.
 _KINDS = bytes(
@@ -42,12 +43,16 @@ def chunks(text: bytes) -> list[bytes]:
 class ChunkTokenizer:
     """Ids as packed little-endian integers: format ``I`` (32 bits) or ``H`` (16 bits)."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = True  # whole texts are cut at them here
+        added = {t.content.encode(): i for i, t in self.library.get_added_tokens_decoder().items()} if special else {}
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(added, key=len, reverse=True))) + b")") if added else None
+        #: Their chunks begin with a space, as no chunk of a text does.
+        self.special = {b" " + t: i for t, i in added.items()}
         self.kind = kind
         self.dtype = np.dtype({'I': '<u4', 'H': '<u2'}[kind])
         suffix = self.library.model.end_of_word_suffix or "\0"  # without one, chunks are encoded one by one
@@ -67,8 +72,9 @@ class ChunkTokenizer:
             return {}
         known = unseen & self.old.keys()
         self.chunks.update((w, self.old[w]) for w in known)
-        new = [(w, w.decode()) for w in unseen - known]
-        made = {w: self._pack(self.library.encode(x, add_special_tokens=False).ids) for w, x in new if not x.isalpha()}
+        made = {w: self._pack([self.special[w]]) for w in unseen & self.special.keys()}
+        new = [(w, w.decode()) for w in unseen - known - made.keys()]
+        made |= {w: self._pack(self.library.encode(x, add_special_tokens=False).ids) for w, x in new if not x.isalpha()}
         # a chunk of letters is one pre-token: all of them at once, told apart by the ids that end one
         plain = [(w, x) for w, x in new if x.isalpha()]
         if plain:
@@ -84,9 +90,15 @@ class ChunkTokenizer:
         self.chunks.update(made)
         return made
 
+    def split(self, text: bytes) -> list[bytes]:
+        if self.cut is None or not self.cut.search(text):
+            return chunks(text)
+        parts = self.cut.split(text)  # special tokens are at odd places
+        return [w for i, x in enumerate(parts) for w in ([b" " + x] if i % 2 else chunks(x))]
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Packed ids of texts in UTF-8; none for a null or empty one."""
-        split = [chunks(x) if x else [] for x in texts]
+        split = [self.split(x) if x else [] for x in texts]
         distinct = set().union(*split)
         if len(distinct) <= CACHE_ENTRIES:
             return self._encode(split, distinct)
@@ -105,8 +117,8 @@ class ChunkTokenizer:
         return [b"".join(map(get, words)) for words in split]
 
 
-def tokenizer(path: str, kind: str = "I") -> ChunkTokenizer:
+def tokenizer(path: str, kind: str = "I", special: bool = True) -> ChunkTokenizer:
     """One tokenizer a worker process."""
-    if (path, kind) not in _CODERS:
-        _CODERS[path, kind] = ChunkTokenizer(path, kind)
-    return _CODERS[path, kind]
+    if (path, kind, special) not in _CODERS:
+        _CODERS[path, kind, special] = ChunkTokenizer(path, kind, special)
+    return _CODERS[path, kind, special]

@@ -29,7 +29,7 @@ WIDTHS = {2: ("H", "<u2"), 4: ("I", "<u4")}
 def write_token_files(docs: DataFrame, path: str, end_id: int, out: str, width: int = 2, text: str = "text") -> None:
     """Writes the ids of all texts, each followed by ``end_id``, to flat files in the folder ``out``.
 
-    Null and empty texts are the separator alone. The text writer makes the files: its rows are
+    Special tokens' strings are ordinary text, so no text holds the separator. Null and empty texts are the separator alone. The text writer makes the files: its rows are
     the packed ids, its line separator the packed end_id, whose bytes Latin-1 keeps as they are.
     """
     prepare(docs.sparkSession)
@@ -38,7 +38,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, out: str, width:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, TEXT_BATCH_ROWS):
-                made = tokenizer(path, kind).encode(batch.column(0).slice(begin, TEXT_BATCH_ROWS).to_pylist())
+                made = tokenizer(path, kind, special=False).encode(batch.column(0).slice(begin, TEXT_BATCH_ROWS).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["ids"])
 
     packed = docs.select(F.col(text).cast("binary")).mapInArrow(run, "ids binary").select(F.col("ids").cast("string"))

@@ -15,7 +15,6 @@ from paperloom.llm.tokens import ChunkTokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 CODER = ChunkTokenizer(PATH, "I")
 
 
