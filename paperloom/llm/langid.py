@@ -5,10 +5,11 @@ match with that text. Parsing a text greedily into longest matches costs few phr
 own language and many against others; phrases times log2 of the sample's length, per symbol, is an
 estimate of the cross entropy. The language with the least wins.
 
-The labelled sample is bounded (SAMPLE_ROWS rows a language, the first by a hash of doc_id, and
-SAMPLE_CHARS code points of them in all): the only bounded thing here. Prediction reads whole
-texts: a text is laid out in lanes of LANE symbols, all lanes of a batch step through the automata
-of all languages together in numpy, and each lane's last phrase ends with the lane.
+The labelled sample is bounded: SAMPLE_ROWS whole texts a language, the first by a hash among those of
+at most ROW_CHARS code points. Prediction reads whole texts: a text is laid out in lanes of LANE
+symbols, and all lanes of a batch step through the automata of all languages together in numpy. Each
+lane is first parsed as if a phrase began with it; then the state at the end of the lane before is
+carried in, until a phrase begins where one had begun: the phrases are those of the whole text.
 """
 
 from __future__ import annotations
@@ -22,14 +23,12 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import TEXT_BATCH_ROWS, cut_lines, prepare
 
-SAMPLE_ROWS = 200
-SAMPLE_CHARS = 30_000
-ROW_CHARS = 400
+SAMPLE_ROWS = 32
+ROW_CHARS = 2000
 LANE = 256
-STEP_CHARS = 1_000_000
+STEP_CHARS = 500_000
 UNDEFINED = "und"
 
-_MODELS: dict[int, Parser] = {}
 _CLASSES: list[np.ndarray] = []
 
 
@@ -120,29 +119,58 @@ class Parser:
         grid = np.ascontiguousarray(grid.reshape(total, LANE).T)
         size = (grid >= 0).sum(axis=0)
         order = np.argsort(-size, kind="stable")  # lanes that end drop off at the tail
-        grid, alive = grid[:, order], np.searchsorted(-size[order], -np.arange(LANE), side="left")
+        grid, size = grid[:, order], size[order]
+        alive = np.searchsorted(-size, -np.arange(LANE), side="left")
         counts = np.zeros((len(self.languages), total))
+        place = np.empty(total, np.int64)  # of the text's next lane
+        place[order] = np.arange(total)
+        last = np.zeros(total, bool)
+        last[(begin + lanes)[lanes > 0] - 1] = True
+        follows = np.where(last[order], -1, place[np.minimum(order + 1, total - 1)])
         for k, root in enumerate(self.first):
-            state = np.full(total, root, np.int32)
-            count = np.zeros(total, np.int32)
             at_root = self.table[root * self.width : (root + 1) * self.width].copy()
             at_root[at_root < 0] = root
+            begins = np.zeros(grid.shape, bool)
+            state = np.full(total, root, np.int32)
             for i in range(LANE):
                 m = alive[i]
                 if not m:
                     break
-                symbol = grid[i, :m]
-                now = state[:m]
-                to = self.table[now * self.width + symbol]
-                cut = to < 0
-                count[:m] += cut | (now == root)
-                state[:m] = np.where(cut, at_root[symbol], to)
-            counts[k, order] = count
+                begins[i, :m], state[:m] = self._step(root, at_root, state[:m], grid[i, :m])
+            ends = state.copy()
+            enter = np.flatnonzero(follows >= 0)
+            while len(enter):
+                lane, state = follows[enter], ends[enter]
+                changed = []
+                for i in range(LANE):
+                    over = i >= size[lane]
+                    if over.any():
+                        moved = over & (ends[lane] != state)
+                        ends[lane[moved]] = state[moved]
+                        changed.append(lane[moved])
+                        lane, state = lane[~over], state[~over]
+                    if not len(lane):
+                        break
+                    start, state = self._step(root, at_root, state, grid[i, lane])
+                    open_ = ~(start & begins[i, lane])
+                    lane, state = lane[open_], state[open_]
+                    begins[i, lane] = start[open_]
+                moved = ends[lane] != state
+                ends[lane[moved]] = state[moved]
+                enter = np.concatenate([*changed, lane[moved]]).astype(np.int64)
+                enter = enter[follows[enter] >= 0]
+            counts[k, order] = begins.sum(axis=0)
         which = np.repeat(np.arange(len(texts)), lanes)
         for k in range(len(self.languages)):
             out[:, k] = np.bincount(which, counts[k], len(texts))
         return out
 
+    def _step(self, root: int, at_root: np.ndarray, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a phrase begins with each symbol, and the states after it."""
+        to = self.table[state * self.width + symbol]
+        cut = to < 0
+        return cut | (state == root), np.where(cut, at_root[symbol], to)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores and bits a symbol of the best language."""
         found: list[str] = []
@@ -171,32 +199,23 @@ class Parser:
         return found, scores, costs
 
 
-def parser(sample: dict[str, str]) -> Parser:
-    """One parser a worker process and sample."""
-    key = hash(tuple(sorted(sample.items())))
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Parser(sample)
-    return _MODELS[key]
-
-
 def sample(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> dict[str, str]:
-    """{language: text}: at most SAMPLE_ROWS rows a language, and SAMPLE_CHARS code points in all.
+    """{language: text}: at most SAMPLE_ROWS rows a language, one after another.
 
-    A row gives at most ROW_CHARS code points from its middle. Rows without label or text give
-    none. Each task keeps its own first rows before any are exchanged.
+    Rows without label or text give none. Rows of at most ROW_CHARS code points come first, by a hash; only
+    where a language has too few of them are longer ones used, and those by their first ROW_CHARS.
+    Each task keeps its own first rows before any are exchanged.
     """
+    long = F.length(text) > ROW_CHARS
     rows = labelled.select(
-        F.col(label).alias("lang"),
-        F.xxhash64(F.col(key).cast("string"), text).alias("at"),
-        F.expr(f"substring({text}, 1 + greatest(0, cast((length({text}) - {ROW_CHARS}) / 2 as int)), {ROW_CHARS})").alias("part"),
+        F.col(label).alias("lang"), F.struct(long, F.xxhash64(F.col(key).cast("string"), text)).alias("at"),
+        F.substring(text, 1, ROW_CHARS).alias("part"),
     ).where("lang is not null and part is not null and length(part) > 0")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "part"))
-    found: dict[str, str] = {}
+    found: dict[str, list[str]] = {}
     for row in rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).orderBy("lang", "rank").collect():
-        if len(found.setdefault(row.lang, "")) < SAMPLE_CHARS:
-            found[row.lang] = (found[row.lang] + " " + row.part)[:SAMPLE_CHARS]
-    return found
+        found.setdefault(row.lang, []).append(row.part)
+    return {x: " ".join(parts) for x, parts in found.items()}
 
 
 def identify(docs: DataFrame, labelled: dict[str, str], text: str = "text") -> DataFrame:
@@ -209,12 +228,13 @@ def identify(docs: DataFrame, labelled: dict[str, str], text: str = "text") -> D
     prepare(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "bits")
     names, at = docs.columns, docs.columns.index(text)
+    model = docs.sparkSession.sparkContext.broadcast(Parser(labelled))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, TEXT_BATCH_ROWS):
                 part = batch.slice(begin, TEXT_BATCH_ROWS)
-                found, scores, costs = parser(labelled).predict(part.column(at).to_pylist())
+                found, scores, costs = model.value.predict(part.column(at).to_pylist())
                 made = [pa.array(found, pa.string()), pa.array(scores), pa.array(costs)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], [*names, "lang_pred", "score", "bits"])
 
@@ -236,4 +256,4 @@ def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fold(key: Column, folds: int) -> Column:
-    return F.crc32(key.cast("string").cast("binary")) % folds
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds, F.lit(0))

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import langid
+from paperloom.llm import catalog, langid
 
 SYLLABLES = {"aa": "th er on an re he in ed".split(), "bb": "sch ung ei ü ber en ge".split(), "cc": "ción es el ño rr ar".split()}
 
@@ -14,24 +15,24 @@ def prose(lang, words, seed):
 
 
 def brute(text, source):
-    """Phrases of greedy longest matches, lane by lane."""
-    n = 0
-    for at in range(0, len(text), langid.LANE):
-        lane = text[at : at + langid.LANE]
-        i = 0
-        while i < len(lane):
-            j = i + 1
-            while j <= len(lane) and lane[i:j] in source:
-                j += 1
-            i = max(i + 1, j - 1)
-            n += 1
+    """Phrases of greedy longest matches over the whole text."""
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in source:
+            j += 1
+        i = max(i + 1, j - 1)
+        n += 1
     return n
 
 
-def test_phrases_against_brute_force():
+@pytest.mark.parametrize("lane", [2, 3, 17, 256])
+def test_phrases_against_brute_force(monkeypatch, lane):
+    monkeypatch.setattr(langid, "LANE", lane)
     sample = {x: prose(x, 120, x) for x in SYLLABLES}
     parser = langid.Parser(sample)
     texts = [prose(x, n, n) + z for x in SYLLABLES for n, z in ((1, ""), (7, " 東京"), (150, "!?9"), (90, " zq"))]
+    texts += [" ".join(prose(x, 40, i) for i, x in enumerate(list(SYLLABLES) * 3)), sample["aa"] * 3, "q" * 700, "", "a"]
     made = parser.phrases([langid.letters(t) for t in texts])
     for t, row in zip(texts, made):
         plain = "".join(map(chr, langid.letters(t)))
@@ -65,3 +66,20 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert langid.identify(odd.limit(0), model).count() == 0
     none = spark.createDataFrame([(1, "x", None), (2, None, "aa")], "doc_id long, text string, lang string")
     assert langid.sample(none) == {}
+
+
+def test_sample_of_long_rows_and_the_query(spark, tmp_path):
+    rows = [(i, prose(x, 4000 if x == "aa" else 60, i), x, "s", 1) for i, x in enumerate(list(SYLLABLES) * 30)] + [(None, "x", "aa", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    made = langid.sample(docs)
+    assert len(made["aa"]) == 30 * (langid.ROW_CHARS + 1) + 1 and all(x in made["bb"] for x in made["bb"].split("  "))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalog.op5_language_id(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows) and all(r.held_out is not None for r in out)
+    assert np.mean([rows[r.doc_id][2] == r.lang_pred for r in out if r.held_out]) == 1
+
+
+def test_ties_go_to_the_first_language(spark):
+    text = prose("aa", 80, 1)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert langid.identify(docs, {"x2": text, "x1": text}).first().lang_pred == "x1"
