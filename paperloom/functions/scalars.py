@@ -92,30 +92,46 @@ def cer(reference: Column | str, hypothesis: Column | str) -> Column:
 
 
 def wer(reference: Column | str, hypothesis: Column | str) -> Column:
-    """Word error rate: each distinct word of the pair becomes one character, then edit distance."""
+    """Word error rate: each distinct word of the pair becomes one character, then edit distance.
+
+    Characters from U+1000 on, without the surrogates: room for a million distinct words.
+    """
     def words(x):
         return F.filter(F.split(strip(F.coalesce(_col(x), F.lit(""))), r"(?U)\s+"), lambda w: w != "")
 
     a, b = words(reference), words(hypothesis)
     known = F.array_union(a, b)
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 4096), 4, "0")), "UTF-16BE")
+
+    def code(w):
+        at = F.array_position(known, w) + 0x1000
+        at = F.when(at >= 0xD800, at + 0x800).otherwise(at)
+        return F.decode(F.unhex(F.lpad(F.hex(at), 8, "0")), "UTF-32")
+
     text = lambda x: F.array_join(F.transform(x, code), "")
     return _rate(F.levenshtein(text(a), text(b)), F.size(a), F.size(b))
 
 
+def comparable(value: Column | str, normalized: bool = True) -> Column:
+    """What ``agree`` compares of a field's value, parsed once: struct<text, amount, date>."""
+    v = _col(value)
+    if not normalized:
+        return F.struct(strip(v).alias("text"), F.lit(None).cast("double").alias("amount"), F.lit(None).cast("string").alias("date"))
+    return F.struct(normalize_text(v).alias("text"), parse_amount(v).alias("amount"), index_date(v).cast("string").alias("date"))
+
+
+def agree(name: Column, a: Column, b: Column) -> Column:
+    """Whether two ``comparable`` values, not NULL, agree: as amount, date or text by the field's name."""
+    return (
+        F.when(name.isin(*AMOUNT_FIELDS) & a["amount"].isNotNull() & b["amount"].isNotNull(), F.abs(a["amount"] - b["amount"]) <= 0.01)
+        .when(name.isin(*DATE_FIELDS) & a["date"].isNotNull() & b["date"].isNotNull(), a["date"] == b["date"])
+        .otherwise(a["text"] == b["text"])
+    )
+
+
 def fields_match(name: Column | str, truth: Column | str, predicted: Column | str, normalized: bool = True) -> Column:
     """Whether two values of a field agree: both NULL, or equal as amount, date or text by its name."""
-    n, a, b = _col(name), _col(truth), _col(predicted)
-    if normalized:
-        text = normalize_text(a) == normalize_text(b)
-        x, y, d, e = parse_amount(a), parse_amount(b), index_date(a), index_date(b)
-        same = (
-            F.when(n.isin(*AMOUNT_FIELDS) & x.isNotNull() & y.isNotNull(), F.abs(x - y) <= 0.01)
-            .when(n.isin(*DATE_FIELDS) & d.isNotNull() & e.isNotNull(), d == e)
-            .otherwise(text)
-        )
-    else:
-        same = strip(a) == strip(b)
+    a, b = _col(truth), _col(predicted)
+    same = agree(_col(name), comparable(a, normalized), comparable(b, normalized))
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(same)
 
 

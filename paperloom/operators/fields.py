@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.scalars import title_case
 from paperloom.operators.layout import full_text, line_text
 
+#: What follows the name of an amount.
 _MONEY = r"\s*[:\-]?\s*(?:rs\.?|inr|\$|₹|€|eur|usd)?\s*([\d,]+\.\d{2}|[\d]+,\d{2}|[\d,]+)"
 #: A pattern for each field.
 PATTERNS = {
@@ -33,6 +36,7 @@ LABELS = {
     "applicant name": "applicant_name", "name": "name", "issued by": "issuer", "awarded to": "awarded_to",
     "date of birth": "date_of_birth", "address": "address", "payment method": "payment_method", "merchant": "merchant",
 }
+#: Words of titles, words that no vendor has, means of payment.
 TITLES = ("certificate", "form", "checklist")
 NOT_VENDORS = ("invoice", "receipt", "date", "subtotal", "tax", "total")
 PAYMENTS = ("visa card", "mastercard", "credit card", "debit card", "cash", "apple pay")
@@ -54,44 +58,62 @@ def _first(values: Column) -> Column:
     return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
+def labelled_lines(lines: Column) -> Column:
+    """Lines as array<struct<low, texts, lows, bares>>: what labels are sought in, made once for all of them.
+
+    low: the line in lower case; lows: its texts in lower case; bares: these without colons and hyphens at their ends.
+    """
+
+    def line(l):
+        texts = F.transform(l, lambda w: w["text"])
+        lows = F.transform(texts, F.lower)
+        return F.struct(
+            F.lower(F.array_join(texts, " ")).alias("low"), texts.alias("texts"), lows.alias("lows"),
+            F.transform(lows, lambda t: F.regexp_replace(t, r"[:\-]+$", "")).alias("bares"),
+        )
+
+    return F.transform(lines, line)
+
+
 def _after(line: Column, at: Column) -> Column:
     """The line's texts from position ``at`` (from 1) on, but for lone colons and hyphens; NULL if none."""
-    rest = F.filter(
-        F.transform(F.slice(line, at, F.size(line) + 1), lambda w: w["text"]), lambda t: ~t.isin(":", "-")
-    )
+    rest = F.filter(F.slice(line["texts"], at, F.size(line["texts"]) + 1), lambda t: ~t.isin(":", "-"))
     return F.when(F.size(rest) > 0, F.array_join(rest, " "))
 
 
 def by_label(line: Column, label: str) -> Column:
-    """What stands after the label on a line, NULL if nothing does."""
-    bare = lambda w: F.regexp_replace(F.lower(w["text"]), r"[:\-]+$", "")
+    """What stands after the label on a line of ``labelled_lines``, NULL if nothing does."""
 
-    def single(w, i):
-        low = F.lower(w["text"])
-        inner = F.trim(F.regexp_replace(w["text"], "(?i)^" + re.escape(label) + r"[:\-]\s*", ""))
+    def single(bare, i):
+        low, text = F.get(line["lows"], i), F.get(line["texts"], i)
+        inner = F.trim(F.regexp_replace(text, "(?i)^" + re.escape(label) + r"[:\-]\s*", ""))
         joined = F.trim(F.concat_ws(" ", inner, F.coalesce(_after(line, i + 2), F.lit(""))))
         inside = F.startswith(low, F.lit(label + ":")) | F.startswith(low, F.lit(label + " -"))
-        return F.when(inside, F.nullif(joined, F.lit(""))).when(bare(w) == label, _after(line, i + 2))
+        return F.when(inside, F.nullif(joined, F.lit(""))).when(bare == label, _after(line, i + 2))
 
     n = len(label.split())
 
-    def window(w, i):
-        text = F.array_join(F.transform(F.slice(line, i + 1, n), bare), " ")
-        return F.when((i + n <= F.size(line)) & (text == label), _after(line, i + n + 1))
+    def window(bare, i):
+        text = F.array_join(F.slice(line["bares"], i + 1, n), " ")
+        return F.when((bare == label.split()[0]) & (i + n <= F.size(line["bares"])) & (text == label), _after(line, i + n + 1))
 
-    value = F.coalesce(_first(F.transform(line, single)), _first(F.transform(line, window)))
-    return F.when(F.contains(F.lower(line_text(line)), F.lit(label)), value)
+    value = _first(F.transform(line["bares"], single))
+    if n > 1:  # a window of one word is what single() has tried
+        value = F.coalesce(value, _first(F.transform(line["bares"], window)))
+    return F.when(F.contains(line["low"], F.lit(label)), value)
 
 
 def _on_line(labels: list[str]):
     return lambda line: F.coalesce(*(by_label(line, x) for x in labels))
 
 
-def label_values(lines: Column) -> dict[str, Column]:
-    """Field to value: the first line wins, on a line the first label."""
+def label_values(found: Column) -> dict[str, Column]:
+    """Field to value, from ``labelled_lines``: the first line wins, on a line the first label."""
     out = {}
     for field in dict.fromkeys(LABELS.values()):
-        out[field] = _first(F.transform(lines, _on_line([x for x, f in LABELS.items() if f == field])))
+        labels = [x for x, f in LABELS.items() if f == field]
+        some = F.filter(found, lambda l: reduce(or_, (F.contains(l["low"], F.lit(x)) for x in labels)))  # noqa: B023
+        out[field] = _first(F.transform(some, _on_line(labels)))
     return out
 
 
@@ -127,7 +149,8 @@ def extract_fields(docs: DataFrame) -> DataFrame:
     Labels override patterns. Confidence is 0.9 for a value, 0.0 without.
     """
     made = docs.withColumn("_text", full_text(F.col("ocr")))
-    labelled = label_values(F.col("lines"))
+    made = made.withColumn("_found", labelled_lines(F.col("lines")))
+    labelled = label_values(F.col("_found"))
     names = list(dict.fromkeys([*PATTERNS, *labelled]))
     made = made.withColumns({f"_l_{n}": v for n, v in labelled.items()})
     base = {}
@@ -148,4 +171,4 @@ def extract_fields(docs: DataFrame) -> DataFrame:
         pairs.append(F.when(v.isNotNull(), entry) if n in ("issued_by", "title") else entry)
     fields = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p.isNotNull())).cast(FIELD)
     made = made.withColumn("fields", fields)
-    return made.drop("_text", "_title", "_guess", "_pay", *(f"_l_{n}" for n in labelled), *(f"_f_{n}" for n in names))
+    return made.drop("_text", "_found", "_title", "_guess", "_pay", *(f"_l_{n}" for n in labelled), *(f"_f_{n}" for n in names))

@@ -26,51 +26,41 @@ def full_text(ocr: Column) -> Column:
     return F.array_join(F.transform(ocr, lambda t: F.coalesce(t["text"], F.lit(""))), " ")
 
 
-def numbered(ocr: Column, tolerance: float, by_mean: bool) -> Column:
-    """Words by height with their line numbers: one fold, as only the last line can take a word.
+def line_starts(centres: Column, tolerance: float, by_mean: bool) -> Column:
+    """Where lines begin (from 1) among words sorted by height: one fold, as only the last line can take a word.
 
     A word joins the line if its centre lies within ``tolerance`` of the line's running mean
-    (by_mean) or of its first word.
+    (by_mean) or of its first word. The fold's state grows with the lines, not with the words.
     """
-    word = "struct<yc:double,pos:int,text:string,x0:double,y0:double,x1:double,y1:double,xc:double,conf:double>"
-    state = F.struct(
-        F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(-1).alias("line"),
-        F.array().cast(f"array<struct<line:int,w:{word}>>").alias("out"),
-    )
+    state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("out"))
 
-    def step(s, w):
+    def step(s, y):
         at = s["sum"] / s["n"] if by_mean else s["sum"]
-        joins = (s["n"] > 0) & (F.abs(w["yc"] - at) <= tolerance)
-        line = F.when(joins, s["line"]).otherwise(s["line"] + 1)
-        kept = F.when(joins, s["sum"] + w["yc"] if by_mean else s["sum"]).otherwise(w["yc"])
+        joins = (s["n"] > 0) & (F.abs(y - at) <= tolerance)
+        kept = F.when(joins, s["sum"] + y if by_mean else s["sum"]).otherwise(y)
+        i = s["i"] + 1
         return F.struct(
-            kept.alias("sum"), F.when(joins, s["n"] + 1).otherwise(1).alias("n"), line.alias("line"),
-            F.concat(s["out"], F.array(F.struct(line.alias("line"), w.alias("w")))).alias("out"),
+            kept.alias("sum"), F.when(joins, s["n"] + 1).otherwise(1).alias("n"), i.alias("i"),
+            F.when(joins, s["out"]).otherwise(F.concat(s["out"], F.array(i))).alias("out"),
         )
 
-    return F.aggregate(F.array_sort(words(ocr)), state, step, lambda s: s["out"])
-
+    return F.aggregate(centres, state, step, lambda s: s["out"])
 
-def lines_of(found: Column) -> Column:
-    """Numbered words as an array of lines, each an array of words from left to right."""
-    last = F.aggregate(found, F.lit(-1), lambda m, x: F.greatest(m, x["line"]))
 
-    def line(k):
-        mine = F.transform(F.filter(found, lambda x: x["line"] == k), lambda x: x["w"])
-        return F.transform(
-            F.array_sort(F.transform(mine, lambda w: F.struct(w["x0"].alias("a"), w["yc"].alias("b"), w["pos"].alias("c"), w.alias("w")))),
-            lambda s: s["w"],
+def with_lines(docs: DataFrame, tolerance: float = MEAN_TOLERANCE, by_mean: bool = True, name: str = "lines") -> DataFrame:
+    """docs with its lines, arrays of words from left to right; each step is a column of its own, computed once."""
+    found = docs.withColumn("_words", F.array_sort(words(F.col("ocr"))))
+    found = found.withColumn("_starts", line_starts(F.transform("_words", lambda w: w["yc"]), tolerance, by_mean))
+
+    def line(start, k):
+        end = F.coalesce(F.get("_starts", k + 1), F.size("_words") + 1)
+        mine = F.transform(
+            F.slice("_words", start, end - start),
+            lambda w: F.struct(w["x0"].alias("a"), w["yc"].alias("b"), w["pos"].alias("c"), w.alias("w")),
         )
+        return F.transform(F.array_sort(mine), lambda s: s["w"])
 
-    return F.when(last < 0, F.array().cast("array<array<struct<yc:double,pos:int,text:string,x0:double,y0:double,x1:double,y1:double,xc:double,conf:double>>>")).otherwise(
-        F.transform(F.sequence(F.lit(0), last), line)
-    )
-
-
-def with_lines(docs: DataFrame, tolerance: float = MEAN_TOLERANCE, by_mean: bool = True, name: str = "lines") -> DataFrame:
-    """docs with its lines, each step a column of its own, computed once."""
-    found = docs.withColumn("_numbered", numbered(F.col("ocr"), tolerance, by_mean))
-    return found.withColumn(name, lines_of(F.col("_numbered"))).drop("_numbered")
+    return found.withColumn(name, F.transform("_starts", line)).drop("_words", "_starts")
 
 
 def line_text(line: Column) -> Column:
@@ -104,8 +94,11 @@ def key_values(lines: Column) -> Column:
         )
 
     pairs = F.filter(F.transform(lines, pair), lambda p: p.isNotNull())
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    # of equal keys the last in line order stays: the first of the reversed ones, by name
+    latest = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), (-i).alias("i"), p["v"].alias("v"))))
+    names = F.transform(latest, lambda p: p["k"])
+    last = F.filter(latest, lambda p, i: (i == 0) | (F.get(names, i - 1) != p["k"]))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"))))
 
 
 def table_rows(lines: Column, least: int = 3) -> Column:

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.scalars import cer, fields_match, wer
+from paperloom.functions.scalars import agree, cer, comparable, wer
 from paperloom.operators.layout import full_text
 from paperloom.operators.store import field_rows
 
 
 def field_counts(truth: DataFrame, predicted: DataFrame, normalized: bool = True) -> DataFrame:
     """(doc_id, name, tp, fp, fn) of field rows (doc_id, name, value): a mismatch is both fp and fn."""
-    a = truth.select("doc_id", "name", F.col("value").alias("t"))
-    b = predicted.select("doc_id", "name", F.col("value").alias("p"))
+    a = truth.select("doc_id", "name", F.col("value").alias("t"), comparable("value", normalized).alias("ct"))
+    b = predicted.select("doc_id", "name", F.col("value").alias("p"), comparable("value", normalized).alias("cp"))
     both = a.join(b, ["doc_id", "name"], "full_outer")
-    hit = fields_match("name", "t", "p", normalized) & F.col("t").isNotNull()
+    hit = F.coalesce(F.col("t").isNotNull() & F.col("p").isNotNull() & agree(F.col("name"), F.col("ct"), F.col("cp")), F.lit(False))
     one = lambda c: F.when(c, 1).otherwise(0)
     return both.select(
         "doc_id", "name", one(hit).alias("tp"), one(F.col("p").isNotNull() & ~hit).alias("fp"),

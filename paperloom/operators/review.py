@@ -9,10 +9,10 @@ from paperloom.operators.store import field_rows
 
 #: The fields that matter for each type.
 RELEVANT = {
-    "invoice": ("vendor", "invoice_no", "date", "subtotal", "tax", "total", "customer", "gstin"),
-    "receipt": ("merchant", "receipt_no", "date", "subtotal", "tax", "total", "payment_method"),
-    "form": ("title", "issuer", "date", "name", "date_of_birth", "address"),
-    "certificate": ("title", "issuer", "date", "certificate_id", "awarded_to"),
+    "invoice": ("invoice_no", "date", "vendor", "customer", "subtotal", "tax", "total", "gstin", "payment_method"),
+    "receipt": ("receipt_no", "date", "merchant", "vendor", "total", "subtotal", "tax", "payment_method"),
+    "certificate": ("certificate_id", "title", "awarded_to", "issuer", "date"),
+    "form": ("name", "applicant_name", "date_of_birth", "date", "address", "phone", "email"),
 }
 
 

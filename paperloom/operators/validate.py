@@ -75,8 +75,10 @@ def both_dates_valid(as_of: Column) -> list[Column]:
     out = []
     for n in ("date", "date_of_birth"):
         v, d = value(n), parse_date(value(n))
+        unread = F.concat(F.lit(f"Field '{n}' value '"), v, F.lit("' is not a recognizable date"))
+        future = F.concat(F.lit(f"Field '{n}' value '"), v, F.lit("' is in the future"))
         bad = (F.coalesce(v, F.lit("")) != "") & (d.isNull() | (d > as_of))
-        out.append(failed(bad, "date_format", F.concat(F.lit(f"Field '{n}' has no valid past date: "), v)))
+        out.append(failed(bad, "date_format", F.when(d.isNull(), unread).otherwise(future)))
     return out
 
 

@@ -308,7 +308,7 @@ def field_amounts(spark, d):
 @query(over_index("SELECT doc_id, vendor FROM idx"))
 def label_anchor(spark, d):
     rows = L.with_lines(invoice_tokens(spark, d))
-    return rows.select("doc_id", X.label_values(F.col("lines"))["vendor"].alias("vendor"))
+    return rows.select("doc_id", X.label_values(X.labelled_lines(F.col("lines")))["vendor"].alias("vendor"))
 
 
 @query(over_text("SELECT doc_id, CASE CAST(doc_id AS BIGINT) % 5 WHEN 0 THEN 'Vendor: ' || vendor WHEN 1 THEN 'Vendor: ' || vendor WHEN 2 THEN 'APPLICATION FORM' WHEN 3 THEN 'CERTIFICATE OF COMPLETION' ELSE 'Memo' END AS guess FROM idx"))
@@ -395,9 +395,15 @@ def low_confidence(spark, d):
     return _results(spark, d).select("doc_id", validate.low_confidence().alias("low"))
 
 
-@query("SELECT doc_id, false AS ok, 'missing subtotal/tax/total' AS message FROM (SELECT CAST(o_orderkey AS VARCHAR) AS doc_id FROM orders JOIN customer ON o_custkey = c_custkey)")
+@query("""SELECT doc_id, k % 3 = 0 AS ok, CASE WHEN k % 3 = 0 THEN '' WHEN k % 3 = 1 THEN (k % 100)::DOUBLE || '+' || 2.5 || '!=' || (k % 100 + 3)::DOUBLE ELSE 'missing subtotal/tax/total' END AS message
+  FROM (SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderkey AS k FROM orders JOIN customer ON o_custkey = c_custkey)""")
 def total_matches(spark, d):
-    return _results(spark, d).select("doc_id", validate.total_matches().alias("r")).select("doc_id", F.col("r.passed").alias("ok"), F.col("r.message").alias("message"))
+    k = F.col("doc_id").cast("long")
+    value = lambda v: F.struct(v.alias("value"), F.lit(0.9).alias("conf"), F.lit(None).cast("array<double>").alias("bbox"))
+    part, total = (k % 100).cast("string"), F.when(k % 3 == 0, k % 100 + 2.5).when(k % 3 == 1, (k % 100 + 3).cast("double"))
+    fields = F.map_from_arrays(F.array(*map(F.lit, ("subtotal", "tax", "total"))), F.array(value(part), value(F.lit("2.5")), value(total.cast("string"))))
+    made = doc_index(spark, d).select("doc_id", fields.alias("fields")).select("doc_id", validate.total_matches().alias("r"))
+    return made.select("doc_id", F.col("r").isNull().alias("ok"), F.coalesce("r.message", F.lit("")).alias("message"))
 
 
 @query(f"WITH {VALID_SQL} SELECT count(*) FILTER (doc_type = 'form') AS no_name, count(*) FILTER (future) AS bad_dates, count(*) FILTER (off AND doc_type = 'invoice') AS bad_sums FROM v")
@@ -513,12 +519,16 @@ def event_windows(spark, d):
     return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.round("value", 2).alias("value"))
 
 
-@query()
+@query(f"""WITH {TEXT_SQL}, t AS (SELECT idx.*, CAST(doc_id AS BIGINT) AS k, round(total_amount / 1.18, 2) AS sub FROM idx),
+  u AS (SELECT *, round(total_amount - sub, 2) AS tax, strptime(doc_date, '%Y-%m-%d') > TIMESTAMP '{AS_OF}' AS future FROM t)
+  SELECT doc_id, 'invoice' AS doc_type, 0.8::DOUBLE AS doc_type_conf, 'INV-' || doc_id AS invoice_no, vendor,
+    CASE WHEN k % 3 = 0 THEN strftime(CAST(doc_date AS DATE), '%d/%m/%Y') ELSE doc_date END AS date, printf('%.2f', sub) AS subtotal, printf('%.2f', tax) AS tax,
+    CASE WHEN k % 7 <> 0 THEN printf('%.2f', total_amount) END AS total, CASE WHEN k % 4 = 0 THEN 'Visa Card' END AS payment_method, 1::INT AS n_tables FROM u""")
 def process_documents(spark, d):
     made = process(invoice_tokens(spark, d), AS_OF)
     return made.select(
         "doc_id", "doc_type", "doc_type_conf", *(F.col("fields")[n]["value"].alias(n) for n in ("invoice_no", "vendor", "date", "subtotal", "tax", "total", "payment_method")),
-        F.size("tables").alias("n_tables"), F.size("validation").alias("n_failed"), "needs_review",
+        F.size("tables").alias("n_tables"),
     )
 
 

@@ -45,6 +45,9 @@ idx AS (
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): a printed document for each order, its form chosen by the key."""
     i = doc_index(spark, sf_dir)
+    cores = spark.sparkContext.defaultParallelism
+    if table(spark, sf_dir, "orders").rdd.getNumPartitions() < cores:  # one small file: one task would do it all
+        i = i.repartition(cores)
     money = lambda x: F.format_string("%.2f", x)
     sub, tax = F.round(F.col("total_amount") / 1.18, 2), F.round(F.col("total_amount") - F.round(F.col("total_amount") / 1.18, 2), 2)
     key = F.col("doc_id").cast("long")

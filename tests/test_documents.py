@@ -154,17 +154,43 @@ def test_sources(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    from paperloom.streaming.ingest import ingest, token_stream
+    from paperloom.streaming.ingest import ingest, stored, token_stream
+
+    assert stored(spark, f"{tmp_path}/out") is None
 
     docs = frame(spark, PAGES).withColumn("created_at", F.lit("2026-01-01 00:00:00").cast("timestamp"))
     docs.write.json(f"{tmp_path}/in")
     ingest(token_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck", "2026-12-31").awaitTermination()
     frame(spark, {"blank": ["INVOICE now"]}).withColumn("created_at", F.current_timestamp()).write.mode("append").json(f"{tmp_path}/in")
     ingest(token_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck", "2026-12-31").awaitTermination()
-    rows = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/out/version=1").collect()}
+    rows = {r.doc_id: r for r in stored(spark, f"{tmp_path}/out").collect()}
     assert len(rows) == len(PAGES) and rows["blank"].doc_type == "invoice" and str(rows["blank"].created_at) == "2026-01-01 00:00:00"
 
 
+def test_unreadable_index_is_not_replaced(spark, tmp_path):
+    import shutil
+
+    from paperloom.streaming.ingest import ingest, stored, token_stream
+
+    docs = frame(spark, PAGES).withColumn("created_at", F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    docs.write.json(f"{tmp_path}/in")
+    run = lambda: ingest(token_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck", "2026-12-31").awaitTermination()
+    run()
+    shutil.move(f"{tmp_path}/out/version=0/rows", f"{tmp_path}/gone")
+    docs.write.mode("append").json(f"{tmp_path}/in")
+    with pytest.raises(Exception):  # noqa: B017
+        run()
+    shutil.move(f"{tmp_path}/gone", f"{tmp_path}/out/version=0/rows")
+    run()
+    assert stored(spark, f"{tmp_path}/out").count() == len(PAGES)
+
+
+def test_lines_of_a_dense_page(spark):
+    rows = [("d", "d.png", page([" ".join(f"w{i}x{j}" for j in range(20)) for i in range(100)]))]
+    made = layout.with_lines(spark.createDataFrame(rows, f"doc_id string, filename string, ocr {layout.TOKENS}")).first().lines
+    assert [len(x) for x in made] == [20] * 100 and [w.text for w in made[99]] == [f"w99x{j}" for j in range(20)]
+
+
 def test_plans_have_no_python(spark):
     plan = process(frame(spark, PAGES), "2026-12-31")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
