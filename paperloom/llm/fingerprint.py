@@ -129,7 +129,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     spread = spread.select(
         F.col("_to.to").alias("_part"), "doc_id", "text", F.col("_to.carried").alias("_carried")
     )
-    return spread.repartition(n, "_part").sortWithinPartitions("_part", "_carried", "doc_id", "text")
+    return spread.repartitionById(n, "_part").sortWithinPartitions("_part", "_carried", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:
