@@ -2,18 +2,21 @@
 
 Text model. A text is its lower-cased words joined by single spaces and an end mark: a string of
 bytes. All strings of DEPTH bytes and the byte after them are counted over all training texts. A
-context is a candidate if it makes up MIN_SHARE of all positions (so there are at most
-DEPTH / MIN_SHARE of them, which bounds the model), and is retained if its next-byte distribution
-diverges from that of its longest proper suffix by MIN_GAIN nats a position of the corpus. Retained
-contexts bring their suffixes and prefixes along, which makes the tree an automaton: the longest
-suffix of the text that is a state, and the next byte, give the next state. A state's distribution
-is smoothed towards its parent's with the weight of its number of different next bytes; the root's
-has half a count added for each byte. Texts are scored in lanes that start DEPTH bytes early, so
-that each is in the right state when it begins to count.
-
-Base. c, N and V of the unigram formula are exact over all training texts. Tasks emit, per chunk of
-about CHUNK_TOKENS tokens, its distinct words by range of their hash with training counts, and its
-documents' words as positions in that list; ranges add up counts and answer every chunk.
+context of up to LOW bytes is always a state. A longer one passes if it was seen MIN_COUNT times and
+its next-byte distribution diverges from that of its longest proper suffix by MIN_GAIN nats (summed
+over its occurrences) for each of its different next bytes; it is a state if it passes or is a
+suffix of one that does. A byte is predicted by the longest suffix of what precedes it that is a
+state. A state's distribution is smoothed towards its parent's with the weight of its number of
+different next bytes; the root's has half a count added for each byte. No threshold depends on the
+corpus's size, so the tree grows with the input.
+
+The tree is never in one place: strings are dealt by the last LOW + 1 bytes of their context, so
+that each range holds whole subtrees, and only contexts of up to LOW bytes (256^3 counts at most) are
+known to all. Tasks emit, per chunk of about CHUNK_BYTES, its distinct strings with training counts;
+ranges add up counts, build their subtrees and answer every chunk with a probability a string.
+
+Base. c, N and V of the unigram formula are exact over all training texts. Chunks ask for their
+distinct words in the same way, by range of their hash. A chunk's documents then meet its answers.
 
 Everything exchanged is packed: sorted differences in byte planes, which compress well.
 """
@@ -29,15 +32,15 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import cut_lines, doc_bytes, materialise, mix64, prepare, shuffle_parts
 
-DEPTH = 6
-MIN_SHARE = 1e-5
+#: A string, context and next byte, fills 64 bits.
+DEPTH = 7
+#: Contexts of so many bytes are known to all tasks: at most 256^3 counts.
+LOW = 2
 MIN_COUNT = 4
-MIN_GAIN = 1e-7
-CHUNK_TOKENS = 1_000_000
-CHUNK_BYTES = 6_000_000
-GRAM_ENTRIES = 4_000_000
-LANE = 250
-SPACE, END = 32, 10
+MIN_GAIN = 1.0
+CHUNK_BYTES = 4_000_000
+#: Short strings that a task counts before it hands them on.
+LOW_ENTRIES = 1_000_000
 ADDED = 0.1
 
 
@@ -105,8 +108,13 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], NAMES)
 
 
+def gram_part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The range of each string: by the last LOW + 1 bytes of its context."""
+    return (mix64(keys >> np.uint64(8) & np.uint64(256 ** (LOW + 1) - 1)) % np.uint64(parts)).astype(np.int64)
+
+
 def gather(docs: DataFrame, parts: int) -> DataFrame:
-    """docs (doc_id, text binary, held): packed rows of kinds 0 (grams), 1 (words) and 2 (documents)."""
+    """docs (doc_id, text binary, held): packed rows of kinds 0 (words), 1 (strings), 2 (documents) and 3 (short strings)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -116,28 +124,15 @@ def gather(docs: DataFrame, parts: int) -> DataFrame:
         end = xxhash.xxh64_intdigest(b"\n")
         salt = int.from_bytes(os.urandom(8), "little") >> 1  # chunks only need different numbers
         number = 0
-        gram_keys, gram_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        pending: list[np.ndarray] = []
-
-        def settle() -> None:
-            nonlocal gram_keys, gram_counts, pending
-            made = [np.unique(np.concatenate(pending), return_counts=True)] if pending else []
-            keys = np.concatenate([gram_keys, *(k for k, _ in made)])
-            gram_keys, gram_counts = add_counts(keys, np.concatenate([gram_counts, *(c for _, c in made)]))
-            pending = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal gram_keys, gram_counts
-            if len(gram_keys):
-                part = (mix64(gram_keys >> np.uint64(8) & np.uint64(0xFFFFFF)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                keys, counts, part = gram_keys[order], gram_counts[order], part[order]
-                cuts = np.flatnonzero(np.diff(part, prepend=-1))
-                yield _batch([
-                    _row(0, int(part[i]), 0, pack_sorted(keys[i:j]), planes(counts[i:j].astype("<u4")))
-                    for i, j in zip(cuts, [*cuts[1:], len(keys)])
-                ])
-            gram_keys, gram_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        low: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def short() -> pa.RecordBatch:
+            keys, counts = add_counts(*(np.concatenate(x) for x in zip(*low)))
+            low.clear()
+            part = (keys % np.uint64(parts)).astype(np.int64)
+            return _batch([
+                _row(3, x, 0, pack_sorted(keys[part == x]), planes(counts[part == x].astype("<u8"))) for x in np.unique(part).tolist()
+            ])
 
         for batch in batches:
             ids, raws, held = (c.to_pylist() for c in batch.columns)
@@ -156,148 +151,166 @@ def gather(docs: DataFrame, parts: int) -> DataFrame:
                 cell = np.minimum((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.uint64(parts - 1)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(cell, prepend=-1))
                 rows = [
-                    _row(1, int(cell[i]), chunk, pack_sorted(words[i:j]), planes(counts[i:j]))
+                    _row(0, int(cell[i]), chunk, pack_sorted(words[i:j]), planes(counts[i:j]))
                     for i, j in zip(cuts, [*cuts[1:], len(words)])
                 ]
+                learnt, times = np.unique(grams([t for t, x in zip(texts, train) if x]), return_counts=True)
+                other = np.unique(grams([t for t, x in zip(texts, train) if not x]))
+                keys, seen = add_counts(np.concatenate([learnt, other]), np.concatenate([times, np.zeros(len(other), np.int64)]))
+                part = gram_part(keys, parts)
+                order = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+                for i, j in zip(cuts, [*cuts[1:], len(keys)]):
+                    some = order[i:j]
+                    rows.append(_row(1, int(part[some[0]]), chunk, pack_sorted(keys[some]), planes(seen[some].astype("<u4"))))
+                low.append(add_counts(learnt & np.uint64(256 ** (LOW + 1) - 1), times))
                 pair, times = np.unique(np.repeat(np.arange(b - a, dtype=np.uint64), sizes) << np.uint64(32) | index.astype(np.uint64), return_counts=True)
-                digests = np.array([xxhash.xxh3_64_intdigest(doc_bytes(x)) for x in raws[a:b]], "<u8")
                 some = np.array([x is not None for x in ids[a:b]])
                 numbers = np.array([x or 0 for x in ids[a:b]], "<i8")
                 rows.append(_row(
-                    2, 0, chunk, np.stack([numbers.view("<u8"), digests, some.astype("<u8"), (~train).astype("<u8")]).tobytes(),
-                    pack_sorted(pair), planes(times.astype("<u4")), planes(sizes.astype("<u4")),
+                    2, 0, chunk, np.stack([numbers.view("<u8"), some.astype("<u8"), (~train).astype("<u8")]).tobytes(),
+                    pack_sorted(pair), planes(times.astype("<u4")), planes(sizes.astype("<u4")), b"".join(texts),
+                    planes(np.array(list(map(len, texts)), "<u8")),
                 ))
                 yield _batch(rows)
-                made = grams([t for t, x in zip(texts, train) if x])
-                pending.append(made)
-                if sum(map(len, pending)) > GRAM_ENTRIES:
-                    settle()
-                    if len(gram_keys) > GRAM_ENTRIES:
-                        yield from flush()
-        settle()
-        yield from flush()
+                if sum(len(k) for k, _ in low) > LOW_ENTRIES:
+                    yield short()
+        if low:
+            yield short()
 
     return docs.select("doc_id", "text", "held").mapInArrow(run, SCHEMA)
 
 
-def count_grams(gathered: DataFrame, parts: int, least: int) -> DataFrame:
-    """(depth, key, n): counts of contexts with a next byte, for contexts seen ``least`` times.
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def find(known: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each sought value in sorted ones, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(sought), np.int64), np.zeros(len(sought), bool)
+    at = np.minimum(np.searchsorted(known, sought), len(known) - 1)
+    return at, known[at] == sought
+
+
+class Level:
+    """The contexts of one length: each with its total, its number of different next bytes, and whether it is a state."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys, self.n = keys, n
+        self.context, self.total = add_counts(keys >> np.uint64(8), n)
+        self.of, _ = find(self.context, keys >> np.uint64(8))
+        self.distinct = np.bincount(self.of, minlength=len(self.context))
+        self.state = np.ones(len(self.context), bool)
+
+    def gains(self, parent: Level) -> np.ndarray:
+        """By context, the nats that its distribution saves over that of its longest proper suffix, over all its occurrences."""
+        event, _ = find(parent.keys, self.keys & _mask(parent.depth + 1))
+        shorter = parent.of[event]
+        nats = self.n * np.log(self.n * parent.total[shorter] / (self.total[self.of] * parent.n[event].astype(float)))
+        return np.bincount(self.of, nats, len(self.context))
+
+    depth = 0
+
+
+def _mask(size: int) -> np.uint64:
+    return np.uint64(256**size - 1)
+
+
+def levels(keys: np.ndarray, n: np.ndarray, top: int, bottom: int) -> dict[int, Level]:
+    """Levels of contexts of ``top`` bytes down to ``bottom``, from distinct sorted strings of the longest."""
+    out = {}
+    for d in range(top, bottom - 1, -1):
+        keys, n = add_counts(keys & _mask(d + 1), n)
+        out[d] = Level(keys, n)
+        out[d].depth = d
+    return out
 
-    Ranges hold all strings whose last three context bytes agree, so contexts of three bytes and
-    more are complete; those of two (of which all others follow) are summed afterwards.
-    """
+
+def retain(tree: dict[int, Level]) -> None:
+    """Marks the states among contexts of more than LOW bytes."""
+    for d in range(LOW + 1, DEPTH + 1):
+        level = tree[d]
+        level.state = (level.total >= MIN_COUNT) & (level.gains(tree[d - 1]) >= MIN_GAIN * level.distinct)
+    for d in range(DEPTH, LOW + 1, -1):
+        at, _ = find(tree[d - 1].context, tree[d].context[tree[d].state] & _mask(d - 1))
+        tree[d - 1].state[at] = True
+
+
+def chances(keys: np.ndarray, tree: dict[int, Level]) -> np.ndarray:
+    """log10 probabilities of the last byte of strings after the rest, by their longest suffix that is a state."""
+    made = np.full(len(keys), 0.5)
+    at, has = find(tree[0].keys, keys & _mask(1))
+    if len(tree[0].n):
+        made += np.where(has, tree[0].n[at], 0)
+    made /= tree[0].n.sum() + 128
+    for d in range(1, DEPTH + 1):
+        level, event = tree[d], keys & _mask(d + 1)
+        at, has = find(level.context, event >> np.uint64(8))
+        some = np.flatnonzero(has)
+        some = some[level.state[at[some]]]
+        place, seen = find(level.keys, event[some])
+        n = np.where(seen, level.n[place], 0) if len(level.n) else 0
+        k = level.distinct[at[some]]
+        made[some] = (n + k * made[some]) / (level.total[at[some]] + k)
+    return np.log10(made)
+
+
+def low_counts(gathered: DataFrame, parts: int) -> Counts:
+    """Counts of the strings of LOW + 1 bytes in all training texts: 256^3 rows at most, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                keys.append(unpack_sorted(a))
-                counts.append(unplanes(b, "<u4").astype(np.int64))
-        key, n = add_counts(np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts]))
-        for depth in range(DEPTH, 1, -1):
-            key, n = add_counts(key & np.uint64(256 ** (depth + 1) - 1), n)
-            context, total = add_counts(key >> np.uint64(8), n)
-            keep = np.ones(len(key), bool)
-            if depth > 2:
-                keep = total[np.searchsorted(context, key >> np.uint64(8))] >= least
-            made = (np.full(int(keep.sum()), depth, np.int32), key[keep].view(np.int64), n[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["depth", "key", "n"])
-
-    rows = gathered.where("kind = 0").select("part", "a", "b").repartition(parts, "part")
-    return rows.mapInArrow(run, "depth int, key long, n long").groupBy("depth", "key").agg(F.sum("n").alias("n"))
-
-
-class Tree:
-    """The retained contexts as an automaton over the bytes that occur, and one for all others."""
-
-    def __init__(self, depth: np.ndarray, key: np.ndarray, n: np.ndarray, least: int):
-        tables: dict[int, dict[int, dict[int, int]]] = {d: {} for d in range(DEPTH + 1)}
-        for d, k, c in zip(depth.tolist(), key.tolist(), n.tolist()):
-            tables[d].setdefault(k >> 8, {})[k & 255] = c
-        for d in (1, 0):
-            for context, out in tables[d + 1].items():
-                short = tables[d].setdefault(context & (256**d - 1), {})
-                for x, c in out.items():
-                    short[x] = short.get(x, 0) + c
-        total = sum(tables[0].get(0, {}).values())
-        least = max(1, least)
-        sums = {d: {k: sum(v.values()) for k, v in t.items()} for d, t in tables.items()}
-        states = {(0, 0)}
-        for d in range(1, DEPTH + 1):
-            for context, out in tables[d].items():
-                c = sums[d][context]
-                if c < least:
-                    continue
-                parent = context & (256 ** (d - 1) - 1)
-                base, m = tables[d - 1][parent], sums[d - 1][parent]
-                gain = sum(x * np.log(x * m / (c * base[s])) for s, x in out.items())
-                if gain >= MIN_GAIN * total:
-                    states.add((d, context))
-        queue = list(states)
-        while queue:
-            d, context = queue.pop()
-            for short in ((d - 1, context & (256 ** (d - 1) - 1)), (d - 1, context >> 8)) if d else ():
-                if short not in states:
-                    states.add(short)
-                    queue.append(short)
-        used = sorted(tables[0].get(0, {}))
-        self.symbol = np.full(256, len(used), np.int32)
-        self.symbol[used] = np.arange(len(used))
-        width = self.width = len(used) + 1
-        order = sorted(states)
-        at = {s: i for i, s in enumerate(order)}
-        chance = np.zeros((len(order), width))
-        for (d, context), i in at.items():
-            out, c = tables[d].get(context, {}), sums[d].get(context, 0)
-            counts = np.zeros(width)
-            counts[self.symbol[list(out)]] = list(out.values())
-            if d == 0:
-                chance[i] = (counts + 0.5) / (c + 128)
-            else:
-                k = max(1, len(out))
-                chance[i] = (counts + k * chance[at[d - 1, context & (256 ** (d - 1) - 1)]]) / (c + k)
-        step = np.zeros((len(order), width), np.int32)
-        for (d, context), i in at.items():
-            for x, s in zip(used, range(width - 1)):
-                e, longer = d + 1, context << 8 | x
-                while (e, longer) not in at:
-                    e -= 1
-                    longer &= 256**e - 1
-                step[i, s] = at[e, longer]
-        self.log, self.step = np.log10(chance).ravel(), step.ravel()
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probabilities of canonical texts."""
-        sizes = np.array([len(t) for t in texts])
-        lanes = -(-sizes // LANE)
-        total = int(lanes.sum())
-        if not total:
-            return np.zeros(len(texts))
-        grid = np.full((total, LANE + DEPTH), -1, np.int16)
-        mark = self.symbol[END]
-        row = 0
-        for t in texts:
-            body = np.concatenate([np.full(DEPTH, mark), self.symbol[np.frombuffer(t, np.uint8)]])
-            for b in range(0, len(t), LANE):
-                part = body[b : b + LANE + DEPTH]
-                grid[row, : len(part)] = part
-                row += 1
-        size = (grid >= 0).sum(axis=1)
-        order = np.argsort(-size, kind="stable")
-        grid = np.ascontiguousarray(grid[order].T)
-        alive = np.searchsorted(-size[order], -np.arange(LANE + DEPTH), side="left")
-        state, sums = np.zeros(total, np.int32), np.zeros(total)
-        for i in range(LANE + DEPTH):
-            m = alive[i]
-            if not m:
-                break
-            cell = state[:m] * self.width + grid[i, :m]
-            if i >= DEPTH:
-                sums[:m] += self.log[cell]
-            state[:m] = self.step[cell]
-        out = np.zeros(total)
-        out[order] = sums
-        return np.bincount(np.repeat(np.arange(len(texts)), lanes), out, len(texts))
+                keys, counts = add_counts(np.concatenate([keys, unpack_sorted(a)]), np.concatenate([counts, unplanes(b, "<u8").astype(np.int64)]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
+
+    rows = gathered.where("kind = 3").select("part", "a", "b").repartitionById(parts, "part")
+    made = rows.mapInArrow(run, "key long, n long").toArrow()
+    return add_counts(made.column("key").to_numpy().astype(np.uint64), made.column("n").to_numpy())
+
+
+def _chances(gathered: DataFrame, low: Counts, parts: int) -> DataFrame:
+    """(chunk, part, a): log10 probabilities of a chunk's strings of a range, in their order."""
+    shared = gathered.sparkSession.sparkContext.broadcast(low)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, list] = {}
+        for batch in batches:
+            for part, chunk, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                asked.setdefault(part, []).append((chunk, a, b))
+        if not asked:
+            return
+        short = levels(*shared.value, LOW, 0)
+        for part, rows in asked.items():
+            keys, n = add_counts(
+                np.concatenate([unpack_sorted(a) for _, a, _ in rows]),
+                np.concatenate([unplanes(b, "<u4").astype(np.int64) for _, _, b in rows]),
+            )
+            tree = short | levels(keys[n > 0], n[n > 0], DEPTH, LOW + 1)
+            retain(tree)
+            made = chances(keys, tree).astype("<f4")
+            for chunk, a, _ in rows:
+                blob = planes(made[np.searchsorted(keys, unpack_sorted(a))])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "part", "a"])
+
+    rows = gathered.where("kind = 1").select("part", "chunk", "a", "b").repartitionById(parts, "part")
+    return rows.mapInArrow(run, "chunk long, part int, a binary")
+
+
+def score_strings(texts: list[bytes], made: np.ndarray, parts: int) -> np.ndarray:
+    """log10 probabilities of canonical texts; made: those of their distinct strings, by range and key."""
+    keys = grams(texts)
+    order = np.argsort(keys)
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[order[1:]] != keys[order[:-1]]
+    distinct = keys[order[fresh]]
+    value = np.empty(len(distinct))
+    value[np.argsort(gram_part(distinct, parts), kind="stable")] = made
+    doc = np.repeat(np.arange(len(texts)), list(map(len, texts)))
+    by = np.empty(len(keys))
+    by[order] = value[np.cumsum(fresh) - 1]
+    return np.bincount(doc, by, len(texts))
 
 
 def _answers(gathered: DataFrame, parts: int) -> DataFrame:
@@ -317,38 +330,42 @@ def _answers(gathered: DataFrame, parts: int) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["chunk", "part", "a", "n", "v"])
 
-    rows = gathered.where("kind = 1").select("part", "chunk", "a", "b").repartition(parts, "part")
+    rows = gathered.where("kind = 0").select("part", "chunk", "a", "b").repartitionById(parts, "part")
     return rows.mapInArrow(run, "chunk long, part int, a binary, n long, v long")
 
 
-def _base(gathered: DataFrame, answers: DataFrame, n: int, v: int, parts: int) -> DataFrame:
-    """(doc_id, digest, held_out, n_tokens, n_known, base_score): one row a document."""
+def _scores(gathered: DataFrame, answers: DataFrame, strings: DataFrame, n: int, v: int, parts: int) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, base_score, score): one row a document, from a chunk's answers and its texts."""
     floor = np.log10(n + ADDED * (v + 1))
-    docs = gathered.where("kind = 2").select("chunk", F.lit(2**31 - 1).alias("part"), "a", "b", "c", "d")
-    counts = answers.select("chunk", "part", "a", *(F.lit(None).cast("binary").alias(x) for x in "bcd"))
-    met = docs.unionByName(counts).repartition(parts, "chunk").sortWithinPartitions("chunk", "part")
+    none = [F.lit(None).cast("binary").alias(x) for x in "bcdef"]
+    docs = gathered.where("kind = 2").select("chunk", F.lit(2).alias("kind"), "part", *"abcdef")
+    counts = answers.select("chunk", F.lit(0).alias("kind"), "part", "a", *none)
+    chance = strings.select("chunk", F.lit(1).alias("kind"), "part", "a", *none)
+    met = docs.unionByName(counts).unionByName(chance).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts_: list[np.ndarray] = []
+        held: dict[int, list[np.ndarray]] = {0: [], 1: []}
         for batch in batches:
-            for a, b, c, d in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                if b is None:
-                    parts_.append(unplanes(a, "<u8"))
+            for kind, a, b, c, d, e, f in zip(*(batch.column(i).to_pylist() for i in (1, *range(3, 9)))):
+                if kind < 2:
+                    held[kind].append(unplanes(a, "<f4" if kind else "<u8"))
                     continue
-                seen = np.concatenate(parts_).astype(float)
-                parts_ = []
-                ids, digests, some, held = np.frombuffer(a, "<u8").reshape(4, -1)
+                seen, made = (np.concatenate(held[x]).astype(float) for x in (0, 1))
+                held = {0: [], 1: []}
+                ids, some, out = np.frombuffer(a, "<u8").reshape(3, -1)
                 pair, times, sizes = unpack_sorted(b), unplanes(c, "<u4"), unplanes(d, "<u4")
                 doc, word = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(2**32 - 1)).astype(np.int64)
                 base = np.bincount(doc, times * (np.log10(seen[word] + ADDED) - floor), len(ids))
                 known = np.bincount(doc, times * (seen[word] > 0), len(ids)).astype(np.int64)
+                ends = np.cumsum(unplanes(f, "<u8")).tolist()
+                texts = [e[x:y] for x, y in zip([0, *ends], ends)]
                 columns = (
-                    pa.array(ids.view(np.int64), pa.int64(), mask=some == 0), pa.array(digests.view(np.int64)),
-                    pa.array(held.astype(bool)), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(base),
+                    pa.array(ids.view(np.int64), pa.int64(), mask=some == 0), pa.array(out.astype(bool)),
+                    pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score_strings(texts, made, parts)),
                 )
-                yield pa.RecordBatch.from_arrays(list(columns), ["doc_id", "digest", "held_out", "n_tokens", "n_known", "base_score"])
+                yield pa.RecordBatch.from_arrays(list(columns), ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    return met.mapInArrow(run, "doc_id long, digest long, held_out boolean, n_tokens long, n_known long, base_score double")
+    return met.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -356,7 +373,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Training rows are those for which ``held_out`` is false; NULL ids train. A null text is empty:
     the end alone. With no training text, base and model are their smoothing alone. Repeated rows
-    keep their rows. The texts are read twice: to gather counts, and to be scored.
+    keep their rows. The texts are read once; a text is never cut, so a very long one is a chunk of
+    its own.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -366,28 +384,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     gathered = materialise(gather(rows, parts), "gathered")
     answers = materialise(_answers(gathered, parts), "answers")
     n, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
-    positions = rows.where("not held").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)).first()[0] or 0
-    least = max(MIN_COUNT, int(MIN_SHARE * positions) + 1)
-    counted = count_grams(gathered, parts, least).toArrow()
-    tree = Tree(*(counted.column(c).to_numpy() for c in ("depth", "key", "n")), least)
-    model = spark.sparkContext.broadcast(tree)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            raws = [doc_bytes(x) for x in batch.column(1).to_pylist()]
-            texts = [canonical(x.lower().split()) for x in raws]
-            made = np.zeros(len(texts))
-            for a, b in cut_lines(map(len, texts), CHUNK_BYTES):
-                made[a:b] = model.value.score(texts[a:b])
-            digests = np.array([xxhash.xxh3_64_intdigest(x) for x in raws], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests), pa.array(made)], ["doc_id", "digest", "score"])
-
-    scored = rows.select("doc_id", "text").mapInArrow(run, "doc_id long, digest long, score double")
-    scored = scored.groupBy("doc_id", "digest").agg(F.first("score").alias("score"))
-    base = _base(gathered, answers, n, v, parts)
-    same = base["doc_id"].eqNullSafe(scored["doc_id"]) & (base["digest"] == scored["digest"])
-    return base.join(scored, same).select(
-        base["doc_id"], "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
+    strings = _chances(gathered, low_counts(gathered, parts), parts)
+    scored = _scores(gathered, answers, strings, n, v, parts)
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )

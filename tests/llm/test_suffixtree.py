@@ -32,38 +32,73 @@ def test_base_score_against_the_formula(spark, monkeypatch):
         assert r.score < 0
 
 
-def test_tree_against_plain_counting():
-    rng = random.Random(1)
-    texts = [st.canonical([bytes(rng.choices(b"abc\xc3", k=rng.randint(1, 6))) for _ in range(rng.randint(0, 30))]) for _ in range(200)]
-    keys, n = np.unique(st.grams(texts), return_counts=True)
-    depth, key, count = [], [], []
-    now, m = keys, n
-    for d in range(st.DEPTH, 1, -1):
-        now, m = st.add_counts(now & np.uint64(256 ** (d + 1) - 1), m)
-        depth += [d] * len(now)
-        key += now.tolist()
-        count += m.tolist()
-    tree = st.Tree(np.array(depth), np.array(key), np.array(count), 5)
-    plain = Counter()
+def plain_model(texts):
+    """{context: Counter of next bytes} of all contexts, and the set of states, by the definition."""
+    after = {}
     for t in texts:
         padded = b"\n" * st.DEPTH + t
-        for i in range(len(t)):
+        for i in range(st.DEPTH, len(padded)):
             for d in range(st.DEPTH + 1):
-                plain[padded[i + st.DEPTH - d : i + st.DEPTH + 1]] += 1
-    assert sum(c for g, c in plain.items() if len(g) == 1) == sum(map(len, texts))
-    assert all(plain[int(k).to_bytes(d + 1, "big")] == c for d, k, c in zip(depth, key, count))
-    sums = np.bincount(np.arange(len(tree.log)) // tree.width, 10.0**tree.log)
-    assert (sums <= 1 + 1e-9).all() and (sums > 0.5).all()
-    one = tree.score([b"".join(texts[:3])])[0]
-    assert np.isfinite(one)
-    # lanes change nothing, and neither does a text's company
-    long = st.canonical([b"abc"] * 900)
-    alone = tree.score([long])[0]
-    lane, st.LANE = st.LANE, 10_000
-    try:
-        assert math.isclose(tree.score([texts[0], long, texts[1]])[1], alone, rel_tol=1e-9)
-    finally:
-        st.LANE = lane
+                after.setdefault(padded[i - d : i], Counter())[padded[i]] += 1
+    states = {c for c in after if len(c) <= st.LOW}
+    for c, out in after.items():
+        if len(c) > st.LOW and sum(out.values()) >= st.MIN_COUNT:
+            n, parent = sum(out.values()), after[c[1:]]
+            m = sum(parent.values())
+            gain = sum(x * math.log((x / n) / (parent[b] / m)) for b, x in out.items())
+            if gain >= st.MIN_GAIN * len(out):
+                states |= {c[i:] for i in range(len(c) + 1)}
+    return after, states
+
+
+def plain_chance(after, states, context, byte):
+    out = after.get(b"", Counter())
+    p = (out[byte] + 0.5) / (sum(out.values()) + 128)
+    for d in range(1, st.DEPTH + 1):
+        c = context[len(context) - d :]
+        if c in states:
+            out = after[c]
+            p = (out[byte] + len(out) * p) / (sum(out.values()) + len(out))
+    return p
+
+
+def test_states_and_chances_against_the_definition():
+    rng = random.Random(1)
+    words = [bytes(rng.choices(b"abc\xc3", k=rng.randint(1, 9))) for _ in range(25)]
+    texts = [st.canonical(rng.choices(words, k=rng.randint(0, 30))) for _ in range(150)]
+    keys, n = np.unique(st.grams(texts), return_counts=True)
+    tree = st.levels(keys, n, st.DEPTH, 0)
+    st.retain(tree)
+    after, states = plain_model(texts)
+    mine = {int(c).to_bytes(d, "big") for d, level in tree.items() for c in level.context[level.state].tolist()}
+    assert mine == states and 20 < sum(len(c) > st.LOW for c in states) < len(after)
+    asked = np.unique(np.concatenate([keys, st.grams([b"abz\xff cab abc\n", texts[0][::-1]])]))
+    for key, got in zip(asked.tolist(), st.chances(asked, tree).tolist()):
+        raw = key.to_bytes(8, "big")
+        assert math.isclose(got, math.log10(plain_chance(after, states, raw[:-1], raw[-1])), rel_tol=1e-9, abs_tol=1e-12)
+    for context in (b"\n" * 7, b"abcabca", b"zzzzzzz"):
+        every = np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256)], np.uint64)
+        assert math.isclose((10.0 ** st.chances(every, tree)).sum(), 1, rel_tol=1e-9)
+
+
+def test_scores_against_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(st, "CHUNK_BYTES", 900)
+    monkeypatch.setattr(st, "LOW_ENTRIES", 100)
+    texts = corpus(60)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in st.score_documents(docs.repartition(3)).collect()}
+    plain = {i: st.canonical((t or "").encode().lower().split()) for i, t in texts.items()}
+    after, states = plain_model([t for i, t in plain.items() if zlib.crc32(str(i).encode()) % 10])
+    for i, t in plain.items():
+        padded = b"\n" * st.DEPTH + t
+        want = sum(math.log10(plain_chance(after, states, padded[j : j + st.DEPTH], padded[j + st.DEPTH])) for j in range(len(t)))
+        assert math.isclose(got[i], want, rel_tol=1e-5)
+
+
+def test_the_model_beats_the_base_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = st.score_documents(docs).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
+    assert rows.s > 0.97 * rows.b
 
 
 def test_no_training_rows_and_repeats(spark):
