@@ -6,8 +6,8 @@ context of up to LOW bytes is always a state. A longer one passes if it was seen
 its next-byte distribution diverges from that of its longest proper suffix by MIN_GAIN nats (summed
 over its occurrences) for each of its different next bytes; it is a state if it passes or is a
 suffix of one that does. A byte is predicted by the longest suffix of what precedes it that is a
-state. A state's distribution is smoothed towards its parent's with the weight of its number of
-different next bytes; the root's has half a count added for each byte. No threshold depends on the
+state. A state's distribution is smoothed towards its parent's with the weight of SMOOTHING times its
+number of different next bytes; the root's has half a count added for each byte. No threshold depends on the
 corpus's size, so the tree grows with the input.
 
 The tree is never in one place: strings are dealt by the last LOW + 1 bytes of their context, so
@@ -30,15 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import cut_lines, doc_bytes, materialise, mix64, prepare, shuffle_parts
+from paperloom.llm.common import doc_bytes, materialise, mix64, prepare, shuffle_parts
 
-#: A string, context and next byte, fills 64 bits.
-DEPTH = 7
+#: A string, context and next byte, must fit 64 bits: 7 at most.
+DEPTH = 6
 #: Contexts of so many bytes are known to all tasks: at most 256^3 counts.
 LOW = 2
 MIN_COUNT = 4
 MIN_GAIN = 1.0
-CHUNK_BYTES = 4_000_000
+SMOOTHING = 3
+CHUNK_BYTES = 6_000_000
 #: Short strings that a task counts before it hands them on.
 LOW_ENTRIES = 1_000_000
 ADDED = 0.1
@@ -113,6 +114,37 @@ def gram_part(keys: np.ndarray, parts: int) -> np.ndarray:
     return (mix64(keys >> np.uint64(8) & np.uint64(256 ** (LOW + 1) - 1)) % np.uint64(parts)).astype(np.int64)
 
 
+def gram_order(keys: np.ndarray, parts: int) -> np.ndarray:
+    """By range, then from the last byte to the first: neighbours share most, so their differences are small."""
+    return np.lexsort((keys.byteswap(), gram_part(keys, parts)))
+
+
+def pack_grams(keys: np.ndarray) -> bytes:
+    """Strings of one range in their order."""
+    return pack_sorted(keys.byteswap())
+
+
+def unpack_grams(raw: bytes) -> np.ndarray:
+    return unpack_sorted(raw).byteswap()
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], list]]:
+    """Rows (doc_id, text, held) of about CHUNK_BYTES of text, whatever the batches' sizes."""
+    rows: tuple[list, list[bytes], list] = ([], [], [])
+    size = 0
+    for batch in batches:
+        for doc, raw, held in zip(*(c.to_pylist() for c in batch.columns)):
+            raw = doc_bytes(raw)
+            if rows[0] and size + len(raw) > CHUNK_BYTES:
+                yield rows
+                rows, size = ([], [], []), 0
+            for column, x in zip(rows, (doc, raw, held)):
+                column.append(x)
+            size += len(raw)
+    if rows[0]:
+        yield rows
+
+
 def gather(docs: DataFrame, parts: int) -> DataFrame:
     """docs (doc_id, text binary, held): packed rows of kinds 0 (words), 1 (strings), 2 (documents) and 3 (short strings)."""
 
@@ -121,7 +153,7 @@ def gather(docs: DataFrame, parts: int) -> DataFrame:
 
         import xxhash
 
-        end = xxhash.xxh64_intdigest(b"\n")
+        end, zstd = xxhash.xxh64_intdigest(b"\n"), pa.Codec("zstd")
         salt = int.from_bytes(os.urandom(8), "little") >> 1  # chunks only need different numbers
         number = 0
         low: list[tuple[np.ndarray, np.ndarray]] = []
@@ -134,47 +166,44 @@ def gather(docs: DataFrame, parts: int) -> DataFrame:
                 _row(3, x, 0, pack_sorted(keys[part == x]), planes(counts[part == x].astype("<u8"))) for x in np.unique(part).tolist()
             ])
 
-        for batch in batches:
-            ids, raws, held = (c.to_pylist() for c in batch.columns)
-            for a, b in cut_lines((len(doc_bytes(x)) for x in raws), CHUNK_BYTES):
-                split = [doc_bytes(x).lower().split() for x in raws[a:b]]
-                texts = [canonical(w) for w in split]
-                sizes = np.array([len(w) + 1 for w in split])
-                flat = np.fromiter(
-                    (h for w in split for h in (*map(xxhash.xxh64_intdigest, w), end)), np.uint64, int(sizes.sum())
-                )
-                train = ~np.array(held[a:b])
-                words, index = np.unique(flat, return_inverse=True)
-                counts = np.bincount(index[np.repeat(train, sizes)], minlength=len(words)).astype("<u4")
-                number += 1
-                chunk = (salt + number * 0x9E3779B97F4A7C15) % 2**63
-                cell = np.minimum((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.uint64(parts - 1)).astype(np.int64)
-                cuts = np.flatnonzero(np.diff(cell, prepend=-1))
-                rows = [
-                    _row(0, int(cell[i]), chunk, pack_sorted(words[i:j]), planes(counts[i:j]))
-                    for i, j in zip(cuts, [*cuts[1:], len(words)])
-                ]
-                learnt, times = np.unique(grams([t for t, x in zip(texts, train) if x]), return_counts=True)
-                other = np.unique(grams([t for t, x in zip(texts, train) if not x]))
-                keys, seen = add_counts(np.concatenate([learnt, other]), np.concatenate([times, np.zeros(len(other), np.int64)]))
-                part = gram_part(keys, parts)
-                order = np.argsort(part, kind="stable")
-                cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
-                for i, j in zip(cuts, [*cuts[1:], len(keys)]):
-                    some = order[i:j]
-                    rows.append(_row(1, int(part[some[0]]), chunk, pack_sorted(keys[some]), planes(seen[some].astype("<u4"))))
-                low.append(add_counts(learnt & np.uint64(256 ** (LOW + 1) - 1), times))
-                pair, times = np.unique(np.repeat(np.arange(b - a, dtype=np.uint64), sizes) << np.uint64(32) | index.astype(np.uint64), return_counts=True)
-                some = np.array([x is not None for x in ids[a:b]])
-                numbers = np.array([x or 0 for x in ids[a:b]], "<i8")
-                rows.append(_row(
-                    2, 0, chunk, np.stack([numbers.view("<u8"), some.astype("<u8"), (~train).astype("<u8")]).tobytes(),
-                    pack_sorted(pair), planes(times.astype("<u4")), planes(sizes.astype("<u4")), b"".join(texts),
-                    planes(np.array(list(map(len, texts)), "<u8")),
-                ))
-                yield _batch(rows)
-                if sum(len(k) for k, _ in low) > LOW_ENTRIES:
-                    yield short()
+        for ids, raws, held in chunks(batches):
+            split = [x.lower().split() for x in raws]
+            texts = [canonical(w) for w in split]
+            sizes = np.array([len(w) + 1 for w in split])
+            flat = np.fromiter(
+                (h for w in split for h in (*map(xxhash.xxh64_intdigest, w), end)), np.uint64, int(sizes.sum())
+            )
+            train = ~np.array(held)
+            words, index = np.unique(flat, return_inverse=True)
+            counts = np.bincount(index[np.repeat(train, sizes)], minlength=len(words)).astype("<u4")
+            number += 1
+            chunk = (salt + number * 0x9E3779B97F4A7C15) % 2**63
+            cell = np.minimum((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.uint64(parts - 1)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(cell, prepend=-1))
+            rows = [
+                _row(0, int(cell[i]), chunk, pack_sorted(words[i:j]), planes(counts[i:j]))
+                for i, j in zip(cuts, [*cuts[1:], len(words)])
+            ]
+            learnt, times = np.unique(grams([t for t, x in zip(texts, train) if x]), return_counts=True)
+            other = np.unique(grams([t for t, x in zip(texts, train) if not x]))
+            keys, seen = add_counts(np.concatenate([learnt, other]), np.concatenate([times, np.zeros(len(other), np.int64)]))
+            low.append(add_counts(learnt & np.uint64(256 ** (LOW + 1) - 1), times))
+            order = gram_order(keys, parts)
+            keys, seen = keys[order], seen[order].astype("<u4")
+            part = gram_part(keys, parts)
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            rows += [_row(1, int(part[i]), chunk, pack_grams(keys[i:j]), planes(seen[i:j])) for i, j in zip(cuts, [*cuts[1:], len(keys)])]
+            pair, times = np.unique(np.repeat(np.arange(len(raws), dtype=np.uint64), sizes) << np.uint64(32) | index.astype(np.uint64), return_counts=True)
+            some = np.array([x is not None for x in ids])
+            numbers = np.array([x or 0 for x in ids], "<i8")
+            rows.append(_row(
+                2, 0, chunk, np.stack([numbers.view("<u8"), some.astype("<u8"), (~train).astype("<u8")]).tobytes(),
+                pack_sorted(pair), planes(times.astype("<u4")), planes(sizes.astype("<u4")), zstd.compress(b"".join(texts), asbytes=True),
+                planes(np.array(list(map(len, texts)), "<u8")),
+            ))
+            yield _batch(rows)
+            if sum(len(k) for k, _ in low) > LOW_ENTRIES:
+                yield short()
         if low:
             yield short()
 
@@ -250,7 +279,7 @@ def chances(keys: np.ndarray, tree: dict[int, Level]) -> np.ndarray:
         some = some[level.state[at[some]]]
         place, seen = find(level.keys, event[some])
         n = np.where(seen, level.n[place], 0) if len(level.n) else 0
-        k = level.distinct[at[some]]
+        k = SMOOTHING * level.distinct[at[some]]
         made[some] = (n + k * made[some]) / (level.total[at[some]] + k)
     return np.log10(made)
 
@@ -284,14 +313,14 @@ def _chances(gathered: DataFrame, low: Counts, parts: int) -> DataFrame:
         short = levels(*shared.value, LOW, 0)
         for part, rows in asked.items():
             keys, n = add_counts(
-                np.concatenate([unpack_sorted(a) for _, a, _ in rows]),
+                np.concatenate([unpack_grams(a) for _, a, _ in rows]),
                 np.concatenate([unplanes(b, "<u4").astype(np.int64) for _, _, b in rows]),
             )
             tree = short | levels(keys[n > 0], n[n > 0], DEPTH, LOW + 1)
             retain(tree)
             made = chances(keys, tree).astype("<f4")
             for chunk, a, _ in rows:
-                blob = planes(made[np.searchsorted(keys, unpack_sorted(a))])
+                blob = planes(made[np.searchsorted(keys, unpack_grams(a))])
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "part", "a"])
 
     rows = gathered.where("kind = 1").select("part", "chunk", "a", "b").repartitionById(parts, "part")
@@ -299,14 +328,14 @@ def _chances(gathered: DataFrame, low: Counts, parts: int) -> DataFrame:
 
 
 def score_strings(texts: list[bytes], made: np.ndarray, parts: int) -> np.ndarray:
-    """log10 probabilities of canonical texts; made: those of their distinct strings, by range and key."""
+    """log10 probabilities of canonical texts; made: those of their distinct strings, in order."""
     keys = grams(texts)
     order = np.argsort(keys)
     fresh = np.ones(len(keys), bool)
     fresh[1:] = keys[order[1:]] != keys[order[:-1]]
     distinct = keys[order[fresh]]
     value = np.empty(len(distinct))
-    value[np.argsort(gram_part(distinct, parts), kind="stable")] = made
+    value[gram_order(distinct, parts)] = made
     doc = np.repeat(np.arange(len(texts)), list(map(len, texts)))
     by = np.empty(len(keys))
     by[order] = value[np.cumsum(fresh) - 1]
@@ -358,6 +387,7 @@ def _scores(gathered: DataFrame, answers: DataFrame, strings: DataFrame, n: int,
                 base = np.bincount(doc, times * (np.log10(seen[word] + ADDED) - floor), len(ids))
                 known = np.bincount(doc, times * (seen[word] > 0), len(ids)).astype(np.int64)
                 ends = np.cumsum(unplanes(f, "<u8")).tolist()
+                e = pa.Codec("zstd").decompress(e, ends[-1], asbytes=True)
                 texts = [e[x:y] for x, y in zip([0, *ends], ends)]
                 columns = (
                     pa.array(ids.view(np.int64), pa.int64(), mask=some == 0), pa.array(out.astype(bool)),

@@ -58,7 +58,8 @@ def plain_chance(after, states, context, byte):
         c = context[len(context) - d :]
         if c in states:
             out = after[c]
-            p = (out[byte] + len(out) * p) / (sum(out.values()) + len(out))
+            k = st.SMOOTHING * len(out)
+            p = (out[byte] + k * p) / (sum(out.values()) + k)
     return p
 
 
@@ -74,9 +75,9 @@ def test_states_and_chances_against_the_definition():
     assert mine == states and 20 < sum(len(c) > st.LOW for c in states) < len(after)
     asked = np.unique(np.concatenate([keys, st.grams([b"abz\xff cab abc\n", texts[0][::-1]])]))
     for key, got in zip(asked.tolist(), st.chances(asked, tree).tolist()):
-        raw = key.to_bytes(8, "big")
+        raw = key.to_bytes(st.DEPTH + 1, "big")
         assert math.isclose(got, math.log10(plain_chance(after, states, raw[:-1], raw[-1])), rel_tol=1e-9, abs_tol=1e-12)
-    for context in (b"\n" * 7, b"abcabca", b"zzzzzzz"):
+    for context in (b"\n" * st.DEPTH, b"abcabcabc"[: st.DEPTH], b"z" * st.DEPTH):
         every = np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256)], np.uint64)
         assert math.isclose((10.0 ** st.chances(every, tree)).sum(), 1, rel_tol=1e-9)
 
