@@ -18,7 +18,8 @@ ranges add up counts, build their subtrees and answer every chunk with a probabi
 Base. c, N and V of the unigram formula are exact over all training texts. Chunks ask for their
 distinct words in the same way, by range of their hash. A chunk's documents then meet its answers.
 
-Everything exchanged is packed: sorted differences in byte planes, which compress well.
+Everything exchanged is packed: sorted differences in byte planes, which compress well. Logarithms of
+probabilities are exchanged in single precision.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import doc_bytes, materialise, mix64, prepare, shuffle_parts
+from paperloom.llm.common import batch_words, cut_lines, doc_bytes, materialise, mix64, prepare, shuffle_parts
 
 #: A string, context and next byte, must fit 64 bits: 7 at most.
 DEPTH = 6
@@ -42,17 +43,32 @@ SMOOTHING = 3
 CHUNK_BYTES = 6_000_000
 #: Short strings that a task counts before it hands them on.
 LOW_ENTRIES = 1_000_000
+#: Bytes whose strings are sorted at once.
+SORTED_BYTES = 1_000_000
+#: The end's token among words' hashes.
+END_TOKEN = np.uint64(0x656E64)
 ADDED = 0.1
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True) if raw else b""
+
+
+def unsqueeze(raw: bytes) -> bytes:
+    return _ZSTD.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True) if raw else b""
+
+
 def planes(x: np.ndarray) -> bytes:
-    """Numbers as byte planes."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    """Numbers as compressed byte planes."""
+    return squeeze(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
 def unplanes(raw: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(unsqueeze(raw), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -71,6 +87,12 @@ def add_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def count_strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct strings of canonical texts, sorted, and their counts."""
+    made = [np.unique(grams(texts[a:b]), return_counts=True) for a, b in cut_lines(map(len, texts), SORTED_BYTES)]
+    return add_counts(*(np.concatenate([np.zeros(0, kind), *x]) for kind, x in zip((np.uint64, np.int64), zip(*made) if made else ((), ()))))
+
+
 def canonical(words: list[bytes]) -> bytes:
     return b" ".join(words) + b"\n"
 
@@ -151,9 +173,6 @@ def gather(docs: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
-        import xxhash
-
-        end, zstd = xxhash.xxh64_intdigest(b"\n"), pa.Codec("zstd")
         salt = int.from_bytes(os.urandom(8), "little") >> 1  # chunks only need different numbers
         number = 0
         low: list[tuple[np.ndarray, np.ndarray]] = []
@@ -167,12 +186,9 @@ def gather(docs: DataFrame, parts: int) -> DataFrame:
             ])
 
         for ids, raws, held in chunks(batches):
-            split = [x.lower().split() for x in raws]
-            texts = [canonical(w) for w in split]
-            sizes = np.array([len(w) + 1 for w in split])
-            flat = np.fromiter(
-                (h for w in split for h in (*map(xxhash.xxh64_intdigest, w), end)), np.uint64, int(sizes.sum())
-            )
+            texts = [canonical(x.lower().split()) for x in raws]
+            hashes, per = batch_words(raws)
+            flat, sizes = np.insert(hashes, np.cumsum(per), END_TOKEN), per + 1
             train = ~np.array(held)
             words, index = np.unique(flat, return_inverse=True)
             counts = np.bincount(index[np.repeat(train, sizes)], minlength=len(words)).astype("<u4")
@@ -184,8 +200,8 @@ def gather(docs: DataFrame, parts: int) -> DataFrame:
                 _row(0, int(cell[i]), chunk, pack_sorted(words[i:j]), planes(counts[i:j]))
                 for i, j in zip(cuts, [*cuts[1:], len(words)])
             ]
-            learnt, times = np.unique(grams([t for t, x in zip(texts, train) if x]), return_counts=True)
-            other = np.unique(grams([t for t, x in zip(texts, train) if not x]))
+            learnt, times = count_strings([t for t, x in zip(texts, train) if x])
+            other, _ = count_strings([t for t, x in zip(texts, train) if not x])
             keys, seen = add_counts(np.concatenate([learnt, other]), np.concatenate([times, np.zeros(len(other), np.int64)]))
             low.append(add_counts(learnt & np.uint64(256 ** (LOW + 1) - 1), times))
             order = gram_order(keys, parts)
@@ -198,7 +214,7 @@ def gather(docs: DataFrame, parts: int) -> DataFrame:
             numbers = np.array([x or 0 for x in ids], "<i8")
             rows.append(_row(
                 2, 0, chunk, np.stack([numbers.view("<u8"), some.astype("<u8"), (~train).astype("<u8")]).tobytes(),
-                pack_sorted(pair), planes(times.astype("<u4")), planes(sizes.astype("<u4")), zstd.compress(b"".join(texts), asbytes=True),
+                pack_sorted(pair), planes(times.astype("<u4")), planes(sizes.astype("<u4")), squeeze(b"".join(texts)),
                 planes(np.array(list(map(len, texts)), "<u8")),
             ))
             yield _batch(rows)
@@ -329,17 +345,15 @@ def _chances(gathered: DataFrame, low: Counts, parts: int) -> DataFrame:
 
 def score_strings(texts: list[bytes], made: np.ndarray, parts: int) -> np.ndarray:
     """log10 probabilities of canonical texts; made: those of their distinct strings, in order."""
-    keys = grams(texts)
-    order = np.argsort(keys)
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = keys[order[1:]] != keys[order[:-1]]
-    distinct = keys[order[fresh]]
+    distinct, _ = count_strings(texts)
     value = np.empty(len(distinct))
     value[gram_order(distinct, parts)] = made
-    doc = np.repeat(np.arange(len(texts)), list(map(len, texts)))
-    by = np.empty(len(keys))
-    by[order] = value[np.cumsum(fresh) - 1]
-    return np.bincount(doc, by, len(texts))
+    out = np.zeros(len(texts))
+    for a, b in cut_lines(map(len, texts), SORTED_BYTES):
+        keys, which = np.unique(grams(texts[a:b]), return_inverse=True)
+        doc = np.repeat(np.arange(b - a), list(map(len, texts[a:b])))
+        out[a:b] = np.bincount(doc, value[np.searchsorted(distinct, keys)][which], b - a)
+    return out
 
 
 def _answers(gathered: DataFrame, parts: int) -> DataFrame:
@@ -387,7 +401,7 @@ def _scores(gathered: DataFrame, answers: DataFrame, strings: DataFrame, n: int,
                 base = np.bincount(doc, times * (np.log10(seen[word] + ADDED) - floor), len(ids))
                 known = np.bincount(doc, times * (seen[word] > 0), len(ids)).astype(np.int64)
                 ends = np.cumsum(unplanes(f, "<u8")).tolist()
-                e = pa.Codec("zstd").decompress(e, ends[-1], asbytes=True)
+                e = unsqueeze(e)
                 texts = [e[x:y] for x, y in zip([0, *ends], ends)]
                 columns = (
                     pa.array(ids.view(np.int64), pa.int64(), mask=some == 0), pa.array(out.astype(bool)),
