@@ -87,6 +87,12 @@ def add_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def tokens(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of texts, one text after another, and how many each has."""
+    hashes, per = batch_words(raws)
+    return np.insert(hashes, np.cumsum(per), END_TOKEN), per + 1
+
+
 def count_strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct strings of canonical texts, sorted, and their counts."""
     made = [np.unique(grams(texts[a:b]), return_counts=True) for a, b in cut_lines(map(len, texts), SORTED_BYTES)]
@@ -117,17 +123,17 @@ def held_out(key: Column, folds: int = 10) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-NAMES = ["kind", "part", "chunk", "a", "b", "c", "d", "e", "f"]
-SCHEMA = "kind int, part int, chunk long, a binary, b binary, c binary, d binary, e binary, f binary"
+NAMES = ["kind", "part", "chunk", "a", "b", "c"]
+SCHEMA = "kind int, part int, chunk long, a binary, b binary, c binary"
 
 
 def _row(kind: int, part: int, chunk: int, *blobs: bytes) -> list:
-    return [kind, part, chunk, *blobs, *[None] * (6 - len(blobs))]
+    return [kind, part, chunk, *blobs, *[None] * (3 - len(blobs))]
 
 
 def _batch(rows: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6)
-    columns = list(zip(*rows)) if rows else [()] * 9
+    kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3)
+    columns = list(zip(*rows)) if rows else [()] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], NAMES)
 
 
@@ -187,8 +193,7 @@ def gather(docs: DataFrame, parts: int) -> DataFrame:
 
         for ids, raws, held in chunks(batches):
             texts = [canonical(x.lower().split()) for x in raws]
-            hashes, per = batch_words(raws)
-            flat, sizes = np.insert(hashes, np.cumsum(per), END_TOKEN), per + 1
+            flat, sizes = tokens(raws)
             train = ~np.array(held)
             words, index = np.unique(flat, return_inverse=True)
             counts = np.bincount(index[np.repeat(train, sizes)], minlength=len(words)).astype("<u4")
@@ -209,13 +214,11 @@ def gather(docs: DataFrame, parts: int) -> DataFrame:
             part = gram_part(keys, parts)
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
             rows += [_row(1, int(part[i]), chunk, pack_grams(keys[i:j]), planes(seen[i:j])) for i, j in zip(cuts, [*cuts[1:], len(keys)])]
-            pair, times = np.unique(np.repeat(np.arange(len(raws), dtype=np.uint64), sizes) << np.uint64(32) | index.astype(np.uint64), return_counts=True)
             some = np.array([x is not None for x in ids])
             numbers = np.array([x or 0 for x in ids], "<i8")
             rows.append(_row(
                 2, 0, chunk, np.stack([numbers.view("<u8"), some.astype("<u8"), (~train).astype("<u8")]).tobytes(),
-                pack_sorted(pair), planes(times.astype("<u4")), planes(sizes.astype("<u4")), squeeze(b"".join(texts)),
-                planes(np.array(list(map(len, texts)), "<u8")),
+                squeeze(b"".join(texts)), planes(np.array(list(map(len, texts)), "<u8")),
             ))
             yield _batch(rows)
             if sum(len(k) for k, _ in low) > LOW_ENTRIES:
@@ -380,8 +383,8 @@ def _answers(gathered: DataFrame, parts: int) -> DataFrame:
 def _scores(gathered: DataFrame, answers: DataFrame, strings: DataFrame, n: int, v: int, parts: int) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score): one row a document, from a chunk's answers and its texts."""
     floor = np.log10(n + ADDED * (v + 1))
-    none = [F.lit(None).cast("binary").alias(x) for x in "bcdef"]
-    docs = gathered.where("kind = 2").select("chunk", F.lit(2).alias("kind"), "part", *"abcdef")
+    none = [F.lit(None).cast("binary").alias(x) for x in "bc"]
+    docs = gathered.where("kind = 2").select("chunk", F.lit(2).alias("kind"), "part", *"abc")
     counts = answers.select("chunk", F.lit(0).alias("kind"), "part", "a", *none)
     chance = strings.select("chunk", F.lit(1).alias("kind"), "part", "a", *none)
     met = docs.unionByName(counts).unionByName(chance).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "part")
@@ -389,20 +392,21 @@ def _scores(gathered: DataFrame, answers: DataFrame, strings: DataFrame, n: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {0: [], 1: []}
         for batch in batches:
-            for kind, a, b, c, d, e, f in zip(*(batch.column(i).to_pylist() for i in (1, *range(3, 9)))):
+            for kind, a, b, c in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5))):
                 if kind < 2:
                     held[kind].append(unplanes(a, "<f4" if kind else "<u8"))
                     continue
                 seen, made = (np.concatenate(held[x]).astype(float) for x in (0, 1))
                 held = {0: [], 1: []}
                 ids, some, out = np.frombuffer(a, "<u8").reshape(3, -1)
-                pair, times, sizes = unpack_sorted(b), unplanes(c, "<u4"), unplanes(d, "<u4")
-                doc, word = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(2**32 - 1)).astype(np.int64)
-                base = np.bincount(doc, times * (np.log10(seen[word] + ADDED) - floor), len(ids))
-                known = np.bincount(doc, times * (seen[word] > 0), len(ids)).astype(np.int64)
-                ends = np.cumsum(unplanes(f, "<u8")).tolist()
-                e = unsqueeze(e)
-                texts = [e[x:y] for x, y in zip([0, *ends], ends)]
+                ends = np.cumsum(unplanes(c, "<u8")).tolist()
+                whole = unsqueeze(b)
+                texts = [whole[x:y] for x, y in zip([0, *ends], ends)]
+                flat, sizes = tokens(texts)
+                count = seen[np.unique(flat, return_inverse=True)[1]]
+                doc = np.repeat(np.arange(len(ids)), sizes)
+                base = np.bincount(doc, np.log10(count + ADDED) - floor, len(ids))
+                known = np.bincount(doc, count > 0, len(ids)).astype(np.int64)
                 columns = (
                     pa.array(ids.view(np.int64), pa.int64(), mask=some == 0), pa.array(out.astype(bool)),
                     pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score_strings(texts, made, parts)),
