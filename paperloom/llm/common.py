@@ -52,28 +52,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/paperloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df, computed once and written as Parquet to the shared folder: cuts its lineage.
 
     Any executor can reread it, so a lost executor costs a reread, not a recomputation. The
-    exchanges behind it are deleted as soon as it is written.
+    exchanges behind it are deleted as soon as it is written. by: a column of few values, each of
+    which gets a folder that drop() can delete alone.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     held = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     finally:
         spark.conf.unset(CLEANUP) if held is None else spark.conf.set(CLEANUP, held)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables that materialise() has written and that nothing reads any more."""
+def drop(*tables: DataFrame, part: str = "") -> None:
+    """Deletes tables that materialise() has written and that nothing reads any more; of tables in
+    folders by a value, only those of ``part``."""
     for table in tables:
         spark = table.sparkSession
         for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if not name.endswith(part):
+                continue
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

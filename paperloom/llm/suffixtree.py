@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import batch_words, cut_lines, doc_bytes, materialise, mix64, prepare, shuffle_parts
+from paperloom.llm.common import batch_words, cut_lines, doc_bytes, drop, materialise, mix64, prepare, shuffle_parts
 
 #: A string, context and next byte, must fit 64 bits: 7 at most.
 DEPTH = 6
@@ -421,7 +421,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Training rows are those for which ``held_out`` is false; NULL ids train. A null text is empty:
     the end alone. With no training text, base and model are their smoothing alone. Repeated rows
-    keep their rows. The texts are read once; a text is never cut, so a very long one is a chunk of
+    keep their rows. What has been asked is deleted once it is answered. The texts are read once; a text is never cut, so a very long one is a chunk of
     its own.
     """
     spark = docs.sparkSession
@@ -429,10 +429,12 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     parts = shuffle_parts(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     rows = rows.withColumn("held", held_out(F.col("doc_id")))
-    gathered = materialise(gather(rows, parts), "gathered")
+    gathered = materialise(gather(rows, parts), "gathered", "kind")
     answers = materialise(_answers(gathered, parts), "answers")
+    drop(gathered, part="/kind=0")
     n, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
-    strings = _chances(gathered, low_counts(gathered, parts), parts)
+    strings = materialise(_chances(gathered, low_counts(gathered, parts), parts), "strings")
+    drop(gathered, part="/kind=1")
     scored = _scores(gathered, answers, strings, n, v, parts)
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
