@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import TEXT_BATCH_ROWS, cut_lines, prepare
+from paperloom.llm.common import TEXT_BATCH_ROWS, cut_lines, freeing, prepare
 
 SAMPLE_ROWS = 32
 ROW_CHARS = 2000
@@ -239,7 +239,7 @@ def identify(docs: DataFrame, labelled: dict[str, str], text: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], [*names, "lang_pred", "score", "bits"])
 
     schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "bits": F.lit(0.0)}).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(freeing(run), schema)
 
 
 def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -252,7 +252,7 @@ def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
             some = [bool((letters(t) != 32).any()) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(some, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)
 
 
 def fold(key: Column, folds: int) -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import components, cut_lines, doc_bytes, drop, materialise, mix64, prepare, shuffle_parts, words_of
+from paperloom.llm.common import components, cut_lines, doc_bytes, drop, freeing, materialise, mix64, prepare, shuffle_parts, words_of
 
 PERCENT = 80
 #: Counters of the rarity sketch: 8 MB on a worker, whatever the input.
@@ -168,7 +168,7 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         logs = [np.minimum(255, 8 * np.log2(1 + s)).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(logs, pa.binary())], ["block", "counts"])
 
-    made = materialise(docs.mapInArrow(run, "doc_id long, digest long, line long, class long, more long, block int, counts binary"), "lines")
+    made = materialise(docs.mapInArrow(freeing(run), "doc_id long, digest long, line long, class long, more long, block int, counts binary"), "lines")
     parts = made.where("block is not null").select("block", "counts")
     parts = parts.repartition(min(SKETCH // SKETCH_BLOCK, shuffle_parts(docs.sparkSession)), "block")
     out = np.zeros((SKETCH // SKETCH_BLOCK, SKETCH_BLOCK), np.uint8)
@@ -268,7 +268,7 @@ def _posted(docs: DataFrame, rarity, percent: int, min_tokens: int, parts: int)
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "part int, blob binary").repartitionById(parts, "part")
+    return docs.select("text").mapInArrow(freeing(run), "part int, blob binary").repartitionById(parts, "part")
 
 
 def _can_reach(a: Postings, b: Postings, percent: int) -> np.ndarray:
@@ -410,9 +410,9 @@ def _meet(posted: DataFrame, percent: int) -> DataFrame:
                     groups.join(i, j)
                 yield edges(groups)
 
-    met = materialise(posted.select("blob").mapInArrow(meet, schema), "met")
+    met = materialise(posted.select("blob").mapInArrow(freeing(meet), schema), "met")
     cells = met.where("left is not null").select("left", "right").repartition(shuffle_parts(met.sparkSession), F.xxhash64("left", "right"))
-    return met.where("left is null").unionByName(cells.mapInArrow(again, schema)).select("a", "b")
+    return met.where("left is null").unionByName(cells.mapInArrow(freeing(again), schema)).select("a", "b")
 
 
 def _class_filter(used: DataFrame) -> np.ndarray:
@@ -431,7 +431,7 @@ def _class_filter(used: DataFrame) -> np.ndarray:
 
     out = np.zeros((FILTER // block, block // 8), np.uint8)
     dealt = bits.repartition(shuffle_parts(used.sparkSession), F.floor(F.col("at") / block))
-    for row in dealt.mapInArrow(run, "b long, bits binary").collect():
+    for row in dealt.mapInArrow(freeing(run), "b long, bits binary").collect():
         out[row.b] |= np.frombuffer(row.bits, np.uint8)
     return out.ravel()
 
@@ -459,7 +459,7 @@ def _sets(docs: DataFrame, used: DataFrame) -> DataFrame:
                 items = pa.ListArray.from_arrays(offsets, pa.array(token[which].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(more[some]), items], ["class", "more", "items"])
 
-    made = docs.select("text").mapInArrow(run, "class long, more long, items array<long>").join(used, "class", "left_semi")
+    made = docs.select("text").mapInArrow(freeing(run), "class long, more long, items array<long>").join(used, "class", "left_semi")
     return made.groupBy("class", "more").agg(F.first("items").alias("items"))
 
 
@@ -622,7 +622,7 @@ def _count(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
         if held:
             yield settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    made = dealt.mapInArrow(run, LINKED)
+    made = dealt.mapInArrow(freeing(run), LINKED)
     return made.groupBy("class", "more").agg(F.sum("links").alias("links"), F.min("w").alias("w"))
 
 

@@ -28,6 +28,7 @@ from paperloom.llm.common import (
     components,
     cut_lines,
     doc_bytes,
+    freeing,
     materialise,
     mix64,
     prepare,
@@ -161,7 +162,7 @@ def near_duplicates(
                 [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "items"]
             )
 
-    sets = texts.mapInArrow(to_sets, "doc_id long, items array<long>")
+    sets = texts.mapInArrow(freeing(to_sets), "doc_id long, items array<long>")
     sets = materialise(sets.where(F.size("items") > 0), "sets")
 
     near = (100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")) & (F.col("rep") != F.col("head"))
@@ -242,7 +243,7 @@ def _rest(spark, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 [pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"]
             )
 
-    return materialise(dealt.mapInArrow(run, "a long, b long"), "links")
+    return materialise(dealt.mapInArrow(freeing(run), "a long, b long"), "links")
 
 
 def _root(groups: dict[int, int], x: int) -> int:

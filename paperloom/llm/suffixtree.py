@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import batch_words, cut_lines, doc_bytes, drop, materialise, mix64, prepare, shuffle_parts
+from paperloom.llm.common import batch_words, cut_lines, doc_bytes, drop, freeing, materialise, mix64, prepare, shuffle_parts
 
 #: A string, context and next byte, must fit 64 bits: 7 at most.
 DEPTH = 6
@@ -226,7 +226,7 @@ def gather(docs: DataFrame, parts: int) -> DataFrame:
         if low:
             yield short()
 
-    return docs.select("doc_id", "text", "held").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text", "held").mapInArrow(freeing(run), SCHEMA)
 
 
 Counts = tuple[np.ndarray, np.ndarray]
@@ -314,7 +314,7 @@ def low_counts(gathered: DataFrame, parts: int) -> Counts:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
 
     rows = gathered.where("kind = 3").select("part", "a", "b").repartitionById(parts, "part")
-    made = rows.mapInArrow(run, "key long, n long").toArrow()
+    made = rows.mapInArrow(freeing(run), "key long, n long").toArrow()
     return add_counts(made.column("key").to_numpy().astype(np.uint64), made.column("n").to_numpy())
 
 
@@ -343,7 +343,7 @@ def _chances(gathered: DataFrame, low: Counts, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "part", "a"])
 
     rows = gathered.where("kind = 1").select("part", "chunk", "a", "b").repartitionById(parts, "part")
-    return rows.mapInArrow(run, "chunk long, part int, a binary")
+    return rows.mapInArrow(freeing(run), "chunk long, part int, a binary")
 
 
 def score_strings(texts: list[bytes], made: np.ndarray, parts: int) -> np.ndarray:
@@ -377,7 +377,7 @@ def _answers(gathered: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["chunk", "part", "a", "n", "v"])
 
     rows = gathered.where("kind = 0").select("part", "chunk", "a", "b").repartitionById(parts, "part")
-    return rows.mapInArrow(run, "chunk long, part int, a binary, n long, v long")
+    return rows.mapInArrow(freeing(run), "chunk long, part int, a binary, n long, v long")
 
 
 def _scores(gathered: DataFrame, answers: DataFrame, strings: DataFrame, n: int, v: int, parts: int) -> DataFrame:
@@ -413,7 +413,7 @@ def _scores(gathered: DataFrame, answers: DataFrame, strings: DataFrame, n: int,
                 )
                 yield pa.RecordBatch.from_arrays(list(columns), ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    return met.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return met.mapInArrow(freeing(run), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
