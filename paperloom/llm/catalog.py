@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, bpe, chat, divergence, fingerprint, langid, linededup, minhash, packing, suffixtree, tokenscan
+from paperloom.llm import ann, bpe, chat, collocations, divergence, fingerprint, langid, linededup, minhash, packing, suffixtree, tokenscan
 from paperloom.llm.common import scratch_path
 
 
@@ -82,6 +82,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversations(_table(spark, sf_dir, "conversations"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 strongest phrases of two and three words."""
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of each language lie from each other and, by which terms, from their language."""
     return divergence.audit(_table(spark, sf_dir, "documents"))
@@ -106,6 +111,7 @@ OPERATORS = (
     op8_nearest,
     op9_byte_bpe,
     op10_chat_format,
+    op11_collocations,
     op13_source_divergence,
 )
 
@@ -115,4 +121,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": chat.ORACLE_SQL, "op13_source_divergence": divergence.ORACLE_SQL}
+    return {"op10_chat_format": chat.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op13_source_divergence": divergence.ORACLE_SQL}
