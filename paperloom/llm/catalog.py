@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, bpe, chat, collocations, divergence, fingerprint, langid, linededup, minhash, packing, suffixtree, tokenscan
+from paperloom.llm import ann, bpe, chat, collocations, divergence, fingerprint, langid, linededup, minhash, packing, repeats, suffixtree, tokenscan
 from paperloom.llm.common import scratch_path
 
 
@@ -87,6 +87,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that repeat 100 earlier ones."""
+    cut = repeats.cut_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of each language lie from each other and, by which terms, from their language."""
     return divergence.audit(_table(spark, sf_dir, "documents"))
@@ -112,6 +118,7 @@ OPERATORS = (
     op9_byte_bpe,
     op10_chat_format,
     op11_collocations,
+    op12_suffix_dedup,
     op13_source_divergence,
 )
 
