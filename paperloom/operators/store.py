@@ -16,7 +16,7 @@ def index_rows(results: DataFrame) -> DataFrame:
     """The summary row of each result: vendor (merchant only where there is no vendor key), date, amount, JSON."""
     entry = lambda n: F.try_element_at("fields", F.lit(n))["value"]
     vendor = F.when(F.map_contains_key("fields", F.lit("vendor")), entry("vendor")).otherwise(entry("merchant"))
-    body = F.struct(*(c for c in results.columns if c not in ("created_at", "lines")))
+    body = F.struct(*(c for c in results.columns if c not in ("created_at", "lines", "file_path", "content_type")))
     return results.withColumns({
         "vendor": vendor, "doc_date": index_date(entry("date")), "total_amount": F.round(parse_amount(entry("total")), 2),
         "result_json": F.to_json(body, {"ignoreNullFields": "false"}),

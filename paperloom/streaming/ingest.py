@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paperloom.operators.layout import TOKENS
-from paperloom.operators.store import index_rows, upsert
 from paperloom.plans.process import process
+from paperloom.sources.results import Conflict, Results
+
+#: Changes after which a table is folded into a new base.
+CHANGES = 16
 
 
 def token_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,59 +19,31 @@ def token_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(f"doc_id string, filename string, ocr {TOKENS}, created_at timestamp").json(folder)
 
 
-BUCKETS = 64
-INDEX = ("doc_id", "filename", "doc_type", "vendor", "doc_date", "total_amount", "needs_review", "created_at", "result_json")
-
-
-def _latest(spark: SparkSession, table: str, before: int) -> int | None:
-    """The last complete version below ``before``; an unreadable folder raises, none at all is None."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return None
-    names = [x.getPath() for x in files.listStatus(path)]
-    done = [int(x.getName().split("=")[1]) for x in names if x.getName().startswith("version=") and files.exists(x.suffix("/_SUCCESS"))]
-    return max((v for v in done if v < before), default=None)
-
-
-def stored(spark: SparkSession, table: str, before: int = 2**62) -> DataFrame | None:
-    """The index as of the last version below ``before``: of each bucket of documents its last write."""
-    last = _latest(spark, table, before)
-    if last is None:
-        return None
-    written = spark.read.parquet(f"{table}/version={last}/live").collect()  # BUCKETS rows: bucket and version
-    paths = [f"{table}/version={r.version}/rows/bucket={r.bucket}" for r in written]
-    return spark.read.parquet(*paths)
+def stored(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The index rows as of the last published change; None before the first one."""
+    target = Results(spark, folder)
+    return target.table("index") if target.last() else None
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str, as_of: str) -> StreamingQuery:
-    """Processes arriving documents and upserts their index rows into a Parquet folder, one folder a version.
+def ingest(stream: DataFrame, folder: str, checkpoint: str, as_of: str) -> StreamingQuery:
+    """Processes arriving documents and stores their results: index rows, fields and line items in one change a batch.
 
-    Documents lie in BUCKETS buckets by the hash of their id. A batch reads and writes only the
-    buckets that it touches; the list of each bucket's version is written with it, and the version
-    counts once its mark of success is there. Only a table without any version is new: whatever else
-    fails on reading the stored rows fails the batch, and nothing is replaced.
+    A batch writes its own rows only, whatever lies in the tables; after CHANGES of them they are compacted. The
+    manifest carries the stream's last batch, so a batch that is run again after it was published changes
+    nothing. Of a document's rows in one batch the latest by created_at counts. What fails before publishing fails the
+    batch and replaces nothing.
     """
     spark = stream.sparkSession
 
     def batch(rows: DataFrame, number: int) -> None:
-        new = index_rows(process(rows.dropDuplicates(["doc_id"]), as_of)).select(*INDEX)
-        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
-        new = new.withColumn("bucket", bucket).persist()
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]
-        last = _latest(spark, table, number)
-        live = {} if last is None else {r.bucket: r.version for r in spark.read.parquet(f"{table}/version={last}/live").collect()}
-        old = [f"{table}/version={live[b]}/rows/bucket={b}" for b in touched if b in live]
-        merged = new.drop("bucket")
-        if old:
-            merged = upsert(spark.read.parquet(*old).select(*INDEX), merged)
-        out = f"{table}/version={number}"
-        merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/rows")
-        live |= dict.fromkeys(touched, number)
-        spark.createDataFrame(list(live.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{out}/live")
-        mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/_SUCCESS")
-        mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(mark, True).close()
-        new.unpersist()
+        target = Results(spark, folder)
+        source = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        target.upsert(process(rows, as_of), (source, number))
+        if len(target.manifest()["changes"]) > CHANGES:
+            try:
+                target.compact()
+            except Conflict:  # the next batch tries again
+                pass
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

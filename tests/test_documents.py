@@ -176,11 +176,12 @@ def test_unreadable_index_is_not_replaced(spark, tmp_path):
     docs.write.json(f"{tmp_path}/in")
     run = lambda: ingest(token_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck", "2026-12-31").awaitTermination()
     run()
-    shutil.move(f"{tmp_path}/out/version=0/rows", f"{tmp_path}/gone")
+    shutil.move(f"{tmp_path}/out/index", f"{tmp_path}/gone")
     docs.write.mode("append").json(f"{tmp_path}/in")
     with pytest.raises(Exception):  # noqa: B017
         run()
-    shutil.move(f"{tmp_path}/gone", f"{tmp_path}/out/version=0/rows")
+    shutil.rmtree(f"{tmp_path}/out/index", ignore_errors=True)
+    shutil.move(f"{tmp_path}/gone", f"{tmp_path}/out/index")
     run()
     assert stored(spark, f"{tmp_path}/out").count() == len(PAGES)
 
