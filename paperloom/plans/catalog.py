@@ -348,8 +348,8 @@ def header_line(spark, d):
 # Validation, storage, correction
 
 
-def _results(spark, d):
-    """Orders with their lines as results: fields and one table."""
+def _results(spark, d, *more: str):
+    """Orders with their lines as results: fields and one table. more: columns of the index to keep."""
     i = doc_index(spark, d)
     items = table(spark, d, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("doc_id"), "l_linenumber",
@@ -369,7 +369,7 @@ def _results(spark, d):
     one = F.struct(F.array(F.lit("line"), F.lit("amount")).alias("headers"), cells.alias("rows"))
     return i.select(
         "doc_id", "filename", "doc_type", F.lit(0.8).alias("doc_type_conf"), F.array().cast(L.TOKENS).alias("ocr"), fields.alias("fields"),
-        F.array(one).alias("tables"),
+        F.array(one).alias("tables"), *more,
     )
 
 
