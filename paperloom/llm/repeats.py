@@ -9,7 +9,7 @@ the bytes behind are compared. Equal strings end up side by side, and all but th
 Not every suffix is sorted. The window of LENGTH bytes at a place is named by its least gram of K bytes (by hash, the
 first of equal ones), its anchor, which follows from the window's bytes alone; neighbouring windows share it. The
 string that the windows of one anchor cover is its context, so equal windows have one anchor at one place in it.
-Three levels, K growing to LENGTH:
+Levels of K grow to LENGTH:
 
 1. Of the anchors of all texts, those whose gram occurs once are set aside: chunks send the hashes of their grams to the
    hashes' owners, which answer what came twice. The contexts of the others are sorted; all but the earliest of equal
@@ -55,7 +55,7 @@ MERGED = "kind string, doc_id long, digest long, start long, gram long, data bin
 
 
 def levels(length: int) -> list[int]:
-    return sorted({max(1, length * 32 // 100), max(1, length * 4 // 5), length})
+    return sorted({max(1, length * part // 100) for part in (32, 78, 93, 100)})
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -544,7 +544,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if k != steps[-1]:
             rows = materialise(rows, "mixed")
             drop(merged, part="kind=kept")
-            sample = rows.orderBy(F.xxhash64("text"), *key, "base").limit(4 * some)
+            sample = rows.orderBy(F.xxhash64("text"), *key, "base").limit(some)
     found = gone[0]
     for more in gone[1:]:
         found = found.unionByName(more)
