@@ -28,8 +28,8 @@ PARTS = 1_000_000_000
 BLOCK_BYTES = 2_000_000
 HELD_TERMS = 200_000
 HELD_ROWS = 1_000_000
-#: Entries of a cell, and its sources that are held against all others.
-CELL = 2_000_000
+#: Entries of a cell (or four times its pairs of sources, if these are more), and its sources that are held against all others.
+CELL = 20_000
 SOURCES = 256
 COUNTS = "lang string, source string, term string, count long, docs long"
 
@@ -194,7 +194,7 @@ def _cells(kept: DataFrame, groups: DataFrame, entries: int, sources: int) -> Da
     kept (lang, source, term, p); groups (lang, source, at, unseen, v, s): each group's number in its language,
     share of an unseen term, and the language's numbers of terms and sources.
     """
-    blocks = F.ceil(F.col("v") * F.col("s") / entries).cast("int")
+    blocks = F.ceil(F.col("v") * F.col("s") / F.greatest(F.lit(entries), 4 * F.col("s") * F.col("s"))).cast("int")
     blocks = F.greatest(blocks, F.lit(1))
     cuts = F.ceil(F.col("s") / sources).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
