@@ -678,8 +678,12 @@ def line_links(docs: DataFrame, percent: int = PERCENT, min_tokens: int = 1, key
 def drop_similar_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without the lines that have an earlier line (see ``line_links``), n_chars counted anew.
 
-    A document that loses every line goes; one that never had any, or a null text, stays as it is.
+    A document that loses every line goes; one that never had any, or a null text, stays as it is. All other columns,
+    whatever their names, stay as they are.
     """
+    names = docs.columns
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))  # so that no column clashes with those made here
+    key, text = (f"c{names.index(x)}" for x in (key, text))
     lines, first, linked = _linked(_rows(docs, key, text), percent, min_tokens)
     rows = lines.join(first, ["class", "more"]).join(linked, ["class", "more"], "left")
     late = (F.struct("doc_id", "line", "digest") > F.col("f")) | (F.col("w") < F.col("f"))
@@ -692,7 +696,8 @@ def drop_similar_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int
     left = left.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
     left = left.where(F.col("_gone").isNull() | F.exists("_kept", lambda x: F.trim(x) != ""))
     out = left.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(kind)))
-    return out.select(*docs.columns)
+    if "n_chars" in names:
+        counted = f"c{names.index('n_chars')}"
+        kind = docs.schema[counted].dataType
+        out = out.withColumn(counted, F.when(F.col("_gone").isNull(), F.col(counted)).otherwise(F.length(text).cast(kind)))
+    return out.select(*docs.columns).toDF(*names)

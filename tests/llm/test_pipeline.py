@@ -59,3 +59,32 @@ def test_no_document_has_a_label(spark, tmp_path):
     kept = corpus_pipeline.language(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and {r.doc_id: r.text for r in kept.collect()} == texts
     assert 0 < corpus_pipeline.run(spark, str(tmp_path)).count()
+
+
+def test_own_columns_stay_as_they_are(spark, tmp_path):
+    made = ("score", "bits", "lang_pred", "_kept", "_id", "_gone", "_digest", "c0", "kept", "component_id")
+    rows = [(d, t, x, f"src{d % 3}", len(t or ""), *(f"{c}{d}" for c in made)) for d, t, x in documents()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in made))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.schema == docs.schema
+        for r in now.collect():
+            assert tuple(r[c] for c in made) == tuple(f"{c}{r.doc_id}" for c in made) and r.n_chars == len(r.text)
+    assert 0 < corpus_pipeline.run(spark, str(tmp_path)).count()
+
+
+def test_nulls_repeats_and_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, "ein text", None, None, None), (1, None, "aa", "s", 0), (1, "same words here", None, None, 15), (1, "same words here", None, None, 15), (2, "", "bb", None, 0)]
+    for name, given in (("some", rows), ("none", [])):
+        docs = spark.createDataFrame(given, schema)
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        now = docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, f"{tmp_path}/{name}")
+            assert now.columns == docs.columns
+        left = sorted((str(r.doc_id), r.text) for r in now.collect())
+        assert left == ([("1", "same words here")] * 2 + [("None", "ein text")] if given else [])
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() >= (2 if given else 0)
