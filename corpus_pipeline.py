@@ -7,7 +7,8 @@
    with the smallest doc_id stays.
 4. packing: the documents' ids are packed into sequences; one row a piece.
 
-Stages 1 to 3 return the columns of documents. Each works on all that the one before has kept.
+Stages 1 to 3 return the columns of documents, whatever their names, with their own values. Each works on all that
+the one before has kept. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -21,22 +22,27 @@ from paperloom.llm.common import materialise
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose language can be told; NULL texts and those without a letter go. Repeated rows stay."""
     labelled = langid.sample(docs)
     if not labelled:  # nothing to learn a language from says nothing against a document
         return langid.with_letters(docs)
-    found = langid.identify(docs, labelled)
-    return found.where(F.col("lang_pred") != langid.UNDEFINED).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column clashes with the prediction's
+    found = langid.identify(docs.toDF(*names), labelled, names[docs.columns.index("text")])
+    return found.where(F.col("lang_pred") != langid.UNDEFINED).select(*names).toDF(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows with what is left of their texts, n_chars counted anew. NULL doc_ids stay; rows that repeat one with its text stay alike."""
     return linededup.drop_similar_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of the documents that stay: a doc_id's rows stay or go together, NULL doc_ids stay."""
     return minhash.deduplicate(docs, 5, 80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece, of every row that is left."""
     return packing.piece_digests(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
