@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.scalars import agree, cer, comparable, wer
+from paperloom.functions.distance import aligned, cer, wer
+from paperloom.functions.scalars import agree, comparable, normalize_text, parse_amount
 from paperloom.operators.layout import full_text
 from paperloom.operators.store import field_rows
+from paperloom.sources.shared import importable
 
 
 def field_counts(truth: DataFrame, predicted: DataFrame, normalized: bool = True) -> DataFrame:
@@ -116,3 +121,70 @@ def report(truth: DataFrame, predicted: DataFrame) -> str:
     """The corpus scores as fixed-width text: one collected row."""
     row = corpus_scores(truth, predicted).first().asDict()
     return "\n".join(["EVALUATION", "=" * 32, *(f"{k:<16}{'-' if v is None else v:>16}" for k, v in row.items())])
+
+
+def _row_places(truth: list[dict], found: list[dict], least: float) -> list[int]:
+    """For each found row the true rows, as bits, of which a share ``least`` or more of all cells agrees."""
+    at: dict[tuple[str, str], list[int]] = {}
+    for i, row in enumerate(truth):
+        for cell in row.items():
+            at.setdefault(cell, []).append(i)
+    out = []
+    for row in found:
+        hits: dict[int, int] = {}
+        for cell in row.items():
+            for i in at.get(cell, ()):
+                hits[i] = hits.get(i, 0) + 1
+        fits = (i for i, n in hits.items() if n >= least * len(truth[i].keys() | row.keys()))
+        out.append(sum(1 << i for i in fits))
+    return out
+
+
+def _cell(v: Column) -> Column:
+    """A cell as it is compared: an amount with two decimals, or else normalised text."""
+    amount = F.when(v.rlike(r"^[^A-Za-z]*$"), parse_amount(v))
+    return F.coalesce(F.format_string("%.2f", amount), normalize_text(v))
+
+
+def _table_rows(rows: DataFrame, name: str) -> DataFrame:
+    """(doc_id, table_index, name): each table's rows in order, as JSON of header and cell."""
+    cells = F.transform(F.map_entries("data"), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), _cell(e["value"]).alias("value")))
+    last = F.filter(cells, lambda c, i: ~F.exists(F.slice(cells, i + 2, F.size(cells) + 1), lambda d: d["key"] == c["key"]))
+    rows = rows.select("doc_id", "table_index", F.struct("row_index", F.to_json(F.map_from_entries(last)).alias("cells")).alias("r"))
+    return rows.groupBy("doc_id", "table_index").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["cells"]).alias(name))
+
+
+def table_row_counts(truth: DataFrame, predicted: DataFrame, least: float = 1.0) -> DataFrame:
+    """(doc_id, table_index, tp, fp, fn): rows of tables that align, that were found beside these, and that were missed.
+
+    truth, predicted: (doc_id, table_index, row_index, data map), as ``store.line_item_rows`` gives them. Two rows agree if a share
+    ``least`` of the cells of both, by header, are equal: as amounts if both are, else as normalised texts. The alignment keeps
+    the order of rows and has as many agreeing pairs as any. A table is one row here: tables lie on pages.
+    """
+
+    importable(truth.sparkSession)
+
+    @F.pandas_udf("long")
+    def pairs(a: pd.Series, b: pd.Series) -> pd.Series:
+        made = []
+        for x, y in zip(a, b):
+            known = [json.loads(r) for r in x]
+            made.append(aligned(_row_places(known, [json.loads(r) for r in y], least), len(known)))
+        return pd.Series(made, dtype="int64")
+
+    none = F.array().cast("array<string>")
+    both = _table_rows(truth, "a").join(_table_rows(predicted, "b"), ["doc_id", "table_index"], "full")
+    both = both.withColumns({"a": F.coalesce("a", none), "b": F.coalesce("b", none)})
+    both = both.withColumn("tp", pairs("a", "b"))
+    return both.select("doc_id", "table_index", "tp", (F.size("b") - F.col("tp")).alias("fp"), (F.size("a") - F.col("tp")).alias("fn"))
+
+
+def table_row_scores(counts: DataFrame) -> DataFrame:
+    """One row: pooled tp, fp, fn, precision, recall, micro F1 of rows, and the mean F1 of tables; 0 where undefined."""
+    div = lambda a, b: F.when(b > 0, F.round(a / b, 4)).otherwise(0.0)
+    tp, fp, fn = (F.coalesce(F.sum(c), F.lit(0)) for c in ("tp", "fp", "fn"))
+    each = F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
+    return counts.agg(
+        tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), div(tp, tp + fp).alias("precision"), div(tp, tp + fn).alias("recall"),
+        div(2 * tp, 2 * tp + fp + fn).alias("micro_f1"), F.round(F.coalesce(F.avg(each), F.lit(0.0)), 4).alias("macro_f1"),
+    )
