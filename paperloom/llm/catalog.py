@@ -128,4 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": chat.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op13_source_divergence": divergence.ORACLE_SQL}
+    return {
+        "op2_minhash": minhash.ORACLE_SQL, "op7_line_dedup": linededup.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL,
+        "op11_collocations": collocations.ORACLE_SQL, "op12_suffix_dedup": repeats.ORACLE_SQL, "op13_source_divergence": divergence.ORACLE_SQL,
+    }

@@ -701,3 +701,19 @@ def drop_similar_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int
         kind = docs.schema[counted].dataType
         out = out.withColumn(counted, F.when(F.col("_gone").isNull(), F.col(counted)).otherwise(F.length(text).cast(kind)))
     return out.select(*docs.columns).toDF(*names)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+l AS (SELECT doc_id, i - 1 AS line, list_sort(list_distinct(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+'))) AS s FROM d, unnest(range(1, len(ls) + 1)) AS u(i)),
+c AS (SELECT row_number() OVER () AS id, s, len(s) AS n, f FROM (SELECT s, min((doc_id, line)) AS f FROM l WHERE len(s) > 0 GROUP BY s)),
+x AS (SELECT id, n, unnest(s) AS w FROM c), df AS (SELECT w, count(*) AS df FROM x GROUP BY w),
+o AS (SELECT id, n, x.w, row_number() OVER (PARTITION BY id ORDER BY df, x.w) AS p FROM x JOIN df USING (w)),
+e AS (SELECT id, n, w FROM o WHERE p <= n - (80 * n + 99) // 100 + 1),
+q AS (SELECT DISTINCT a.id AS a, b.id AS b FROM e a JOIN e b ON a.w = b.w AND a.id < b.id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n),
+i AS (SELECT a, b, x.n + y.n AS n, len(list_intersect(x.s, y.s)) AS shared FROM q JOIN c x ON x.id = a JOIN c y ON y.id = b),
+k AS (SELECT a, b FROM i WHERE 100 * shared >= 80 * (n - shared)),
+t AS (SELECT a AS id, count(*) AS links, min(f) AS w FROM (SELECT a, b FROM k UNION ALL SELECT b, a FROM k) JOIN c ON c.id = b GROUP BY a),
+r AS (SELECT doc_id, line, f, coalesce(links, 0) AS links, CASE WHEN (doc_id, line) > f THEN f WHEN w < f THEN w END AS v FROM l JOIN c USING (s) LEFT JOIN t USING (id))
+SELECT doc_id, line::BIGINT AS line, v[1] AS first_doc_id, v[2]::BIGINT AS first_line, f[1] AS class_doc_id, f[2]::BIGINT AS class_line, links::BIGINT AS links FROM r
+"""

@@ -582,3 +582,18 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text
 
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary"
     return left.mapInArrow(freeing(run), kinds)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, hash(h[i + 1 : i + 100]) AS w FROM d, unnest(range(n - 99)) AS u(i)),
+g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS late FROM w),
+r AS (SELECT doc_id, i AS a, i + 100 AS b FROM g WHERE late),
+m AS (SELECT *, coalesce(a > lag(b) OVER (PARTITION BY doc_id ORDER BY a), true) AS fresh FROM r),
+s AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY a) AS k FROM m) GROUP BY doc_id, k),
+e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+k AS (SELECT e.doc_id, sum(b - a) AS gone, count(*) AS c, max(b) AS z, string_agg(hex(h[before + 1 : a]), '' ORDER BY a) AS kept FROM e JOIN d USING (doc_id) GROUP BY e.doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || hex(h[coalesce(z, 0) + 1 :]))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
