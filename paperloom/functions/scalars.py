@@ -27,7 +27,11 @@ def parse_amount(value: Column | str) -> Column:
     Of a dot and a comma the later is the decimal mark; a lone comma is one before one or two final
     digits, else it groups thousands. Currency signs and all else but digits, dots and minus go.
     """
-    s = strip(_col(value))
+    return amount_of(strip(_col(value)))
+
+
+def amount_of(s: Column) -> Column:
+    """``parse_amount`` of a text without white space at its ends."""
     from_end = lambda mark: F.locate(mark, F.reverse(s))
     decimal_comma = F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", ".")
     plain = F.regexp_replace(s, ",", "")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.scalars import parse_amount, parse_date, plain_number
+from paperloom.functions.scalars import amount_of, parse_amount, parse_date, plain_number, strip
 
 #: The live rules' required fields, and those of the fuller, optional set.
 REQUIRED = {"invoice": ("invoice_no", "date", "total"), "receipt": ("total", "date"), "form": ("date",), "certificate": ("date",)}
@@ -17,6 +17,9 @@ REQUIRED_FULL = {
 }
 GSTIN = r"^\d{2}[A-Z]{5}\d{4}[A-Z]\d[Z][A-Z\d]$"
 LOW_CONFIDENCE = 0.6
+#: Messages of the fuller set's sum.
+UNREAD = "Could not parse all values in table column '%s'; sum check skipped"
+UNEQUAL = "Line items sum to %.2f but extracted total is %.2f (difference: %.2f)"
 RESULTS = "array<struct<rule:string,passed:boolean,message:string>>"
 
 
@@ -49,21 +52,30 @@ def _table() -> Column:
 
 
 def _amounts(at: Column) -> Column:
-    return F.transform(_table()["rows"], lambda r: parse_amount(F.try_element_at(r, at)))
+    stripped = F.transform(_table()["rows"], lambda r: strip(F.try_element_at(r, at)))
+    return F.transform(stripped, amount_of)
 
 
 def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
 
 
+def _once(x: Column, result: Callable[[Column], Column]) -> Column:
+    """result of x, which is computed once however often result names it."""
+    return F.get(F.transform(F.array(x), result), F.lit(0))
+
+
 def line_items_sum(tolerance: float = 1.0) -> Column:
     """The first column called amount or total must sum to the total."""
     flags = F.transform(_table()["headers"], lambda h: F.lower(h).isin("amount", "total"))
     at = F.nullif(F.array_position(flags, True), F.lit(0)).cast("int")
-    total, made = parse_amount(value("total")), _sum(_amounts(at))
-    off = at.isNotNull() & (F.abs(made - total) > tolerance)
-    message = F.format_string("Line items sum to %.2f but extracted total is %.2f", made, total)
-    return failed(off, "line_items_sum", message)
+    total = parse_amount(value("total"))
+
+    def result(made):
+        message = F.format_string("Line items sum to %.2f but extracted total is %.2f", made, total)
+        return failed(at.isNotNull() & (F.abs(made - total) > tolerance), "line_items_sum", message)
+
+    return _once(_sum(_amounts(at)), result)
 
 
 def low_confidence(threshold: float = LOW_CONFIDENCE) -> Column:
@@ -91,13 +103,15 @@ def line_items_complete(tolerance: float = 1.0) -> Column:
     """As line_items_sum, for amount, else total, else price; a cell that isn't a number fails."""
     headers = _table()["headers"]
     at = F.coalesce(*(F.nullif(F.array_position(headers, F.lit(h)), F.lit(0)) for h in ("amount", "total", "price"))).cast("int")
-    cells, total = _amounts(at), parse_amount(value("total"))
-    unread = F.exists(cells, lambda x: x.isNull())
-    bad = at.isNotNull() & total.isNotNull() & (unread | (F.abs(_sum(cells) - total) > tolerance))
-    message = F.when(unread, F.lit("Could not parse all values of the amount column; sum check skipped")).otherwise(
-        F.format_string("Line items sum to %.2f but extracted total is %.2f", _sum(cells), total)
-    )
-    return failed(bad, "line_items_complete", message)
+    total = parse_amount(value("total"))
+
+    def result(cells):
+        unread, off = F.exists(cells, lambda x: x.isNull()), F.abs(_sum(cells) - total)
+        bad = at.isNotNull() & total.isNotNull() & (unread | (off > tolerance))
+        message = F.when(unread, F.format_string(UNREAD, F.element_at(headers, at))).otherwise(F.format_string(UNEQUAL, _sum(cells), total, off))
+        return failed(bad, "line_items_complete", message)
+
+    return _once(_amounts(at), result)
 
 
 def total_matches() -> Column:

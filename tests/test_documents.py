@@ -100,6 +100,10 @@ def test_validation(spark):
     full = validate.validate(results(spark, good | {"gstin": "bad"}), "2026-12-31", validate.full_rules).first()
     assert [v.rule for v in full.validation] == ["gstin_format"]
     assert results(spark, good).select(validate.total_matches().alias("r")).first().r is None
+    full = lambda t, **k: [v.message for v in validate.validate(results(spark, good | k, tables=[t]), "2026-12-31", validate.full_rules).first().validation]
+    assert full(table) == ["Line items sum to 150.00 but extracted total is 1180.00 (difference: 1030.00)"]
+    assert full((["item", "price"], [["a", "x"], ["b", "50"]])) == ["Could not parse all values in table column 'price'; sum check skipped"]
+    assert full(table, total=None) == ["Missing required field: 'total'"] and full((["item"], [["a"]])) == []
 
 
 def test_store_and_corrections(spark):
