@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import TEXT_BATCH_ROWS, freeing, materialise, prefix_scan, prepare
-from paperloom.llm.tokens import tokenizer
+from paperloom.llm.tokens import forget, tokenizer
 
 CAPACITY = 2048
 GRID = 8
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, te
                 )
 
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary"
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("binary")).mapInArrow(freeing(run), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("binary")).mapInArrow(freeing(run, forget), schema)
 
 
 def price(values: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:

@@ -122,3 +122,8 @@ def tokenizer(path: str, kind: str = "I", special: bool = True) -> ChunkTokenize
     if (path, kind, special) not in _CODERS:
         _CODERS[path, kind, special] = ChunkTokenizer(path, kind, special)
     return _CODERS[path, kind, special]
+
+
+def forget() -> None:
+    """Gives up this process's tokenizers and what they have cached: workers outlive their tasks and stages."""
+    _CODERS.clear()
