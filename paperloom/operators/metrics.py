@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -117,10 +118,48 @@ def corpus_scores(truth: DataFrame, predicted: DataFrame, normalized: bool = Tru
     )
 
 
+def evaluation(truth: DataFrame, predicted: DataFrame, normalized: bool = True) -> DataFrame:
+    """(part, name, metric, value): the whole report as rows, some tens of them.
+
+    part ``overall``: documents, total_stp, stp_rate_pct, accuracy, class_macro_f1, field_micro_f1, field_macro_f1, cer, wer. ``class``: precision,
+    recall and f1 of each class. ``field``: pooled tp, fp, fn, precision and recall. field_macro_f1 is the mean over every
+    field of every document, found or true.
+    """
+    once = truth.dropDuplicates(["doc_id"])
+    docs = document_scores(truth, predicted, normalized)
+    pairs = docs.select("truth", "predicted")
+    known = once.join(predicted.select("doc_id"), "doc_id", "left_semi")
+    found = predicted.join(once.select("doc_id"), "doc_id", "left_semi")
+    counts = field_counts(field_rows(known), field_rows(found).where("value is not null"), normalized)
+    fields = overall_scores(counts.withColumn("key", F.concat_ws("_", "doc_id", "name")), "key")
+    n = F.count("*")
+    totals = docs.agg(
+        n.alias("documents"), F.count_if("is_stp").alias("total_stp"), F.when(n == 0, 0.0).otherwise(F.round(100.0 * F.count_if("is_stp") / n, 2)).alias("stp_rate_pct"),
+        F.round(F.avg("cer"), 4).alias("cer"), F.round(F.avg("wer"), 4).alias("wer"),
+    )
+    classes = class_overall(pairs).select("accuracy", F.col("macro_f1").alias("class_macro_f1"))
+    field = fields.select(F.col("micro_f1").alias("field_micro_f1"), F.col("macro_f1").alias("field_macro_f1"))
+
+    def tall(df: DataFrame, part: str, columns: list[str], name: str | None = None) -> DataFrame:
+        cells = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns)))
+        named = df.select(F.lit(part).alias("part"), (F.col(name) if name else F.lit(part)).alias("name"), cells.alias("c"))
+        return named.select("part", "name", "c.metric", "c.value")
+
+    made = [tall(df, "overall", df.columns) for df in (totals, classes, field)]
+    made += [tall(class_scores(pairs), "class", ["precision", "recall", "f1"], "class"), tall(fields, "field", ["tp", "fp", "fn", "precision", "recall"])]
+    return reduce(DataFrame.unionByName, made)
+
+
 def report(truth: DataFrame, predicted: DataFrame) -> str:
-    """The corpus scores as fixed-width text: one collected row."""
-    row = corpus_scores(truth, predicted).first().asDict()
-    return "\n".join(["EVALUATION", "=" * 32, *(f"{k:<16}{'-' if v is None else v:>16}" for k, v in row.items())])
+    """``evaluation`` as fixed-width text: overall scores, a table of classes, pooled fields."""
+    rows = evaluation(truth, predicted).collect()
+    show = lambda v: "-" if v is None else f"{v:.4f}".rstrip("0").rstrip(".")
+    lines = ["EVALUATION", "=" * 48, *(f"{r.metric:<24}{show(r.value):>12}" for r in rows if r.part == "overall")]
+    classes = sorted({r.name for r in rows if r.part == "class"})
+    of = {(r.name, r.metric): r.value for r in rows if r.part == "class"}
+    lines += ["", f"{'class':<16}{'precision':>12}{'recall':>12}{'f1':>8}", "-" * 48]
+    lines += [f"{c:<16}{of[c, 'precision']:>12.4f}{of[c, 'recall']:>12.4f}{of[c, 'f1']:>8.4f}" for c in classes]
+    return "\n".join([*lines, "", "fields", "-" * 48, *(f"{r.metric:<24}{show(r.value):>12}" for r in rows if r.part == "field")])
 
 
 def _row_places(truth: list[dict], found: list[dict], least: float) -> list[int]:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators import validate
+from paperloom.operators import metrics, validate
 from paperloom.plans.catalog import Query
 from paperloom.plans.process import process
 from paperloom.plans.tables import AS_OF, INDEX_SQL, doc_index, table, tokens
+from paperloom.sources.shared import saved
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -135,6 +136,33 @@ def typed_full_rules(spark, d):
     return made.select("doc_id", F.array_join(shown, " | ").alias("failed"))
 
 
+@query(f"""WITH {TYPED_SQL}, e AS (SELECT doc_id, CASE WHEN k % 7 = 0 THEN 'form' ELSE kind END AS truth, kind AS predicted,
+    CASE kind WHEN 'invoice' THEN 1 WHEN 'receipt' THEN 1 WHEN 'certificate' THEN 1 ELSE 0 END AS tp, CASE kind WHEN 'invoice' THEN 6 WHEN 'receipt' THEN 5 WHEN 'form' THEN 9 WHEN 'certificate' THEN 7 ELSE 2 END AS fp,
+    CASE kind WHEN 'receipt' THEN 0 WHEN 'form' THEN 2 WHEN 'unknown' THEN 2 ELSE 1 END AS fn, CASE kind WHEN 'invoice' THEN 8 WHEN 'receipt' THEN 6 WHEN 'form' THEN 9 WHEN 'certificate' THEN 8 ELSE 3 END AS keys,
+    kind = 'receipt' AND NOT future AND k % 7 <> 0 AS stp FROM ck),
+  o AS (SELECT count(*) AS documents, count(*) FILTER (stp) AS total_stp, round(100.0 * count(*) FILTER (stp) / count(*), 2) AS rate, round(avg((truth = predicted)::INT), 4) AS accuracy,
+    sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, round(sum(tp) / sum(keys)::DOUBLE, 4) AS macro FROM e),
+  c AS (SELECT c, count(*) FILTER (truth = c AND predicted = c) AS tp, count(*) FILTER (truth <> c AND predicted = c) AS fp, count(*) FILTER (truth = c AND predicted <> c) AS fn FROM e, (SELECT DISTINCT predicted AS c FROM e) GROUP BY c),
+  s AS (SELECT c, round(tp / (tp + fp)::DOUBLE, 4) AS p, round(tp / (tp + fn)::DOUBLE, 4) AS r, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 4) AS f FROM c),
+  u AS (SELECT 'overall' AS part, 'overall' AS name, unnest([('documents', documents::DOUBLE), ('total_stp', total_stp::DOUBLE), ('stp_rate_pct', rate::DOUBLE), ('cer', 0.0::DOUBLE), ('wer', 0.0::DOUBLE), ('accuracy', accuracy::DOUBLE),
+      ('class_macro_f1', (SELECT round(avg(f), 4) FROM s)::DOUBLE), ('field_micro_f1', round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 4)), ('field_macro_f1', macro::DOUBLE)]) AS m FROM o
+    UNION ALL SELECT 'class', c, unnest([('precision', p), ('recall', r), ('f1', f)]) FROM s
+    UNION ALL SELECT 'field', 'field', unnest([('tp', tp::DOUBLE), ('fp', fp::DOUBLE), ('fn', fn::DOUBLE), ('precision', round(tp / (tp + fp)::DOUBLE, 4)), ('recall', round(tp / (tp + fn)::DOUBLE, 4))]) FROM o)
+  SELECT part, name, m[1] AS metric, m[2] AS value FROM u""")
+def evaluation_typed(spark, d):
+    """The whole report: five kinds of documents against labels of which every seventh has another type."""
+    found = saved(results(spark, d), "found")
+    k, kind = F.col("doc_id").cast("long"), F.col("doc_id").cast("long") % 5
+    index = doc_index(spark, d).select("doc_id", "vendor", "doc_date")
+    value = lambda v: F.struct(v.alias("value"), F.lit(1.0).alias("conf"), F.lit(None).cast("array<double>").alias("bbox"))
+    vendor = F.create_map(F.lit("vendor"), value(F.when(kind == 1, F.lit("Corner  shop")).otherwise(F.col("vendor"))))
+    fields = F.when(kind == 1, vendor).otherwise(F.map_concat(vendor, F.create_map(F.lit("date"), value(F.col("doc_date")))))
+    names = F.array(*map(F.lit, ("invoice", "receipt", "form", "certificate", "unknown")))
+    truth = index.withColumns({"fields": fields, "doc_type": F.when(k % 7 == 0, F.lit("form")).otherwise(F.element_at(names, (kind + 1).cast("int")))})
+    truth = truth.join(found.select("doc_id", "ocr"), "doc_id").select("doc_id", "doc_type", "ocr", "fields")
+    return metrics.evaluation(saved(truth, "truth"), found)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

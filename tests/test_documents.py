@@ -135,7 +135,12 @@ def test_metrics(spark):
     truth = documents.benchmark(spark, 2, 2, 1, 1)
     made = process(truth.select("doc_id", "filename", "ocr"), "2027-01-01")
     assert metrics.corpus_scores(truth, made).first().stp_rate_pct == 100.0
-    assert "stp_rate_pct" in metrics.report(truth, made)
+    text = metrics.report(truth, made)
+    assert all(x in text for x in ("stp_rate_pct", "class_macro_f1", "field_micro_f1", "certificate", "recall"))
+    rows = {(r.part, r.name, r.metric): r.value for r in metrics.evaluation(truth, made).collect()}
+    assert rows["overall", "overall", "total_stp"] == 6.0 and rows["class", "receipt", "f1"] == 1.0 and rows["field", "field", "fn"] == 0.0
+    none = {r.metric: r.value for r in metrics.evaluation(truth.limit(0), made.limit(0)).where("part = 'overall'").collect()}
+    assert none["documents"] == 0.0 and none["stp_rate_pct"] == 0.0 and none["accuracy"] == 0.0 and none["field_macro_f1"] == 1.0
 
 
 def test_sources(spark, tmp_path):
