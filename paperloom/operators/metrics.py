@@ -87,6 +87,34 @@ def class_overall(pairs: DataFrame) -> DataFrame:
     )
 
 
+def class_report(pairs: DataFrame, by: str) -> DataFrame:
+    """(by, class, precision, recall, f1, support) of pairs (by, truth, predicted): a report for each value of ``by``.
+
+    A row a class that is true or predicted somewhere, 0 where undefined, then ``accuracy`` (in f1 alone), ``macro avg`` and
+    ``weighted avg`` (by support). Pairs are counted before anything else, so what follows has some rows a class.
+    """
+    n = pairs.where("truth is not null and predicted is not null").groupBy(by, "truth", "predicted").agg(F.count("*").alias("n"))
+    sides = F.explode(F.array(F.struct(F.col("truth").alias("class"), F.lit(True).alias("is_true")), F.struct(F.col("predicted").alias("class"), F.lit(False).alias("is_true"))))
+    hit, true = F.col("truth") == F.col("predicted"), F.col("s.is_true")
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).cast("double")
+    rows = n.withColumn("s", sides).groupBy(by, F.col("s.class").alias("class")).agg(
+        total(hit & true).alias("tp"), total(~true).alias("found"), total(true).alias("support"),
+    )
+    div = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    tp, found, support = F.col("tp"), F.col("found"), F.col("support")
+    rows = rows.withColumns({"precision": div(tp, found), "recall": div(tp, support), "f1": div(2 * tp, found + support)})
+    scores = ("precision", "recall", "f1")
+    none = F.lit(None).cast("double")
+    every = F.sum("support")
+    means = rows.groupBy(by).agg(F.explode(F.array(
+        F.struct(F.lit("accuracy").alias("class"), none.alias("precision"), none.alias("recall"), div(F.sum("tp"), every).alias("f1"), every.alias("support")),
+        F.struct(F.lit("macro avg").alias("class"), *(F.avg(c).alias(c) for c in scores), every.alias("support")),
+        F.struct(F.lit("weighted avg").alias("class"), *(div(F.sum(F.col(c) * support), every).alias(c) for c in scores), every.alias("support")),
+    )).alias("r")).select(by, "r.*")
+    made = rows.select(by, "class", *scores, "support").unionByName(means)
+    return made.select(by, "class", *(F.round(c, 4).alias(c) for c in scores), F.col("support").cast("long").alias("support"))
+
+
 def document_scores(truth: DataFrame, predicted: DataFrame, normalized: bool = True) -> DataFrame:
     """A row a document: type_match, cer and wer (NULL without true text), tp, fp, fn, is_stp.
 
