@@ -39,7 +39,9 @@ DEPTH = 6
 LOW = 2
 MIN_COUNT = 4
 MIN_GAIN = 1.0
-SMOOTHING = 3
+#: Chosen among CANDIDATES by smoothing_by_fold(): on training rows alone.
+SMOOTHING = 4
+CANDIDATES = (1, 1.5, 2, 3, 4, 6)
 CHUNK_BYTES = 6_000_000
 #: Short strings that a task counts before it hands them on.
 LOW_ENTRIES = 1_000_000
@@ -119,8 +121,8 @@ def grams(texts: list[bytes]) -> np.ndarray:
     return key[real]
 
 
-def held_out(key: Column, folds: int = 10) -> Column:
-    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == 0, F.lit(False))
+def held_out(key: Column, fold: int = 0, folds: int = 10) -> Column:
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
 NAMES = ["kind", "part", "chunk", "a", "b", "c"]
@@ -284,7 +286,7 @@ def retain(tree: dict[int, Level]) -> None:
         tree[d - 1].state[at] = True
 
 
-def chances(keys: np.ndarray, tree: dict[int, Level]) -> np.ndarray:
+def chances(keys: np.ndarray, tree: dict[int, Level], smoothing: float = SMOOTHING) -> np.ndarray:
     """log10 probabilities of the last byte of strings after the rest, by their longest suffix that is a state."""
     made = np.full(len(keys), 0.5)
     at, has = find(tree[0].keys, keys & _mask(1))
@@ -298,7 +300,7 @@ def chances(keys: np.ndarray, tree: dict[int, Level]) -> np.ndarray:
         some = some[level.state[at[some]]]
         place, seen = find(level.keys, event[some])
         n = np.where(seen, level.n[place], 0) if len(level.n) else 0
-        k = SMOOTHING * level.distinct[at[some]]
+        k = smoothing * level.distinct[at[some]]
         made[some] = (n + k * made[some]) / (level.total[at[some]] + k)
     return np.log10(made)
 
@@ -318,7 +320,7 @@ def low_counts(gathered: DataFrame, parts: int) -> Counts:
     return add_counts(made.column("key").to_numpy().astype(np.uint64), made.column("n").to_numpy())
 
 
-def _chances(gathered: DataFrame, low: Counts, parts: int) -> DataFrame:
+def _chances(gathered: DataFrame, low: Counts, parts: int, smoothing: float) -> DataFrame:
     """(chunk, part, a): log10 probabilities of a chunk's strings of a range, in their order."""
     shared = gathered.sparkSession.sparkContext.broadcast(low)
 
@@ -337,7 +339,7 @@ def _chances(gathered: DataFrame, low: Counts, parts: int) -> DataFrame:
             )
             tree = short | levels(keys[n > 0], n[n > 0], DEPTH, LOW + 1)
             retain(tree)
-            made = chances(keys, tree).astype("<f4")
+            made = chances(keys, tree, smoothing).astype("<f4")
             for chunk, a, _ in rows:
                 blob = planes(made[np.searchsorted(keys, unpack_grams(a))])
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "part", "a"])
@@ -416,10 +418,10 @@ def _scores(gathered: DataFrame, answers: DataFrame, strings: DataFrame, n: int,
     return met.mapInArrow(freeing(run), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", smoothing: float = SMOOTHING, fold: int = 0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row a row of docs.
 
-    Training rows are those for which ``held_out`` is false; NULL ids train. A null text is empty:
+    Training rows are those for which ``held_out`` (of this fold) is false; NULL ids train. A null text is empty:
     the end alone. With no training text, base and model are their smoothing alone. Repeated rows
     keep their rows. What has been asked is deleted once it is answered. The texts are read once; a text is never cut, so a very long one is a chunk of
     its own.
@@ -428,14 +430,24 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     prepare(spark)
     parts = shuffle_parts(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    rows = rows.withColumn("held", held_out(F.col("doc_id")))
+    rows = rows.withColumn("held", held_out(F.col("doc_id"), fold))
     gathered = materialise(gather(rows, parts), "gathered", "kind")
     answers = materialise(_answers(gathered, parts), "answers")
     drop(gathered, part="/kind=0")
     n, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
-    strings = materialise(_chances(gathered, low_counts(gathered, parts), parts), "strings")
+    strings = materialise(_chances(gathered, low_counts(gathered, parts), parts, smoothing), "strings")
     drop(gathered, part="/kind=1")
     scored = _scores(gathered, answers, strings, n, v, parts)
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )
+
+
+def smoothing_by_fold(docs: DataFrame, candidates: tuple[float, ...] = CANDIDATES, fold: int = 1) -> dict[float, float]:
+    """{candidate: log10 probability of the rows of ``fold``, from the other training rows}: how SMOOTHING is chosen.
+
+    Rows that score_documents() holds out (fold 0) take no part.
+    """
+    training = docs.where(~held_out(F.col("doc_id").cast("long")))
+    score = lambda k: score_documents(training, smoothing=k, fold=fold).where("held_out").agg(F.sum("score")).first()[0]
+    return {k: score(k) or 0.0 for k in candidates}

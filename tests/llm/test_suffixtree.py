@@ -5,6 +5,9 @@ from collections import Counter
 
 import numpy as np
 
+import pytest
+from pyspark.sql import functions as F
+
 from paperloom.llm import suffixtree as st
 from tests.llm import test_langid
 
@@ -110,3 +113,10 @@ def test_no_training_rows_and_repeats(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     only = st.score_documents(spark.createDataFrame([(held, "a")], "doc_id long, text string")).first()
     assert only.held_out and only.train_tokens == 0 and math.isclose(only.base_score, 2 * math.log10(0.1 / 0.1))
+
+
+def test_smoothing_is_chosen_on_training_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    made = st.smoothing_by_fold(docs, (1, st.SMOOTHING))
+    other = docs.withColumn("text", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit("zzz")).otherwise(F.col("text")))
+    assert st.smoothing_by_fold(other, (1, st.SMOOTHING)) == pytest.approx(made) and made[st.SMOOTHING] > made[1]
