@@ -5,8 +5,8 @@ match with that text. Parsing a text greedily into longest matches costs few phr
 own language and many against others; phrases times log2 of the sample's length, per symbol, is an
 estimate of the cross entropy. The language with the least wins.
 
-The labelled sample is bounded: SAMPLE_ROWS whole texts a language, the first by a hash among those of
-at most ROW_CHARS code points. Prediction reads whole texts: a text is laid out in lanes of LANE
+The labelled sample is bounded: at most SAMPLE_ROWS whole texts a language, together at most SAMPLE_CHARS code
+points; those of at most ROW_CHARS come first, by a hash, then longer ones, the shorter first. Prediction reads whole texts: a text is laid out in lanes of LANE
 symbols, and all lanes of a batch step through the automata of all languages together in numpy. Each
 lane is first parsed as if a phrase began with it; then the state at the end of the lane before is
 carried in, until a phrase begins where one had begun: the phrases are those of the whole text.
@@ -25,6 +25,7 @@ from paperloom.llm.common import TEXT_BATCH_ROWS, cut_lines, freeing, prepare
 
 SAMPLE_ROWS = 32
 ROW_CHARS = 2000
+SAMPLE_CHARS = SAMPLE_ROWS * ROW_CHARS
 LANE = 256
 STEP_CHARS = 500_000
 UNDEFINED = "und"
@@ -200,21 +201,32 @@ class Parser:
 
 
 def sample(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> dict[str, str]:
-    """{language: text}: at most SAMPLE_ROWS rows a language, one after another.
+    """{language: text}: at most SAMPLE_ROWS whole rows a language of SAMPLE_CHARS code points in all, one after another.
 
-    Rows without label or text give none. Rows of at most ROW_CHARS code points come first, by a hash; only
-    where a language has too few of them are longer ones used, and those by their first ROW_CHARS.
-    Each task keeps its own first rows before any are exchanged.
+    Rows without label or text give none. Rows of at most ROW_CHARS code points come first, by a hash; longer ones follow by
+    length. A row that doesn't fit in what is left isn't taken; the first always is, so a language whose shortest labelled
+    row is longer than SAMPLE_CHARS learns from that row alone. Rows that repeat each other take their places
+    and are used once. Places are decided
+    on lengths and hashes: each task keeps its own first ones before any are exchanged, and only chosen texts are moved.
     """
-    long = F.length(text) > ROW_CHARS
-    rows = labelled.select(
-        F.col(label).alias("lang"), F.struct(long, F.xxhash64(F.col(key).cast("string"), text)).alias("at"),
-        F.substring(text, 1, ROW_CHARS).alias("part"),
-    ).where("lang is not null and part is not null and length(part) > 0")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "part"))
+    size = F.length(text)
+    rows = labelled.select(F.col(label).alias("lang"), size.alias("size"), F.xxhash64(F.col(key).cast("string"), text).alias("at"), F.col(text).alias("whole"))
+    rows = rows.where("lang is not null and whole is not null and size > 0")
+    order = Window.partitionBy("lang").orderBy(F.greatest("size", F.lit(ROW_CHARS)), "at", "size")
+    first = rows.select("lang", "size", "at").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_ROWS).collect()
+    chosen: dict[tuple[str, int], int] = {}
+    used: dict[str, int] = {}
+    for row in sorted(first, key=lambda r: (r.lang, r.rank)):
+        if (row.lang, row.at) not in chosen and (row.lang not in used or used[row.lang] + row.size <= SAMPLE_CHARS):
+            used[row.lang] = used.get(row.lang, 0) + row.size
+            chosen[row.lang, row.at] = row.rank
+    if not chosen:
+        return {}
+    picks = labelled.sparkSession.createDataFrame([(*k, r) for k, r in chosen.items()], "lang string, at long, rank int")
     found: dict[str, list[str]] = {}
-    for row in rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).orderBy("lang", "rank").collect():
-        found.setdefault(row.lang, []).append(row.part)
+    # picks: at most SAMPLE_ROWS rows of two numbers a language
+    for row in rows.join(F.broadcast(picks), ["lang", "at"]).dropDuplicates(["lang", "at"]).orderBy("lang", "rank").select("lang", "whole").collect():
+        found.setdefault(row.lang, []).append(row.whole)
     return {x: " ".join(parts) for x, parts in found.items()}
 
 

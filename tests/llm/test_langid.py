@@ -72,7 +72,14 @@ def test_sample_of_long_rows_and_the_query(spark, tmp_path):
     rows = [(i, prose(x, 4000 if x == "aa" else 60, i), x, "s", 1) for i, x in enumerate(list(SYLLABLES) * 30)] + [(None, "x", "aa", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     made = langid.sample(docs)
-    assert len(made["aa"]) == 30 * (langid.ROW_CHARS + 1) + 1 and all(x in made["bb"] for x in made["bb"].split("  "))
+    long = sorted((r[1] for r in rows if r[2] == "aa" and r[1] != "x"), key=len)
+    taken = next(n for n in range(30) if 1 + sum(map(len, long[: n + 1])) > langid.SAMPLE_CHARS)
+    assert taken and made["aa"] == " ".join(["x", *long[:taken]])
+    assert len(made["bb"]) == sum(len(r[1]) + 1 for r in rows if r[2] == "bb") - 1
+    twice = docs.where("doc_id < 15").union(docs.where("doc_id < 15"))
+    assert langid.sample(twice)["bb"] == langid.sample(docs.where("doc_id < 15"))["bb"]
+    one = docs.where("doc_id = 0").withColumn("text", F.repeat("text", 9))
+    assert len(langid.sample(one)["aa"]) == 9 * len(rows[0][1]) > langid.SAMPLE_CHARS
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = catalog.op5_language_id(spark, str(tmp_path)).collect()
     assert len(out) == len(rows) and all(r.held_out is not None for r in out)
