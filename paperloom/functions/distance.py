@@ -19,6 +19,8 @@ from paperloom.sources.shared import importable
 
 #: Cells of the dynamic program up to which Spark's own function is used, in characters; in words, up to which words are coded.
 CELLS, WORD_CELLS = 1 << 16, 1 << 10
+#: The distance that is tried first; of greater ones, the fourfold next.
+FIRST = 64
 
 
 def _places(a: Sequence[Hashable]) -> dict[Hashable, int]:
@@ -52,8 +54,19 @@ def distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
         a, b = b, a
     if not len(b):
         return len(a)
-    at, every, top = _places(a), (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, found = every, 0, len(a)
+    at, most = _places(a), max(FIRST, len(a) - len(b))
+    while 4 * most < len(a):  # beyond, whole columns cost less
+        found = _within(at, len(a), b, most)
+        if found <= most:
+            return found
+        most *= 4
+    return _whole(at, len(a), b)
+
+
+def _whole(at: dict[Hashable, int], size: int, b: Sequence[Hashable]) -> int:
+    """The distance by whole columns of the dynamic program; at: places in the other sequence, of ``size`` symbols."""
+    every, top = (1 << size) - 1, 1 << size - 1
+    up, down, found = every, 0, size
     for x in b:
         same = at.get(x, 0)
         level = (((same & up) + up) ^ up) | same | down
@@ -69,6 +82,46 @@ def distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
     return found
 
 
+def _within(at: dict[Hashable, int], size: int, b: Sequence[Hashable], most: int) -> int:
+    """The distance if it is at most ``most``, else some greater number; b isn't longer than ``size``, nor shorter by more than ``most``.
+
+    Of each column only the places within ``most`` of the diagonal are kept: a window of bits that moves down by
+    one place with each step (Hyyro 2003). A step costs what the distance asks for, not what the text's length does.
+    """
+    width = 2 * most + 1
+    every, top = (1 << width) - 1, 1 << width - 1
+    block = (1 << 2 * width) - 1
+    up, down, found = every >> most << most, 0, most
+    cut: dict[Hashable, int] = {}
+    base = None
+    for j, x in enumerate(b):
+        if not j % width:  # the places that the next steps see, of each symbol once
+            cut, base = {}, j - most
+        same = cut.get(x)
+        if same is None:
+            whole = at.get(x, 0)
+            same = cut[x] = (whole >> base if base >= 0 else whole << -base) & block
+        same = same >> j % width & every
+        level = ((((same & up) + up) ^ up) | same | down) & every
+        right = down | every ^ (level | up)
+        left = up & level
+        if j < size - most:  # along the window's last place, a diagonal
+            if not level & top:
+                found += 1
+                if found > 2 * most:  # what is left can save no more than ``most``
+                    return found
+        else:  # along the last row, which moves up in the window
+            top >>= 1
+            if right & top:
+                found += 1
+            elif left & top:
+                found -= 1
+        level >>= 1
+        up = left | every ^ (level | right)
+        down = level & right
+    return found
+
+
 def aligned(places: Sequence[int], size: int) -> int:
     """The longest chain of pairs (i, j), both growing, where bit i of ``places[j]`` is set; i is below ``size``."""
     every = (1 << size) - 1

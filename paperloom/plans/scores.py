@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import distance as D
+from paperloom.functions import scalars as S
 from paperloom.functions.scalars import strip
 from paperloom.operators import metrics, store
 from paperloom.plans.catalog import Query, _results
@@ -25,6 +26,11 @@ def query(sql: str):
     return add
 
 
+def _documents(spark, d):
+    """The documents, dealt to all cores: a file may be one row group, which one task would read and compare."""
+    return table(spark, d, "documents").select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")
+
+
 def _edited(parts: F.Column, replaced, dropped) -> F.Column:
     """Parts without those that are dropped, and with the mark in place of those that are replaced."""
     marked = F.transform(parts, lambda x, i: F.when(replaced(i), F.lit(MARK)).when(~dropped(i), x))
@@ -36,7 +42,7 @@ def _edited(parts: F.Column, replaced, dropped) -> F.Column:
 def wer_documents(spark, d):
     """Word error rate of every whole document against a copy with words replaced and left out."""
     words = F.filter(F.split(strip(F.coalesce("text", F.lit(""))), r"(?U)\s+"), lambda w: w != "")
-    rows = table(spark, d, "documents").select("doc_id", "text", words.alias("w"))
+    rows = _documents(spark, d).select("doc_id", "text", words.alias("w"))
     rows = rows.withColumn("copy", F.array_join(_edited(F.col("w"), lambda i: i % 10 == 3, lambda i: i % 17 == 5), " "))
     return rows.select("doc_id", F.size("w").cast("long").alias("n"), F.round(D.wer("text", "copy"), 6).alias("wer"))
 
@@ -46,12 +52,13 @@ def wer_documents(spark, d):
     CASE WHEN n = 0 THEN 0.0 ELSE round(len(list_filter(range(n), lambda i: i > 1 AND i < n - 2 AND (i % 50 = 25 OR i % 97 = 60))) / n::DOUBLE, 6) END AS cer FROM t""")
 def cer_documents(spark, d):
     """Character error rate of every whole document against a copy with characters replaced and left out."""
-    rows = table(spark, d, "documents").select("doc_id", strip(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = _documents(spark, d).select("doc_id", strip(F.coalesce("text", F.lit(""))).alias("t"))
     rows = rows.withColumn("c", F.when(F.length("t") > 0, F.split("t", "")).otherwise(F.array().cast("array<string>")))
     inner = lambda i: (i > 1) & (i < F.size("c") - 2)
     copy = _edited(F.col("c"), lambda i: inner(i) & (i % 50 == 25), lambda i: inner(i) & (i % 97 == 60))
     rows = rows.withColumn("copy", F.array_join(copy, ""))
-    return rows.select("doc_id", D.text_distance(F.col("t"), F.col("copy")).alias("dist"), F.round(D.cer("t", "copy"), 6).alias("cer"))
+    rows = rows.withColumn("dist", D.text_distance(F.col("t"), F.col("copy")))  # once: the texts are stripped already
+    return rows.select("doc_id", "dist", F.round(S._rate(F.col("dist"), F.length("t"), F.length("copy")), 6).alias("cer"))
 
 
 def _line_items(spark, d):

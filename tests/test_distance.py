@@ -72,3 +72,27 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(text, text[:50_000] + "§" + text[50_001:90_000] + text[90_003:])], "a string, b string")
     r = df.select(D.text_distance(F.col("a"), F.col("b")).alias("d")).first()
     assert r.d == 4
+
+
+near = st.lists(st.tuples(st.integers(0, 80), st.sampled_from(["", "x", "ab"])), max_size=8)
+
+
+@given(word, near, st.integers(1, 6))
+@settings(max_examples=400, deadline=None)
+def test_windows_find_the_same_distances(a, changes, first):
+    b = list(a)
+    for at, new in changes:
+        b[at : at + 1] = new
+    kept, D.FIRST = D.FIRST, first
+    try:
+        assert D.distance(a, b) == D.distance(b, a) == plain(a, b)
+    finally:
+        D.FIRST = kept
+
+
+def test_a_close_copy_needs_no_whole_columns(monkeypatch):
+    monkeypatch.setattr(D, "_whole", None)
+    rng = random.Random(5)
+    text = "".join(rng.choice("etaoin shrdlu") for _ in range(30_000))
+    copy = "".join("#" if i % 50 == 25 else "" if i % 97 == 60 else c for i, c in enumerate(text))
+    assert D.distance(text, copy) == sum(i % 50 == 25 or i % 97 == 60 for i in range(30_000))
