@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from functools import reduce
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.distance import aligned, cer, wer
-from paperloom.functions.scalars import agree, comparable, normalize_text, parse_amount
-from paperloom.operators.layout import full_text
+from paperloom.functions.scalars import agree, amount_of, comparable, normal_of, strip
+from paperloom.operators.layout import full_text, once
 from paperloom.operators.store import field_rows
 from paperloom.sources.shared import importable
 
@@ -207,20 +208,62 @@ def _row_places(truth: list[dict], found: list[dict], least: float) -> list[int]
     return out
 
 
-def _cell(v: Column) -> Column:
-    """A cell as it is compared: an amount with two decimals, or else normalised text."""
-    amount = F.when(v.rlike(r"^[^A-Za-z]*$"), parse_amount(v))
-    return F.coalesce(F.format_string("%.2f", amount), normalize_text(v))
+def _cell(s: Column) -> Column:
+    """A cell, without white space at its ends, as it is compared: an amount with two decimals, or else normalised text."""
+    amount = F.when(s.rlike(r"^[^A-Za-z]*$"), amount_of(s))
+    made = once(amount, lambda x: F.when(x.isNotNull(), F.format_string("%.2f", x)).otherwise(normal_of(s)))
+    return F.when(s.rlike(r"^(0|[1-9][0-9]{0,11})\.[0-9]{2}\z"), s).otherwise(made)  # most are printed so already
 
 
 def _table_rows(rows: DataFrame, name: str) -> DataFrame:
-    """(doc_id, table_index, name): each table's rows in order, as JSON of header and cell."""
-    cells = F.transform(F.map_entries("data"), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), _cell(e["value"]).alias("value")))
-    last = F.filter(cells, lambda c, i: ~F.exists(F.slice(cells, i + 2, F.size(cells) + 1), lambda d: d["key"] == c["key"]))
-    rows = rows.select("doc_id", "table_index", F.struct("row_index", F.to_json(F.map_from_entries(last)).alias("cells")).alias("r"))
+    """(doc_id, table_index, name): each table's rows in order, a row its cells: the header's length, a colon, header and value."""
+    keys = F.transform(F.map_keys("data"), lambda k: F.lower(F.trim(k)))
+    texts = F.transform(F.map_values("data"), lambda v: strip(F.coalesce(v, F.lit(""))))
+    rows = rows.select("doc_id", "table_index", "row_index", keys.alias("k"), texts.alias("s"))
+    cells = F.transform(F.arrays_zip("k", "s"), lambda c: F.concat(F.length(c["k"]).cast("string"), F.lit(":"), c["k"], _cell(c["s"])))
+    last = F.filter(cells, lambda c, i: ~F.array_contains(F.slice("k", i + 2, F.size("k") + 1), F.get("k", i)))
+    kept = F.when(F.size(F.array_distinct("k")) < F.size("k"), last).otherwise(cells)
+    rows = rows.select("doc_id", "table_index", F.struct("row_index", kept.alias("cells")).alias("r"))
     return rows.groupBy("doc_id", "table_index").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["cells"]).alias(name))
 
 
+def _as_dict(cells: Iterable[str]) -> dict[str, str]:
+    """A row's cells by header."""
+    made = {}
+    for cell in cells:
+        n, _, rest = cell.partition(":")
+        made[rest[: int(n)]] = rest[int(n) :]
+    return made
+
+
+def _agreeing(truth: list[tuple], found: list[tuple], least: float, cell: Callable[[Hashable], str]) -> int:
+    """The most pairs of agreeing rows in order; rows are tuples of codes, equal codes being equal cells.
+
+    Equal rows at both ends are paired first: any alignment can be changed to pair them without losing a pair.
+    """
+    low, most = 0, min(len(truth), len(found))
+    while low < most and truth[low] and truth[low] == found[low]:
+        low += 1
+    high = 0
+    while high < most - low and truth[-1 - high] and truth[-1 - high] == found[-1 - high]:
+        high += 1
+    if low + high == most:
+        return most
+    a, b = ([_as_dict(map(cell, row)) for row in rows[low : len(rows) - high]] for rows in (truth, found))
+    return low + high + aligned(_row_places(a, b, least), len(a))
+
+
+def _coded(tables: pa.Array, codes: list[int], at: int) -> Iterator[list[tuple]]:
+    """Each table's rows as tuples of codes, which begin at ``at``."""
+    sizes = iter(tables.flatten().value_lengths().to_pylist())
+    for n in tables.value_lengths().to_pylist():
+        rows = []
+        for size in islice(sizes, n):
+            rows.append(tuple(codes[at : at + size]))
+            at += size
+        yield rows
+
+
 def table_row_counts(truth: DataFrame, predicted: DataFrame, least: float = 1.0) -> DataFrame:
     """(doc_id, table_index, tp, fp, fn): rows of tables that align, that were found beside these, and that were missed.
 
@@ -231,15 +274,15 @@ def table_row_counts(truth: DataFrame, predicted: DataFrame, least: float = 1.0)
 
     importable(truth.sparkSession)
 
-    @F.pandas_udf("long")
-    def pairs(a: pd.Series, b: pd.Series) -> pd.Series:
-        made = []
-        for x, y in zip(a, b):
-            known = [json.loads(r) for r in x]
-            made.append(aligned(_row_places(known, [json.loads(r) for r in y], least), len(known)))
-        return pd.Series(made, dtype="int64")
+    @F.arrow_udf("long")
+    def pairs(a: pa.Array, b: pa.Array) -> pa.Array:
+        first, second = (x.flatten().flatten() for x in (a, b))
+        coded = pa.concat_arrays([first, second]).dictionary_encode()
+        codes, cell = coded.indices.to_pylist(), lambda i: coded.dictionary[i].as_py()
+        both = zip(_coded(a, codes, 0), _coded(b, codes, len(first)))
+        return pa.array([_agreeing(x, y, least, cell) for x, y in both], pa.int64())
 
-    none = F.array().cast("array<string>")
+    none = F.array().cast("array<array<string>>")
     both = _table_rows(truth, "a").join(_table_rows(predicted, "b"), ["doc_id", "table_index"], "full")
     both = both.withColumns({"a": F.coalesce("a", none), "b": F.coalesce("b", none)})
     both = both.withColumn("tp", pairs("a", "b"))

@@ -10,6 +10,7 @@ from paperloom.functions.scalars import strip
 from paperloom.operators import metrics, store
 from paperloom.plans.catalog import Query, _results
 from paperloom.plans.tables import INDEX_SQL, table
+from paperloom.sources.shared import saved
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -63,7 +64,7 @@ def cer_documents(spark, d):
 
 def _line_items(spark, d):
     """True line items, and found ones: a heading as first row, every third line missing, the first line's amount wrong."""
-    rows = store.line_item_rows(_results(spark, d))
+    rows = saved(store.line_item_rows(_results(spark, d)), "line-items")  # named three times below
     k, line = F.col("doc_id").cast("long"), F.col("data")["line"].cast("int")
     wrong = F.map_concat(F.map_filter("data", lambda h, v: h != "amount"), F.create_map(F.lit("amount"), F.lit("0.01")))
     found = rows.where((k % 2 == 1) | (line % 3 != 0)).withColumn("data", F.when((k % 4 == 1) & (line == 1), wrong).otherwise(F.col("data")))

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from paperloom.operators import metrics
+from paperloom.operators import metrics, store
 
 
 def plain(a, b, least):
@@ -51,3 +51,30 @@ def test_shifted_missing_and_damaged_rows(spark):
     assert r.macro_f1 == pytest.approx((0.75 + 0.5) / 5)
     none = metrics.table_row_scores(metrics.table_row_counts(a.limit(0), b.limit(0))).first()
     assert (none.tp, none.micro_f1, none.macro_f1) == (0, 0.0, 0.0)
+
+
+def test_texts_that_differ_do_not_agree(spark):
+    truth = frame(spark, {("a", 0): [{"Item": "Bolt", "Unit": "box"}, {"Item": "Nut", "Unit": None}]})
+    found = frame(spark, {("a", 0): [{"item": "Washer", "unit": "bag"}, {"ITEM ": "nut", "unit": " "}]})
+    assert [tuple(r)[2:] for r in metrics.table_row_counts(truth, found).collect()] == [(1, 1, 1)]
+
+
+@given(st.lists(cells, max_size=9), st.lists(cells, max_size=9), st.sampled_from([0.3, 0.5, 1.0]))
+@settings(max_examples=200, deadline=None)
+def test_equal_rows_at_the_ends_cost_no_pair(a, b, least):
+    texts = sorted({f"{len(k)}:{k}{v}" for row in a + b for k, v in row.items()})
+    coded = lambda rows: [tuple(texts.index(f"{len(k)}:{k}{v}") for k, v in sorted(row.items())) for row in rows]
+    assert metrics._agreeing(coded(a), coded(b), least, texts.__getitem__) == plain(a, b, least)
+
+
+def test_a_cell_is_stripped_once(spark):
+    rows = frame(spark, {("a", 0): [{"Item": "Bolt"}]})
+    plan = metrics._table_rows(rows, "a")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?U)^\s+|\s+$") == 1 and plan.count(r"^[^A-Za-z]*$") <= 2  # one of two branches is computed
+
+
+def test_of_equal_headers_the_last_counts(spark):
+    results = spark.sql("""SELECT 'a' AS doc_id, array(struct(array('x', 'y', 'x') AS headers, array(array('1', '2', '3'), array('4')) AS rows)) AS tables
+      UNION ALL SELECT 'b', array(struct(array('x', 'y'), array(array('1', CAST(NULL AS STRING), '3'))))""")
+    got = {(r.doc_id, r.row_index): r.data for r in store.line_item_rows(results).collect()}
+    assert got == {("a", 0): {"y": "2", "x": "3"}, ("a", 1): {"x": "4"}, ("b", 0): {"x": "1", "y": None}}
