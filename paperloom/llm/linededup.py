@@ -41,8 +41,9 @@ COMMON = 2_000
 BLOCK = 2048
 #: Postings that a task holds before it packs them.
 HELD = 300_000
-#: Pairs that a task holds before it hands them on.
-PAIRS = 1_000_000
+#: Pairs that a task holds before it hands them on, that it filters at once, and tokens of pairs that it looks up at once.
+PAIRS = 250_000
+SOUGHT = 500_000
 #: Larger groups of sets are compared so many rows at once: by pairs that pass the bitmaps or, where these
 #: are many, by products of matrices.
 FEW = 48
@@ -50,8 +51,9 @@ STRIPE = 512
 #: Columns of a matrix at once, and what a token of a pair costs beside a multiplication.
 COLUMNS = 2048
 PAIR_COST = 800
-#: Sets that a task compares together, unless one cell has more.
+#: Sets and tokens that a task compares together, unless one cell has more.
 TOGETHER = 20_000
+TOKENS = 500_000
 #: Classes that a task remembers as counted and posted.
 REMEMBERED = 1 << 18
 POSTING = (("key", "<u8"), ("class", "<i8"), ("n", "<i4"), ("at", "<i4"), ("low", "<u8"), ("high", "<u8"))
@@ -357,8 +359,13 @@ def _fitting(rows: Postings, i: np.ndarray, j: np.ndarray, percent: int, groups:
     if groups is not None:
         open_ = groups.apart(i, j)
         i, j = i[open_], j[open_]
-    ok = _can_reach(_take(rows, i), _take(rows, j), percent)
-    return np.stack([i[ok], j[ok]])
+    read = {name: x for name, x in rows.items() if name not in ("key", "class")}
+    out = [np.zeros((2, 0), np.int64)]
+    for a in range(0, len(i), PAIRS):
+        some = i[a : a + PAIRS], j[a : a + PAIRS]
+        ok = _can_reach(_take(read, some[0]), _take(read, some[1]), percent)
+        out.append(np.stack([x[ok] for x in some]))
+    return np.concatenate(out, axis=1)
 
 
 def _meet(posted: DataFrame, percent: int) -> DataFrame:
@@ -477,7 +484,7 @@ class Sets:
     def similar(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
         """Which of the pairs are similar, by their full sets."""
         out = np.zeros(len(i), bool)
-        for a, b in cut_lines(self.n[i].tolist(), 4_000_000):
+        for a, b in cut_lines(self.n[i].tolist(), SOUGHT):
             size = self.n[i[a:b]]
             pair = np.repeat(np.arange(b - a), size)
             sought = j[a:b][pair] * len(self.distinct) + self.id[_flat(self, i[a:b])]
@@ -610,7 +617,8 @@ def _count(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if sum(x.num_rows for x in held) > TOGETHER:  # all but the last cell are complete
+            if sum(x.num_rows for x in held) > TOGETHER or sum(len(x.column(9).flatten()) for x in held) > TOKENS:
+                # all but the last cell are complete
                 whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 keys = np.stack([whole.column(c).to_numpy() for c in range(3)])
                 last = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))

@@ -156,3 +156,22 @@ def test_counted_links_of_cells(monkeypatch, few, stripe, pairs, cost):
         ]
         assert links[i] == len(other) and best[i] == min((order[j] for j in other), default=np.iinfo(np.int64).max)
     assert links.max() > 3
+
+
+def test_pairs_are_filtered_and_looked_up_a_bounded_number_at_once():
+    import tracemalloc
+
+    sets = linededup.Sets(np.arange(40_000, dtype=np.uint64), np.full(2_000, 20))
+    i, j = np.divmod(np.arange(600_000), 2_000)
+    tracemalloc.start()
+    same = sets.similar(i[:200_000], j[:200_000], 80)
+    looked_up = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    fits = linededup._fitting(sets.rows, i, j, 80, None)
+    filtered = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (same == (i == j)[:200_000]).all()
+    kept = np.zeros(len(i), bool)
+    kept[fits[0] * 2_000 + fits[1]] = True
+    assert (kept == linededup._can_reach(*(linededup._take(sets.rows, x) for x in (i, j)), 80)).all()
+    assert looked_up < 60e6 and filtered < 50e6, (looked_up, filtered)
