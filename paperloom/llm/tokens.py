@@ -6,10 +6,14 @@ the concatenation of their results on its chunks, as with files that drop white
 join letters or digits with punctuation, and whose normaliser doesn't reach across these borders.
 Special tokens' strings in a text are the special tokens, as by the library's default, or else
 (``special`` is false) ordinary text.
+
+Words of small letters up to Latin-1, most of what is new in a text, are given to the model as it would get them: neither the
+normaliser nor the pattern changes them. Marks at a word's end are learnt apart from it.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -20,6 +24,10 @@ CACHE_ENTRIES = 400_000
 
 _CODERS: dict[tuple[str, str, bool], ChunkTokenizer] = {}
 _MARK = re.compile(rb"(?<=[a-z0-9])[.,]|(?<=\xc3[\xa0-\xb6\xb8-\xbf])[.,]")  # after a to z, 0 to 9, \u00e0 to \u00ff
+#: Words that come through the normaliser and the pattern as they are, and such words with ASCII marks behind; an apostrophe may begin a suffix.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+_MARKED = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Kinds of bytes: q, a comma or full stop; p, other ASCII marks; m, the start of a letter beyond Latin-1.
 _KINDS = bytes(
     ord("q") if chr(b) in ".,"
@@ -40,6 +48,27 @@ def chunks(text: bytes) -> list[bytes]:
     return low.replace(b",", b" ,").replace(b".", b" .").split()
 
 
+def _direct(library):
+    """A tokenizer with the library's model that takes words _LETTERS by white space, if the library's does nothing else with them."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    def steps(part, kind: str) -> list[dict]:
+        state = json.loads(part.__getstate__()) if part is not None else {"type": "Sequence", kind: []}
+        return state[kind] if state["type"] == "Sequence" else [state]
+
+    replaced = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if any(x != replaced and x["type"] not in ("NFC", "Lowercase") for x in steps(library.normalizer, "normalizers")):
+        return None
+    cut = steps(library.pre_tokenizer, "pretokenizers")
+    if [x["type"] for x in cut] != ["Split", "ByteLevel"] or library.post_processor is not None or library.model.dropout:
+        return None
+    if (cut[0]["pattern"], cut[0]["behavior"], cut[0]["invert"]) != ({"Regex": _PATTERN}, "Removed", True) or cut[1]["add_prefix_space"] or cut[1]["use_regex"]:
+        return None
+    out = Tokenizer(library.model)
+    out.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return out
+
+
 class ChunkTokenizer:
     """Ids as packed little-endian integers: format ``I`` (32 bits) or ``H`` (16 bits)."""
 
@@ -55,6 +84,7 @@ class ChunkTokenizer:
         self.special = {b" " + t: i for t, i in added.items()}
         self.kind = kind
         self.dtype = np.dtype({'I': '<u4', 'H': '<u2'}[kind])
+        self.direct = _direct(self.library)
         suffix = self.library.model.end_of_word_suffix or "\0"  # without one, chunks are encoded one by one
         vocabulary = self.library.get_vocab()
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -65,30 +95,56 @@ class ChunkTokenizer:
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.kind}", *ids)
 
-    def _learn(self, unseen: set[bytes]) -> dict[bytes, bytes]:
-        """Adds chunks to the cache, which keeps what its last two generations have used."""
+    def _learn(self, unseen: set[bytes]) -> bool:
+        """Adds chunks to the cache, which keeps what its last two generations have used; or begins a generation."""
         if len(self.chunks) + len(unseen) > CACHE_ENTRIES:
             self.old, self.chunks = self.chunks, {}
-            return {}
-        known = unseen & self.old.keys()
-        self.chunks.update((w, self.old[w]) for w in known)
-        made = {w: self._pack([self.special[w]]) for w in unseen & self.special.keys()}
-        new = [(w, w.decode()) for w in unseen - known - made.keys()]
-        made |= {w: self._pack(self.library.encode(x, add_special_tokens=False).ids) for w, x in new if not x.isalpha()}
+            return False
+        new = self._not_kept(unseen)
+        special = new & self.special.keys()
+        self.chunks.update((w, self._pack([self.special[w]])) for w in special)
+        new -= special
+        letters = [w for w in new if w.isalpha() or _LETTERS.fullmatch(w)] if self.direct else []
+        other = new.difference(letters)
+        marked = [m for m in map(_MARKED.fullmatch, other) if m] if self.direct else []
+        if marked:
+            parts = self._not_kept({x for m in marked for x in m.groups()}.difference(letters) - self.chunks.keys())
+            other = other.difference([m[0] for m in marked]) | parts
+            more = [w for w in parts if _LETTERS.fullmatch(w)]
+            other.difference_update(more)
+            letters += more
+        texts = [(w, w.decode()) for w in other]
+        self.chunks.update((w, self._encoded(w)) for w, x in texts if not x.isalpha())
         # a chunk of letters is one pre-token: all of them at once, told apart by the ids that end one
-        plain = [(w, x) for w, x in new if x.isalpha()]
-        if plain:
-            found = self.library.encode_batch_fast([" ".join([x for _, x in plain])], add_special_tokens=False)[0]
-            ids = np.array(found.ids, self.dtype)
-            ends = np.flatnonzero(self.final[ids]) + 1
-            if len(ends) != len(plain):  # it divides some of them
-                made.update((w, self._pack(self.library.encode(x, add_special_tokens=False).ids)) for w, x in plain)
-                plain = []
+        plain = [w for w, x in texts if x.isalpha()]
+        self._add(plain, b" ".join(plain).decode(), self.library)
+        # the two bytes of such words that other characters than they themselves stand for
+        self._add(letters, b" ".join(letters).decode("latin-1").replace("\xa0", "\u0142").replace("\xad", "\u0143"), self.direct)
+        get = self.chunks.__getitem__
+        self.chunks.update([(m[0], get(m[1]) + get(m[2])) for m in marked])
+        return True
+
+    def _not_kept(self, words: set[bytes]) -> set[bytes]:
+        """The words that the last generation doesn't have either."""
+        known = words & self.old.keys()
+        self.chunks.update((w, self.old[w]) for w in known)
+        return words - known
+
+    def _encoded(self, word: bytes) -> bytes:
+        return self._pack(self.library.encode(word.decode(), add_special_tokens=False).ids)
+
+    def _add(self, words: list[bytes], text: str, library) -> None:
+        """Adds chunks that are one pre-token each; text: all of them, for ``library``."""
+        if not words:
+            return
+        ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(self.final[ids]) + 1
+        if len(ends) == len(words):
             packed = ids.tobytes()
             ends = (ends * self.dtype.itemsize).tolist()
-            made.update((w, packed[i:j]) for (w, _), i, j in zip(plain, [0, *ends], ends))
-        self.chunks.update(made)
-        return made
+            self.chunks.update(zip(words, [packed[i:j] for i, j in zip([0, *ends], ends)]))
+        else:  # it divides some of them
+            self.chunks.update((w, self._encoded(w)) for w in words)
 
     def split(self, text: bytes) -> list[bytes]:
         if self.cut is None or not self.cut.search(text):

@@ -108,3 +108,23 @@ def test_more_distinct_chunks_than_the_cache_holds(monkeypatch):
         got = coder.encode([None if t is None else t.encode() for t in part])
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [coder.library.encode(t or "", add_special_tokens=False).ids for t in part]
         assert len(coder.chunks) <= 5
+
+
+def test_words_of_small_letters_skip_the_normaliser():
+    made = ChunkTokenizer(PATH, "I")
+    library, asked = made.library, []
+
+    class Noting:
+        def encode(self, text, **kinds):
+            asked.append(text)
+            return library.encode(text, **kinds)
+
+        def encode_batch_fast(self, texts, **kinds):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **kinds)
+
+    made.library = Noting()
+    text = "inering!! caf\u00e9 \u00ed\u00e0a&&& Zeta, \u00c9t\u00e9 it's x'll o'### 12%% \u0142a"
+    want = library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(made.encode([text.encode()])[0], "<u4").tolist() == want
+    assert {w for x in asked for w in x.split()} == {"!!", "&&&", ",", "it's", "x'll", "o'###", "12%%", "\u00c9t\u00e9", "\u0142a"}
