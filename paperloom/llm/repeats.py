@@ -40,6 +40,8 @@ PLACE, WITHIN = 20, 10
 #: Texts that are anchored at once, and anchors of a chunk.
 BLOCK = 900_000
 CHUNK = 400_000
+#: Contexts that are handed on at once.
+TOGETHER = 50_000
 #: Strings of a run, and their bytes.
 RUN_STRINGS = 200_000
 RUN_BYTES = 24_000_000
@@ -266,17 +268,18 @@ class Run:
     """Strings of a task, each with the document and place where it starts."""
 
     def __init__(self):
-        self.strings, self.docs, self.doc, self.start, self.size = [], [], [], [], 0
+        self.strings, self.docs, self.doc, self.start, self.size, self.count = [], [], [], [], 0, 0
 
-    def add(self, doc: int, digest: int, raw: bytes, base: int, first: np.ndarray, stop: np.ndarray) -> None:
+    def add(self, docs: np.ndarray, of: np.ndarray, start: np.ndarray, raw: bytes, first: np.ndarray, stop: np.ndarray) -> None:
         for a in range(0, len(first), RUN_STRINGS):
             ends = stop[a : a + RUN_STRINGS].tolist()
             made = [raw[x:y] for x, y in zip(first[a : a + RUN_STRINGS].tolist(), ends)]
             self.strings += made
             self.size += sum(map(len, made))
-        self.docs.append((doc, digest))
-        self.doc.append(np.full(len(first), len(self.docs) - 1, np.int64))
-        self.start.append(first + base)
+        self.doc.append(of + self.count)
+        self.docs.append(docs)
+        self.count += len(docs)
+        self.start.append(start)
 
     def full(self) -> bool:
         return len(self.strings) >= RUN_STRINGS or self.size >= RUN_BYTES
@@ -287,7 +290,7 @@ class Run:
 
         if not self.strings:
             return
-        ids = np.array(self.docs, np.int64)
+        ids = np.concatenate(self.docs)
         doc, start = np.concatenate(self.doc), np.concatenate(self.start)
         by = np.lexsort((start, ids[doc, 1], ids[doc, 0]))
         earliest: dict[bytes, int] = {}
@@ -318,17 +321,23 @@ class Run:
 
 
 def _strings(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[tuple]:
-    """(doc_id, digest, text, base, first, stop) of rows (doc_id, digest, base, text, places): where contexts lie in the text.
+    """Contexts of rows (doc_id, digest, base, text, places): documents (doc_id, digest), of each context its document among
+    these and where it starts there, and bytes and where it lies in them.
 
-    Without places, all contexts are found.
+    Without places, all contexts are found, those of many rows at once.
     """
 
     def found(held: list[tuple]) -> Iterator[tuple]:
-        sizes = np.array([len(x[3]) for x in held], np.int64)
-        of, place, left, right, _ = anchors(np.frombuffer(b"".join(x[3] for x in held), np.uint8), sizes, length, k)
-        edge = np.searchsorted(of, np.arange(len(held) + 1))
-        for (doc, digest, base, raw, _), a, b in zip(held, edge.tolist(), edge[1:].tolist()):
-            yield doc, digest, raw, base, place[a:b] - left[a:b], place[a:b] - right[a:b] + length
+        doc, digest, base, texts, _ = zip(*held)
+        docs, raw = np.array([doc, digest], np.int64).T, b"".join(texts)
+        sizes = np.array([len(x) for x in texts], np.int64)
+        of, place, left, right, _ = anchors(np.frombuffer(raw, np.uint8), sizes, length, k)
+        before = (np.cumsum(sizes) - sizes)[of]
+        start, first, stop = np.array(base, np.int64)[of] + place - left, before + place - left, before + place - right + length
+        for a in range(0, len(of), TOGETHER):
+            x = slice(a, a + TOGETHER)
+            low = int(of[a])
+            yield docs[low : int(of[x][-1]) + 1], of[x] - low, start[x], raw, first[x], stop[x]
 
     held, size = [], 0
     for batch in batches:
@@ -336,7 +345,8 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator
             if row[4] is not None:
                 packed = np.frombuffer(row[4], np.int64)
                 place, low = packed >> 2 * WITHIN, (1 << WITHIN) - 1
-                yield row[0], row[1], row[3], row[2], place - (packed >> WITHIN & low), place - (packed & low) + length
+                first = place - (packed >> WITHIN & low)
+                yield np.array([row[:2]], np.int64), np.zeros(len(first), np.int64), first + row[2], row[3], first, place - (packed & low) + length
                 continue
             held.append(row)
             size += len(row[3])
@@ -369,8 +379,9 @@ def _cuts(rows: DataFrame, length: int, k: int, ranges: int) -> list[bytes]:
     """Where ranges begin, from at most STRINGS contexts of each of a bounded number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, raw, _, first, stop in _strings(batches, length, k):
-            made = [raw[a:b] for a, b in zip(first[:STRINGS].tolist(), stop[:STRINGS].tolist())]
+        for _, of, _, raw, first, stop in _strings(batches, length, k):
+            few = np.arange(len(of)) - np.searchsorted(of, of) < STRINGS
+            made = [raw[a:b] for a, b in zip(first[few].tolist(), stop[few].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["s"])
 
     found = sorted({bytes(r.s) for r in rows.mapInArrow(run, "s binary").collect()})

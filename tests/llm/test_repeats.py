@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -142,3 +143,19 @@ def test_query_is_right_on_the_given_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(tuple(r) for r in entry.queries()["op12_suffix_dedup"](spark, folder).collect())
     assert got == sorted((*x[:4], hashlib.sha256(x[4]).hexdigest()) for x in brute(rows, 100))
+
+
+def test_contexts_of_many_rows_are_found_and_handed_on_together():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 123, int(n)).astype(np.uint8).tobytes() for n in rng.integers(100, 180, 1500)]
+    n = len(texts)
+    columns = [pa.array(np.arange(n)), pa.array(np.arange(n) + 7), pa.array(np.arange(n) * 3), pa.array(texts), pa.nulls(n, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "base", "text", "places"])
+    made = list(rp._strings(iter([batch]), 100, 78))
+    assert len(made) < 10
+    got = [(*docs[o].tolist(), s, raw[a:b]) for docs, of, start, raw, first, stop in made for o, s, a, b in zip(of, start, first, stop)]
+    want = []
+    for i, x in enumerate(texts):
+        _, place, left, right, _ = rp.anchors(np.frombuffer(x, np.uint8), np.array([len(x)]), 100, 78)
+        want += [(i, i + 7, 3 * i + p - a, x[p - a : p - b + 100]) for p, a, b in zip(place, left, right)]
+    assert got == want
