@@ -150,8 +150,8 @@ _long_lists = _udf(lambda a, b: distance(list(a), list(b)))
 
 def text_distance(a: Column, b: Column, cells: int = CELLS) -> Column:
     """Levenshtein distance of two texts in code points, NULL if one is."""
-    small = F.length(a).cast("long") * F.length(b) <= cells
-    own = F.levenshtein(F.when(small, a), F.when(small, b)).cast("long")
+    small = (a == b) | (F.length(a).cast("long") * F.length(b) <= cells)
+    own = F.when(a == b, F.lit(0)).otherwise(F.levenshtein(F.when(small, a), F.when(small, b))).cast("long")
     return F.coalesce(own, _long_texts(F.when(~small, a), F.when(~small, b)))
 
 
@@ -167,7 +167,8 @@ def wer(reference: Column | str, hypothesis: Column | str, cells: int = WORD_CEL
     def words(x):
         return F.filter(F.split(S.strip(F.coalesce(S._col(x), F.lit(""))), r"(?U)\s+"), lambda w: w != "")
 
-    a, b = words(reference), words(hypothesis)
+    same = F.coalesce(S._col(reference), F.lit("")) == F.coalesce(S._col(hypothesis), F.lit(""))  # no words are told apart then
+    a, b = (F.when(~same, words(x)) for x in (reference, hypothesis))
     small = F.size(a).cast("long") * F.size(b) <= cells
     long = _long_lists(F.when(~small, a), F.when(~small, b)) / F.nullif(F.size(a), F.lit(0))
-    return F.when(small, S.wer(F.when(small, S._col(reference)), F.when(small, S._col(hypothesis)))).otherwise(long)
+    return F.when(same, F.lit(0.0)).when(small, S.wer(F.when(small, S._col(reference)), F.when(small, S._col(hypothesis)))).otherwise(long)

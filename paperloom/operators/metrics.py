@@ -14,15 +14,17 @@ from paperloom.functions.distance import aligned, cer, wer
 from paperloom.functions.scalars import agree, amount_of, comparable, normal_of, strip
 from paperloom.operators.layout import full_text, once
 from paperloom.operators.store import field_rows
-from paperloom.sources.shared import importable
+from paperloom.sources.shared import importable, saved
 
 
 def field_counts(truth: DataFrame, predicted: DataFrame, normalized: bool = True) -> DataFrame:
     """(doc_id, name, tp, fp, fn) of field rows (doc_id, name, value): a mismatch is both fp and fn."""
-    a = truth.select("doc_id", "name", F.col("value").alias("t"), comparable("value", normalized).alias("ct"))
-    b = predicted.select("doc_id", "name", F.col("value").alias("p"), comparable("value", normalized).alias("cp"))
+    a = truth.select("doc_id", "name", F.col("value").alias("t"))
+    b = predicted.select("doc_id", "name", F.col("value").alias("p"))
     both = a.join(b, ["doc_id", "name"], "full_outer")
-    hit = F.coalesce(F.col("t").isNotNull() & F.col("p").isNotNull() & agree(F.col("name"), F.col("ct"), F.col("cp")), F.lit(False))
+    met = F.col("t").isNotNull() & F.col("p").isNotNull()  # only these are parsed
+    both = both.withColumns({f"c{x}": F.when(met, comparable(x, normalized, F.col("name"))) for x in ("t", "p")})
+    hit = F.coalesce(met & agree(F.col("name"), F.col("ct"), F.col("cp")), F.lit(False))
     one = lambda c: F.when(c, 1).otherwise(0)
     return both.select(
         "doc_id", "name", one(hit).alias("tp"), one(F.col("p").isNotNull() & ~hit).alias("fp"),
@@ -121,9 +123,14 @@ def document_scores(truth: DataFrame, predicted: DataFrame, normalized: bool = T
 
     Straight-through: not flagged, type right, and every true field that has a value matched.
     """
-    a = truth.dropDuplicates(["doc_id"]).select("doc_id", F.col("doc_type").alias("truth"), full_text(F.col("ocr")).alias("t"))
+    once = truth.dropDuplicates(["doc_id"])
+    return _scored(once, predicted, field_counts(field_rows(once), field_rows(predicted), normalized))
+
+
+def _scored(truth: DataFrame, predicted: DataFrame, counts: DataFrame) -> DataFrame:
+    """``document_scores`` of true rows, one a document, from the counts of their fields."""
+    a = truth.select("doc_id", F.col("doc_type").alias("truth"), full_text(F.col("ocr")).alias("t"))
     b = predicted.select("doc_id", F.col("doc_type").alias("predicted"), "needs_review", full_text(F.col("ocr")).alias("p"))
-    counts = field_counts(field_rows(truth.dropDuplicates(["doc_id"])), field_rows(predicted), normalized)
     sums = counts.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
     made = a.join(b, "doc_id").join(sums, "doc_id", "left").na.fill(0, ["tp", "fp", "fn"])
     has = F.coalesce("t", F.lit("")) != ""
@@ -155,12 +162,13 @@ def evaluation(truth: DataFrame, predicted: DataFrame, normalized: bool = True)
     field of every document, found or true.
     """
     once = truth.dropDuplicates(["doc_id"])
-    docs = document_scores(truth, predicted, normalized)
-    pairs = docs.select("truth", "predicted")
     known = once.join(predicted.select("doc_id"), "doc_id", "left_semi")
     found = predicted.join(once.select("doc_id"), "doc_id", "left_semi")
-    counts = field_counts(field_rows(known), field_rows(found).where("value is not null"), normalized)
-    fields = overall_scores(counts.withColumn("key", F.concat_ws("_", "doc_id", "name")), "key")
+    # both are read several times below: counted and compared once
+    counts = saved(field_counts(field_rows(known), field_rows(found).where("value is not null"), normalized), "field-counts")
+    docs = saved(_scored(once, predicted, counts), "document-scores")
+    pairs = docs.select("truth", "predicted")
+    fields = saved(overall_scores(counts.withColumn("key", F.concat_ws("_", "doc_id", "name")), "key"), "field-scores")
     n = F.count("*")
     totals = docs.agg(
         n.alias("documents"), F.count_if("is_stp").alias("total_stp"), F.when(n == 0, 0.0).otherwise(F.round(100.0 * F.count_if("is_stp") / n, 2)).alias("stp_rate_pct"),
