@@ -19,8 +19,8 @@ from paperloom.sources.shared import importable
 
 #: Cells of the dynamic program up to which Spark's own function is used, in characters; in words, up to which words are coded.
 CELLS, WORD_CELLS = 1 << 16, 1 << 10
-#: The distance that is tried first; of greater ones, the fourfold next.
-FIRST = 64
+#: The distance that is tried first (a step within it costs hardly more than within a smaller one); of greater ones, the fourfold next.
+FIRST = 256
 
 
 def _places(a: Sequence[Hashable]) -> dict[Hashable, int]:
