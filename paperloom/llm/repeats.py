@@ -40,6 +40,10 @@ PLACE, WITHIN = 20, 10
 #: Texts that are anchored at once, and anchors of a chunk.
 BLOCK = 900_000
 CHUNK = 400_000
+#: Bytes that are hashed at once, and strings: so many that the hashes stay in a core's cache.
+HASHED, HASHED_STRINGS = 1 << 16, 512
+#: Bytes in which two strings are compared first.
+NEAR = 16
 #: Contexts that are handed on at once.
 TOGETHER = 50_000
 #: Strings of a run, and their bytes.
@@ -94,15 +98,16 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int, k: int) -> tuple[n
     ends = np.cumsum(sizes)
     found = []
     total = len(data) - length + 1
-    for begin in range(0, max(0, total), BLOCK):
-        end = min(begin + BLOCK, total)
+    for begin in range(0, max(0, total), HASHED):
+        end = min(begin + HASHED, total)
         low, high = max(0, begin - width), min(total, end + width)  # an anchor has width windows at most
         grams = gram_hashes(data[low : high + length - 1], k)
         place = np.arange(len(grams), dtype=np.uint64)
         key = grams >> np.uint64(PLACE) << np.uint64(PLACE) | place
         at = (_least(key, width) & np.uint64((1 << PLACE) - 1)).astype(np.int64)
         start = np.arange(low, high)
-        string = np.searchsorted(ends, start, side="right")
+        edge = np.searchsorted(ends, (low, high - 1), side="right")
+        string = edge[0] + np.cumsum(np.bincount(ends[edge[0] : edge[1]] - low, minlength=high - low))
         whole = start + length <= ends[string]
         edge = np.ones(len(at) + 1, bool)
         edge[1:-1] = (at[1:] != at[:-1]) | (string[1:] != string[:-1]) | (whole[1:] != whole[:-1])
@@ -394,6 +399,10 @@ def _cuts(rows: DataFrame, length: int, k: int, ranges: int) -> list[bytes]:
 def _common(a: bytes, b: bytes, known: int) -> int:
     """How many bytes two strings have in common, ``known`` being in common."""
     n = min(len(a), len(b))
+    if a[known : known + NEAR] != b[known : known + NEAR]:  # most part soon
+        n = min(n, known + NEAR)
+    elif a == b:
+        return n
     unlike = int.from_bytes(a[known:n]) ^ int.from_bytes(b[known:n])
     return n - (unlike.bit_length() + 7) // 8
 
@@ -422,7 +431,7 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[in
             return i, h, j, g
         a, b = front[i], front[j]
         both = _common(a, b, h)
-        if a[both:] <= b[both:]:
+        if len(a) <= len(b) if both == min(len(a), len(b)) else a[both] < b[both]:
             return i, h, j, both
         return j, h, i, both
 
@@ -509,14 +518,14 @@ def _merged(runs: DataFrame, k: int, last: bool) -> DataFrame:
 def _least_grams(strings: list[bytes], k: int) -> np.ndarray:
     """The least hash of each string's grams, its anchor's, without the bits that break ties by place."""
     out = np.empty(len(strings), np.uint64)
-    for at in range(0, len(strings), 4096):
-        some = strings[at : at + 4096]
+    for at in range(0, len(strings), HASHED_STRINGS):
+        some = strings[at : at + HASHED_STRINGS]
         sizes = np.array([len(x) for x in some], np.int64)
         hashes = gram_hashes(np.frombuffer(b"".join(some), np.uint8), k) >> np.uint64(PLACE)
         ends = np.cumsum(sizes)
         of = np.searchsorted(ends, np.arange(len(hashes)), side="right")
         hashes[np.arange(len(hashes)) + k > ends[of]] = np.uint64(LAST)  # not within one string
-        out[at : at + 4096] = np.minimum.reduceat(hashes, ends - sizes)
+        out[at : at + HASHED_STRINGS] = np.minimum.reduceat(hashes, ends - sizes)
     return out
 
 
